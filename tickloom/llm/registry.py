@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import langid, leaks, mixing, neardup, secrets
+from . import extraction, fingerprints, langid, leaks, mixing, neardup, quality, secrets, tokens, warc
 
 QUERIES = {
     "op1_minhash_neardup": neardup.op1,
     "op2_pfair_mix": mixing.op2,
+    "op3_edit_aware_tokens": tokens.op3,
     "op4_lsa_decontamination": leaks.op4,
+    "op5_bilstm_extraction": extraction.op5,
+    "op6_rule_quality": quality.op6,
+    "op7_warc_transactions": warc.op7,
+    "op8_weighted_fingerprints": fingerprints.op8,
     "op9_secret_scan": secrets.op9,
     "op10_string_kernel_langid": langid.op10,
 }
