@@ -1,0 +1 @@
+"""Trade-tape functions."""
