@@ -211,10 +211,14 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     # of shingles that one component alone has, no pair comes; they come first in the order and are not joined
     count = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("c1"), F.max("component").alias("c2"))
     ranked = rows.join(count, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")))
-    prefix = ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("c1") < F.col("c2"))).select("id", "component", "n", "shingle")
+    # how many of the set's shingles, from this one on, other components have at all
+    ranked = ranked.withColumn("rest", F.sum((F.col("c1") < F.col("c2")).cast("int")).over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("shingle"))))
+    prefix = ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("c1") < F.col("c2"))).select("id", "component", "n", "rest", "shingle")
     prefix = common.written(prefix, "prefix")
-    x, y = (prefix.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n"))) for s in "ab")
+    x, y = (prefix.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "rest"))) for s in "ab")
     near = x.join(y, "shingle").where("component_a < component_b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    # at a pair's first common shingle, no more than the rest of either set can be common
+    near = near.where(f"{100 + percent} * least(rest_a, rest_b) >= {percent} * (n_a + n_b)")
     return near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
