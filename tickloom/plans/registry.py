@@ -8,7 +8,7 @@ from tickloom.operators import bars as B
 from tickloom.operators import rolling, scorecard
 from tickloom.sources.tape import tape
 
-from . import oracles, signals
+from . import oracles, panels, signals  # noqa: F401  (panels adds its plans to those of signals)
 
 THRESHOLD, SHARDS = 1.0, 4
 
