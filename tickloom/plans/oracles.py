@@ -74,3 +74,19 @@ SELECT symbol, trade_date, round(max_by(cash + pos * p, rn), 6) AS final_value F
     "win5_rolling_prefix": f"""WITH {TAPE_DUCK} SELECT symbol, trade_id, CAST(sum(CASE WHEN flags & 1 = 1 THEN -qty ELSE qty END) OVER w AS BIGINT) AS net, CAST(count(*) OVER w AS INTEGER) AS n_rows FROM tape
 WINDOW w AS (PARTITION BY symbol, trade_date ORDER BY trade_id ROWS BETWEEN 127 PRECEDING AND CURRENT ROW)""",
 }
+
+_DAY = "(PARTITION BY symbol, trade_date ORDER BY trade_id ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+_ALL, _EIGHT = _DAY.format("UNBOUNDED"), _DAY.format(7)
+#: The streams' rows as batch queries; clock bars are those that end by the watermark.
+STREAMS = {
+    "str1_stream_rolling_g_inf": f"""WITH {TAPE_DUCK}, t AS (SELECT *, qty / 1e8 AS q, px / 1e8 - lag(px / 1e8) OVER (PARTITION BY symbol, trade_date ORDER BY trade_id) AS dx FROM tape),
+u AS (SELECT *, var_pop(CASE WHEN dx IS NOT NULL THEN q END) OVER {_ALL} AS v, covar_pop(dx, q) OVER {_ALL} AS c FROM t)
+SELECT symbol, trade_date, trade_id, round(CASE WHEN v > 1e-9 THEN c / v END, 6) AS g_inf FROM u""",
+    "str2_stream_hawkes": f"""WITH {TAPE_DUCK}, t AS (SELECT *, (ts_ms % 86400000) / 3600000.0 AS h FROM tape)
+SELECT symbol, trade_date, trade_id, round(exp(-0.5 * h) * sum(CASE WHEN flags = 0 THEN 0.8 * exp(0.5 * h) ELSE 0 END) OVER {_ALL}, 6) AS buys, round(exp(-0.5 * h) * sum(CASE WHEN flags = 1 THEN 0.8 * exp(0.5 * h) ELSE 0 END) OVER {_ALL}, 6) AS sells FROM t""",
+    "str3_stream_delta_bars": CORE["seq1_delta_bars"],
+    "str4_stream_rolling_window": f"""WITH {TAPE_DUCK}, t AS (SELECT *, avg(qty / 1e8) OVER {_EIGHT} AS m, stddev_pop(qty / 1e8) OVER {_EIGHT} AS sd FROM tape)
+SELECT symbol, trade_date, trade_id, round(m, 6) AS mean, round(CASE WHEN sd > 1e-6 THEN (qty / 1e8 - m) / sd ELSE 0 END, 6) AS z FROM t""",
+    "str5_stream_clock_bars": f"""WITH {TAPE_DUCK}, t AS (SELECT *, ts_ms - ts_ms % 3600000 AS start_ms, max(ts_ms) OVER () - 60000 AS mark FROM tape)
+SELECT symbol, start_ms, {R(open='min_by(px, trade_id) / 1e8', high='max(px) / 1e8', low='min(px) / 1e8', close='max_by(px, trade_id) / 1e8', vol='sum(qty) / 1e8')} FROM t WHERE start_ms + 3600000 <= mark GROUP BY 1, 2""",
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import bars as B
 from tickloom.operators import rolling, scorecard
 from tickloom.sources.tape import tape
+from tickloom.streaming import tape as streaming
 
 from . import oracles, panels, signals  # noqa: F401  (panels adds its plans to those of signals)
 
@@ -45,6 +46,10 @@ def _rolling(spark, sf_dir):
     return out.select("symbol", "trade_id", "net", "n_rows")
 
 
+def _stream(operator):
+    return lambda s, d: _round(streaming.run(operator(streaming.stream_tape(s, d))))
+
+
 QUERIES = {
     "seq1_delta_bars": lambda s, d: _round(_bars(s, d)),
     "prj11_absorption_signal": lambda s, d: _bars(s, d).select("symbol", "trade_date", "bar_no", B.absorption_signal().alias("signal")),
@@ -55,6 +60,11 @@ QUERIES = {
     "sc_scorecard": lambda s, d: scorecard.scorecard(_sim(s, d)),
     "sc14_scorecard_long": lambda s, d: scorecard.scorecard_long(scorecard.scorecard(_sim(s, d))),
     "win5_rolling_prefix": _rolling,
+    "str1_stream_rolling_g_inf": _stream(streaming.rolling_g_inf),
+    "str2_stream_hawkes": _stream(streaming.hawkes),
+    "str3_stream_delta_bars": _stream(lambda t: streaming.delta_bars(t, THRESHOLD)),
+    "str4_stream_rolling_window": _stream(streaming.rolling_window),
+    "str5_stream_clock_bars": _stream(streaming.clock_bars),
 } | {n: signals.query(n) for n in signals.PLANS}
 
-ORACLES = oracles.CORE | {n: signals.text(n, signals.Duck).replace("AS STRING", "AS VARCHAR") for n in signals.PLANS}
+ORACLES = oracles.CORE | oracles.STREAMS | {n: signals.text(n, signals.Duck).replace("AS STRING", "AS VARCHAR") for n in signals.PLANS}

@@ -11,16 +11,20 @@ KEYS = ["symbol", "trade_date"]
 RAW_NAMES = ["agg_trade_id", "price", "quantity", "first_trade_id", "last_trade_id", "transact_time", "is_buyer_maker"]
 
 
+#: The event table's columns as those of a trade tape.
+TAPE_COLUMNS = [
+    "event_type as symbol", "cast(ts as date) as trade_date", "event_id as trade_id",
+    "cast(round((1000 + value) * 100) as bigint) * 1000000 as px",
+    "(cast(get_json_object(props, '$.k') as bigint) + 1) * 1000000 as qty",
+    "event_id * 10 as first_id", "1 + event_id % 4 as trade_count",
+    "cast(if(user_id % 2 = 0, 1, 0) as int) as flags",
+    "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts) as ts_ms",
+]
+
+
 def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a trade tape: narrow, only the needed columns are read."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
-        "event_type as symbol", "cast(ts as date) as trade_date", "event_id as trade_id",
-        "cast(round((1000 + value) * 100) as bigint) * 1000000 as px",
-        "(cast(get_json_object(props, '$.k') as bigint) + 1) * 1000000 as qty",
-        "event_id * 10 as first_id", "1 + event_id % 4 as trade_count",
-        "cast(if(user_id % 2 = 0, 1, 0) as int) as flags",
-        "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts) as ts_ms",
-    )
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*TAPE_COLUMNS)
 
 
 def normalised(columns: list[str]) -> dict[str, str]:
