@@ -106,3 +106,17 @@ by_symbol("tc3_costs", "turned", needs=TURNED, break_even_cost_bps="sum(pos * rf
 BOOK = PNL + ", book AS (SELECT symbol, trade_date, p, sum(p) OVER (PARTITION BY trade_date) AS all_p FROM pnl)"
 by_symbol("bk3_incremental", "book", needs=BOOK, incremental_sharpe_contribution="(avg(all_p) / stddev_samp(all_p) - avg(all_p - p) / stddev_samp(all_p - p)) * sqrt(365.0)", incremental_return_contribution="avg(p)")
 PLANS["bk2_diversification"] = (lambda d: "SELECT round(sum(sd) / max(book_sd), 6) AS inverse_diversification_ratio, round(sum(g * g) / (sum(g) * sum(g)), 6) AS herfindahl_of_signal_weights FROM (SELECT symbol, stddev_samp(p) AS sd, sum(abs(p)) AS g FROM pnl GROUP BY symbol) a CROSS JOIN (SELECT stddev_samp(p) AS book_sd FROM (SELECT sum(p) AS p FROM pnl GROUP BY trade_date) b) c", PNL)
+# returns: per bar, tails, and the drawdown of the daily equity
+by_symbol("rt1_returns_per_bar", "turned", needs=TURNED, gross_mean_return_bps_per_bar="avg(pos * rf) * 1e4", net_mean_return_bps_per_bar="avg(pos * rf) * 1e4 - 5 * avg(moved)", return_vol_bps_per_bar="stddev_samp(pos * rf) * 1e4")
+TAILS = lambda d: PNL + f", tails AS (SELECT * FROM pnl JOIN (SELECT symbol AS s2, {d.pct('p', 0.05)} AS lo, {d.pct('p', 0.95)} AS hi FROM pnl GROUP BY symbol) k ON symbol = s2)"
+by_symbol("rt2_tails", "tails", needs=TAILS, pnl_kurtosis=lambda d: d.kurt("p"), tail_ratio="avg(CASE WHEN p >= hi THEN p END) / abs(avg(CASE WHEN p <= lo THEN p END))", downside_volatility="sqrt(avg(least(p, 0.0) * least(p, 0.0)))")
+#: One row a symbol-day here, so a symbol's window holds its days only.
+DRAWN = PNL + """, drawn AS (SELECT *, greatest(max(eq) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) - eq AS dd
+  FROM (SELECT *, sum(p) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eq FROM pnl) e)"""
+by_symbol("rt3_drawdowns", "drawn", needs=DRAWN, max_drawdown_bps="max(dd)", avg_drawdown_bps="avg(dd)", ulcer_index="sqrt(avg(dd * dd))")
+PLANS["rt4_cdar"] = (lambda d: f"SELECT symbol, round(avg(CASE WHEN dd >= v THEN dd END), 6) AS cdar_95_daily FROM drawn JOIN (SELECT symbol AS s2, {d.pct('dd', 0.95)} AS v FROM drawn GROUP BY symbol) k ON symbol = s2 GROUP BY symbol", DRAWN)
+# robustness by time split, interaction with volatility, and the book's information ratio with the signal
+by_symbol("rb1_is_oos", "halves", needs=HALVES, ic_is="corr(CASE WHEN half = 1 THEN s END, rf)", ic_oos="corr(CASE WHEN half = 2 THEN s END, rf)", sharpe_is="avg(CASE WHEN half = 1 THEN sign(s) * rf END) / stddev_samp(CASE WHEN half = 1 THEN sign(s) * rf END)", sharpe_oos="avg(CASE WHEN half = 2 THEN sign(s) * rf END) / stddev_samp(CASE WHEN half = 2 THEN sign(s) * rf END)")
+by_symbol("rg4_conditioned_ic", "(SELECT sig.*, CASE WHEN trade_id % 5 + trade_id % 3 < 3 THEN 1 ELSE 0 END AS narrow FROM sig) a", corr_signal_times_vol_with_returns="corr(s * abs(r), rf)", ic_conditioned_on_spread_narrow="corr(CASE WHEN narrow = 1 THEN s END, rf)", ic_conditioned_on_spread_wide="corr(CASE WHEN narrow = 0 THEN s END, rf)")
+by_symbol("or3_incremental_ir", "book", needs=BOOK, incremental_ir_in_book="avg(all_p) / stddev_samp(all_p) - avg(all_p - p) / stddev_samp(all_p - p)")
+by_symbol("rb2_period_stats", "(SELECT symbol, trade_date, p, sum(p) OVER (PARTITION BY symbol, year(trade_date), month(trade_date)) AS month_p FROM pnl) a", needs=PNL, walk_forward_pnl_stability_score="avg(p) / stddev_samp(p)", monthly_positive_pct="100.0 * avg(CASE WHEN month_p > 0 THEN 1.0 ELSE 0.0 END)")
