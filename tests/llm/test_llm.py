@@ -113,6 +113,20 @@ def test_leaks(spark, docs, empty):
     assert leaks(empty, bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_that_many_rows_hold(spark):
+    """A third of the rows hold one item, so that its words are in far more than 2 % of the passages."""
+    from tickloom.llm.leaks import leaks
+
+    item = " ".join(f"hot{i}" for i in range(40))
+    rows = [(i, f"{prose(i, 30 + i % 16)} {item if i % 3 == 0 else prose(1000 + i, 40)} {prose(2000 + i, 30)}") for i in range(450)]
+    bench = spark.createDataFrame([(1, item), (2, prose(9999, 40))], "item_id long, text string")
+    found = leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, 1) for i in range(0, 450, 3)}
+    # copies alone, of one passage each
+    copies = spark.createDataFrame([(i, item) for i in range(120)], "doc_id long, text string")
+    assert {r["doc_id"] for r in leaks(copies, bench).collect()} == set(range(120))
+
+
 def test_secret_spans():
     from tickloom.llm.secrets import base_spans, written_spans
 
