@@ -158,6 +158,36 @@ def test_extraction(spark):
     assert rows[0]["text"].startswith("Head\n") and "Home" not in rows[0]["text"] and rows[50]["text"] == "" and len(rows) == 21
 
 
+def test_extraction_drops_no_more_than_hidden_elements():
+    from tickloom.llm.extraction import blocks
+
+    def texts(page):
+        return [t for _, t, _ in blocks(page)]
+
+    assert texts("<head><title>t</title><body><article><p>a</p></article>") == ["a"]
+    assert texts("<html><head><meta charset=x><noscript><img src=q></noscript><script>if (a<b) c</script><p>a<p>b") == ["a", "b"]
+    assert texts("<head><style>p{}</style><title>t</title></head><body>a</body>") == ["a"]
+    assert texts("<p>a<svg class='i'/>b</p><p>c</p><svg><path/></svg><p>d</p>") == ["a", "b", "c", "d"]
+    assert texts("<p>a</p><template/><p>b</p>") == ["a", "b"]
+    assert texts("<p>a</p><noscript><p>b</p>") == ["a", "b"] and texts("<p>a</p><script>b") == ["a"]
+
+
+def test_extraction_reads_the_whole_path():
+    from tickloom.llm.extraction import fit, main_texts, vectors
+
+    deep = tuple(["div", "row"] * 10)
+    marks = [vectors([(("html", "body", m, *deep, "p"), "Some text.", 0.0)]) for m in ("nav", "article")]
+    assert (marks[0] != marks[1]).any()
+
+    def page(i, levels):
+        a, z = "<div class=row>" * levels, "</div>" * levels
+        return f"<body><nav>{a}<p>{prose(i, 12)}.</p>{z}</nav><article>{a}" + "".join(f"<p>{prose(i + k, 20)}.</p>" for k in range(1, 6)) + f"{z}</article><aside>{a}<p>{prose(i + 7, 20)}.</p>{z}</aside>"
+
+    model = fit([page(10 * i, i % 12) for i in range(40)])
+    want = ["\n".join(f"{prose(1000 * j + k, 20)}." for k in range(1, 6)) for j in range(1, 9)]
+    assert main_texts(model, [page(1000 * j, 10) for j in range(1, 9)]) == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     from tickloom.llm import common, warc
 

@@ -28,7 +28,11 @@ DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 #: Blocks of pages that are labelled together.
 BATCH_BLOCKS = 4096
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|head)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|$)|<!?/?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<![^>]*>""", re.S | re.I)
+TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!?/?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<![^>]*>""", re.S | re.I)
+#: Elements without text of the page, each dropped up to its end.
+HIDDEN = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "noscript", "template", "svg", "title")}
+#: Tags that may stand in a head; any other one ends it, as </head> may be left out.
+HEAD = frozenset("base basefont bgsound link meta title script style template noscript noframes svg".split())
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PART = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
@@ -39,12 +43,37 @@ OUTSIDE = frozenset("nav navigation navbar menu header footer aside sidebar ad a
 INSIDE = frozenset("article main".split())
 #: Fixed words for the layouts of training pages.
 LAYOUT_BODY = ["article", "main", "div.content", "div.post", "div.entry-content", "section.story", "div#main", "div.article-body", "div.text", "td.body"]
+LAYOUT_DEEP = ["div", "div", "div row", "div col", "div inner", "section", "span", "div box"]
 LAYOUT_OUT = ["nav", "header", "footer", "aside", "div.nav", "div.menu", "ul.menu", "div.sidebar", "div.header", "div.footer", "div.ad", "div.advert", "div.promo", "div.cookie-notice", "div.banner", "form", "form.newsletter", "div.related", "section.comments", "div.comment", "ol.comment-list", "div#comments", "div.share", "div.notice", "div.login", "div.breadcrumb", "div.subscribe", "div.alert"]
 
 
+def hidden_end(page: str, tag: str, at: int, unclosed: set) -> int:
+    """Where the element whose opening tag ends at ``at`` ends. Without a closing tag, script and style run to the
+    page's end, as in browsers; of the others only the tag itself goes."""
+    m = None if tag in unclosed else HIDDEN[tag].search(page, at)
+    if m:
+        return m.end()
+    unclosed.add(tag)
+    return len(page) if tag in ("script", "style") else at
+
+
+def head_end(page: str, at: int, unclosed: set) -> int:
+    """Where a head that is open at ``at`` ends: after </head>, or before the first tag that no head may hold."""
+    for m in iter(lambda: TOKEN.search(page, at), None):
+        tag, closing = (m[1] or "").lower(), page.startswith("</", m.start())
+        if tag == "head" and closing:
+            return m.end()
+        if tag and not page.startswith("<!", m.start()) and tag not in HEAD and not (closing and tag not in ("body", "html")):
+            return m.start()
+        at = m.end()
+        if tag in HIDDEN and not closing and not m[0].endswith("/>"):
+            at = hidden_end(page, tag, at, unclosed)
+    return len(page)
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     """(path parts, text, share of link characters) of each block with text, in page order."""
-    out, path, parts, linked, at, in_link = [], [], [], 0, 0, 0
+    out, path, parts, linked, at, in_link, unclosed = [], [], [], 0, 0, 0, set()
 
     def close():
         nonlocal linked
@@ -54,18 +83,24 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    for m in iter(lambda: TOKEN.search(page, at), None):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if in_link:
                 linked += m.start() - at
         at = m.end()
-        tag = (m[2] or "").lower()
+        tag = (m[1] or "").lower()
         if not tag:
-            if m[1]:
-                close()
             continue
         closing = page.startswith("</", m.start())
+        if tag == "head" or (tag in HIDDEN and tag != "title"):
+            close()
+            if not closing:
+                if tag == "head":
+                    at = head_end(page, at, unclosed)
+                elif tag in ("script", "style") or not m[0].endswith("/>"):
+                    at = hidden_end(page, tag, at, unclosed)
+            continue
         if tag in INLINE:
             in_link = max(0, in_link + (-1 if closing else 1)) if tag == "a" else in_link
             if tag in ("br", "img"):
@@ -84,7 +119,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             elif path and path[-1][0] == "p":
                 path.pop()
             names = [tag]
-            for a in ATTRIBUTE.finditer(m[3]):
+            for a in ATTRIBUTE.finditer(m[2]):
                 names += PART.findall(a[2].lower())
             path.append((tag, names))
     if at < len(page):
@@ -107,12 +142,15 @@ def _slot(word: str, dims: int) -> tuple[int, float]:
 
 
 def vectors(page_blocks) -> np.ndarray:
-    """One row for each block: hashed path parts, hashed words (its first and last ten), measures."""
+    """One row for each block: hashed parts of the whole path (the n-th of a kind adds 1/n, so that deep pages look like
+    others), hashed words (its first and last ten), measures."""
     x = np.zeros((len(page_blocks), DIMS), np.float32)
     for i, (path, text, link) in enumerate(page_blocks):
-        for p in path[-12:]:
+        times: dict[str, int] = {}
+        for p in path:
+            times[p] = times.get(p, 0) + 1
             k, sign = _slot(p, PATH_DIMS)
-            x[i, k] += sign
+            x[i, k] += sign / times[p]
         words = text.split(" ")
         for w in words[:10] + words[10:][-10:]:
             k, sign = _slot(w.lower(), WORD_DIMS)
@@ -241,9 +279,10 @@ def _layout(rng, body: list[str], other: list[str]) -> tuple[list, list[float]]:
     page, label = [], []
     pick = lambda some: some[int(rng.integers(len(some)))]
     wrap = ["html", "body", *(["div", "wrapper"] if rng.random() < 0.5 else [])]
+    deep = [x for _ in range(rng.integers(0, 16)) for x in pick(LAYOUT_DEEP).split(" ")] if rng.random() < 0.4 else []
 
     def add(spec: str, texts: list[str], tags: list[str], main: bool, link: float):
-        path = [*wrap, *re.findall(r"[a-z]+", spec)]
+        path = [*wrap, *re.findall(r"[a-z]+", spec), *deep] if rng.random() < 0.5 else [*wrap, *deep, *re.findall(r"[a-z]+", spec)]
         for t in texts:
             tag = pick(tags)
             page.append(((*path, tag) if tag else tuple(path), t, link))
@@ -270,6 +309,13 @@ def _layout(rng, body: list[str], other: list[str]) -> tuple[list, list[float]]:
     return page, label
 
 
+def windows(rng, n: int) -> list[slice]:
+    """The parts of a page of ``n`` blocks to train on: all of it, or its start, its end and one part between."""
+    if n <= TRAIN_BLOCKS:
+        return [slice(0, n)]
+    return [slice(a, a + TRAIN_BLOCKS) for a in (0, int(rng.integers(0, n - TRAIN_BLOCKS + 1)), n - TRAIN_BLOCKS)]
+
+
 def fit(samples: list[str]) -> Labeller:
     rng = np.random.default_rng(6)
     cut = [b for b in map(blocks, samples) if b]
@@ -278,13 +324,17 @@ def fit(samples: list[str]) -> Labeller:
     for b in cut:
         y = [float(marked(p)) for p, _, _ in b]
         if any(y):
-            pages.append(vectors(b)[:TRAIN_BLOCKS])
-            labels.append(np.array(y[:TRAIN_BLOCKS], np.float32))
+            x = vectors(b)
+            for part in windows(rng, len(b)):
+                pages.append(x[part])
+                labels.append(np.array(y[part], np.float32))
     for k in range(3 * max(len(cut), 20)):
         body = [t for p, t, _ in cut[k % len(cut)] if marked(p)] if cut else []
         b, y = _layout(rng, (body or [texts[int(rng.integers(len(texts)))] for _ in range(4)])[:30], texts)
-        pages.append(vectors(b)[:TRAIN_BLOCKS])
-        labels.append(np.array(y[:TRAIN_BLOCKS], np.float32))
+        x = vectors(b)
+        for part in windows(rng, len(b)):
+            pages.append(x[part])
+            labels.append(np.array(y[part], np.float32))
     return Labeller().train(pages, labels)
 
 
