@@ -23,7 +23,7 @@ STAGES = [
     ("mixing", mix_stage),
 ]
 
-#: The learned stages have no SQL form; tests/llm compares the pipeline with a plain computation.
+#: The learned stages have no SQL form; tests/llm compares the pipeline's near-dedup with a plain computation.
 ORACLE_SQL = None
 
 

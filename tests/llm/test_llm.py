@@ -41,6 +41,51 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates(empty, k=2).count() == 0
 
 
+def test_dedup_stage_equals_brute_force(spark, empty):
+    """Null ids, ids that repeat with other texts, exact and near copies."""
+    from tickloom.llm.neardup import dedup_stage, near_duplicates
+
+    rows, r = [], random.Random(8)
+    for i in range(60):
+        text = prose(500 + i, 80)
+        near = text.split()
+        near[r.randrange(80)] = "other"
+        rows.append((None if i % 3 == 0 else i // 2, text))
+        if i % 4 == 0:
+            rows += [(None if i % 8 else 300 + i, " ".join(near)), (400 + i, text), (None, text)]
+    rows += [(rows[1][0], rows[1][1]), (None, None), (None, ""), (7, None)]
+
+    def grams(t):
+        w = (t or "").split()
+        return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    want = {}
+    for i, (d, t) in enumerate(rows):
+        want.setdefault(group[i] if sets[i] else ("free", i), []).append((d is None, d or 0))
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, None) for d, t in rows], SCHEMA)
+    got = dedup_stage(spark, docs, "").collect()
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in got) == sorted(min(m) for m in want.values())
+    where = {}
+    for i, (d, t) in enumerate(rows):
+        where.setdefault(t, group[i])
+    assert len({where[x["text"]] for x in got if x["text"]}) == len([x for x in got if x["text"]]) == len({g for g, s in zip(group, sets) if s})
+    # the component of each row by its own text
+    name = {}
+    for (d, t), g in zip(rows, group):
+        if d is not None:
+            name[g] = min(d, name.get(g, d))
+    assert sorted((str(x["doc_id"]), str(x["component_id"])) for x in near_duplicates(docs, k=5).collect()) == sorted((str(d), str(name.get(g))) for (d, t), g in zip(rows, group))
+    assert dedup_stage(spark, empty, "").count() == 0
+
+
 def test_chunk_keys_meet_the_distance_bound():
     from tickloom.llm.neardup import MAX_DISTANCE, SYMBOLS, chunk_keys
 

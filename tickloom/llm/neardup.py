@@ -40,7 +40,7 @@ HUB_SHARE = 256
 _RNG = np.random.default_rng(7)
 _MUL = _RNG.integers(0, 2**31, SYMBOLS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _XOR = _RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
-_SET_SCHEMA = "doc_id long, n_shingles long, set_hash binary, signature binary"
+_SET_SCHEMA = "doc_id long, row_key long, n_shingles long, set_hash binary, signature binary"
 
 
 def signature(shingle_set: np.ndarray) -> np.ndarray:
@@ -53,20 +53,25 @@ def signature(shingle_set: np.ndarray) -> np.ndarray:
     return ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
 
 
+def row_key(docs: DataFrame):
+    """A number for each different pair of id and text; ids may be null or repeat with other texts."""
+    return F.xxhash64(F.col("doc_id").cast("long").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text"))
+
+
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set, and the signature, one row for each input row."""
+    """doc_id, row_key, n_shingles, a 128-bit hash of the set, and the signature, one row for each input row."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             n, digest, sig = [], [], []
-            for words in hashed_words(batch.column(1).to_pylist()):
+            for words in hashed_words(batch.column(2).to_pylist()):
                 s = shingles(words, k)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sig.append(signature(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_hash", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "row_key", "n_shingles", "set_hash", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SET_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), row_key(docs).alias("row_key"), "text").mapInArrow(run, _SET_SCHEMA)
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
@@ -222,36 +227,54 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     return near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs`` (doc_id, text; others are ignored).
-
-    Texts are linked if their sets of k-word shingles have 100 * intersection >= percent * union; component_id
-    is the smallest doc_id reachable. Null and word-less texts have n_shingles 0 and are linked with nothing.
-    Rows that repeat a doc_id each give a row, with the same component. Null doc_ids give component null and are
-    not kept. percent must be at least 80: the index is complete for that.
-    """
+def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of ``docs`` (see shingle_sets), and (row_key, component): a key's component is the smallest key reachable;
+    keys of word-less texts and those that are linked with nothing are missing."""
     if percent < 80:
         raise ValueError("the signature's distance bound holds for a similarity of 80 % or more")
     sets = common.written(shingle_sets(docs, k), "sets")
-    live = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = live.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
-    reps = common.written(live.select("doc_id", "n_shingles", "signature", "set_hash").join(classes, ["doc_id", "set_hash"]).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "signature"), "reps")
-    keys = reps.mapInArrow(_index, "key long, priority long, id long, n int, sketch long")
+    live = sets.where("n_shingles > 0")
+    # one row for each different set; a set's first key stands for it
+    reps = live.groupBy("set_hash").agg(F.min("row_key").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    reps = common.written(reps, "reps")
+    # rows that repeat id and text have one key, and one text is enough
+    texts = docs.select(row_key(docs).alias("doc_id"), "text")
+    again = common.written(live.join(reps.select(F.col("doc_id").alias("row_key")), "row_key", "left_semi").groupBy("row_key").count().where("count > 1").select(F.col("row_key").alias("doc_id")), "repeated")
+    few = again.count()
+    if few:
+        small = F.broadcast(again) if few <= common.BROADCAST_ROWS else again
+        texts = texts.join(small, "doc_id", "left_anti").unionByName(texts.join(small, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+    keys = reps.select("doc_id", "n_shingles", "signature").mapInArrow(_index, "key long, priority long, id long, n int, sketch long")
     met = keys.repartition("key").sortWithinPartitions("key", "priority").mapInArrow(_bucket_pairs(percent), "a long, b long, crowded boolean").distinct()
     met = common.written(met, "met")
     pairs = met.where("not crowded and a <> b").select("a", "b")
-    links = common.written(verified(pairs, docs, k, percent), "links")
+    links = common.written(verified(pairs, texts, k, percent), "links")
     first = common.written(common.components(links), "components")
     # members of a large bucket that are not all in one component
     crowd = met.where("crowded").select(F.col("a").alias("id"), F.col("b").alias("key"))
     crowd = crowd.join(first, crowd.id == first.node, "left").select("id", "key", F.coalesce("component", "id").alias("component"))
     mixed = crowd.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     open_members = crowd.join(mixed, "key", "left_semi").select("id", "component").distinct()
-    more = common.written(verified(prefix_pairs(open_members, docs, k, percent), docs, k, percent), "links")
-    of_class = live.join(classes.withColumnRenamed("doc_id", "rep"), "set_hash").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    more = common.written(verified(prefix_pairs(open_members, texts, k, percent), texts, k, percent), "links")
+    of_class = live.join(reps.select("set_hash", F.col("doc_id").alias("rep")), "set_hash").select(F.col("row_key").alias("a"), F.col("rep").alias("b"))
     final = common.components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(of_class))
-    out = sets.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
+    return sets, final.select(F.col("node").alias("row_key"), "component")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs`` (doc_id, text; others are ignored).
+
+    Texts are linked if their sets of k-word shingles have 100 * intersection >= percent * union; component_id
+    is the smallest doc_id of a row reachable. Null and word-less texts have n_shingles 0 and are linked with nothing.
+    Rows that repeat a doc_id each give a row, with the component of their own text. A row with a null doc_id links
+    others but is not kept; its component is null if all of it have null ids. percent must be at least 80: the index is
+    complete for that.
+    """
+    sets, final = _linked(docs, k, percent)
+    rows = sets.select("doc_id", "row_key", "n_shingles").join(final, "row_key", "left")
+    name = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("name"))
+    out = rows.join(name, "component", "left")
+    component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("name"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
@@ -260,9 +283,20 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8)."""
-    kept = near_duplicates(docs, k=5, percent=80).where("kept or n_shingles = 0").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8): the one of the smallest id
+    (null last). Rows with a null id or an id that others have too are judged by their own texts. Of word-less texts all
+    rows stay but those that repeat both id (not null) and text."""
+    sets, final = _linked(docs, 5, 80)
+    rows = sets.select("doc_id", "row_key", "n_shingles").distinct().join(final, "row_key", "left")
+    one = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("m")).select(F.col("m.row_key").alias("_key"))
+    single = rows.where("component is null and n_shingles > 0").select(F.col("row_key").alias("_key"))
+    named = rows.where("n_shingles = 0 and doc_id is not null").select(F.col("row_key").alias("_key"))
+    keep = common.written(one.unionByName(single).unionByName(named), "kept")
+    free = common.written(rows.where("n_shingles = 0 and doc_id is null").select(F.col("row_key").alias("_key")), "kept")
+    keyed = docs.withColumn("_key", row_key(docs))
+    # a copy with the same id and text has the same key, so that one row of each kept key stays
+    kept = keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.unionByName(keyed.join(free, "_key", "left_semi")).drop("_key")
 
 
 ORACLE_OP1 = r"""
