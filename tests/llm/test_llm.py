@@ -117,6 +117,20 @@ def test_mix_deviates_by_less_than_a_block(spark):
     assert len(out) == 300 and all(r["release"] <= r["slot"] < r["deadline"] for r in out)
 
 
+def test_mix_serves_any_number_of_sources(spark):
+    from tickloom.llm.mixing import mix, period, served, shares
+
+    few = shares(spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.2)], "source string, weight double"))
+    by = {r["source"]: r["share"] for r in few.collect()}
+    assert ["abc"[i] for i in served([by[x] for x in "abc"])] == [r["source"] for r in period(few).orderBy("at").collect()]
+    rows = spark.createDataFrame([(i, f"h{i % 500}", "x" * (40 if i % 500 else 400)) for i in range(2000)], "doc_id long, source string, text string")
+    out = mix(rows, block_chars=100).collect()
+    assert len(out) == 2000 and all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+    weights = spark.createDataFrame([("big", 179.0)] + [(f"s{i}", 1.0) for i in range(179)], "source string, weight double")
+    got = {r["source"]: r["share"] for r in shares(weights).collect()}
+    assert 0.44 < got["big"] / sum(got.values()) <= 0.5
+
+
 def test_mix_nulls_and_empty(docs, empty):
     from tickloom.llm.mixing import mix
 

@@ -10,38 +10,71 @@ slots on one small row) and joined to the blocks. A source that runs out leaves
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Slots in one period; shares are whole numbers of it, at least 1 for each source.
-TOTAL = 360
+#: Slots in one period for each SOURCES sources begun; shares are whole numbers of it, at least 1 for each source, which
+#: takes a tenth of the slots at most. The driver finds the same schedule where there are more than SOURCES.
+TOTAL, SOURCES = 360, 36
 #: Characters in a block.
 BLOCK_CHARS = 65536
 SEED = "mix"
 
 
-def sqrt_targets(docs: DataFrame, total: int = TOTAL) -> DataFrame:
+def sqrt_targets(docs: DataFrame, total: int | None = None) -> DataFrame:
     """(source, share): shares in proportion to the square root of a source's characters (temperature 2),
-    rounded by largest remainder to add up to ``total``; 1 at least. One row for each source."""
+    rounded by largest remainder to add up to ``total``; 1 at least. One row for each source, however many."""
     size = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum(F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1))).alias("chars"))
-    return shares(size.select("source", F.sqrt(F.col("chars").cast("double")).alias("weight")), total)
+    return shares(common.written(size.select("source", F.sqrt(F.col("chars").cast("double")).alias("weight")), "weights"), total)
 
 
-def shares(weights: DataFrame, total: int = TOTAL) -> DataFrame:
-    """(source, share) from (source, weight > 0) by largest remainder; at most total/2 sources."""
+def shares(weights: DataFrame, total: int | None = None) -> DataFrame:
+    """(source, share) from (source, weight > 0) by largest remainder; the period follows the number of sources."""
+    total = total or TOTAL * max(1, -(-weights.count() // SOURCES))
     everything = Window.partitionBy(F.lit(0))
     w = weights.withColumn("sources", F.count("*").over(everything)).withColumn("exact", F.col("weight") / F.sum("weight").over(everything))
     w = w.withColumn("exact", F.round(F.col("exact") * (F.lit(total) - F.col("sources")), 9)).withColumn("base", F.floor("exact"))
     left = F.lit(total) - F.col("sources") - F.sum("base").over(everything)
     w = w.withColumn("left", left).withColumn("rank", F.row_number().over(everything.orderBy(F.desc(F.col("exact") - F.col("base")), "source")))
-    w = w.withColumn("checked", F.when(F.col("sources") * 2 > total, F.raise_error(F.lit("too many sources for the period"))).otherwise(F.lit(1)))
+    w = w.withColumn("checked", F.when(F.col("sources") > total, F.raise_error(F.lit("too many sources for the period"))).otherwise(F.lit(1)))
     return w.select("source", (F.col("checked") + F.col("base") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)).cast("int").alias("share"))
 
 
-def period(targets: DataFrame, total: int = TOTAL) -> DataFrame:
+def served(share: list[int]) -> list[int]:
+    """The number of the source served in each slot of one period; earliest deadline, then source, first."""
+    total, done, later = sum(share), [0] * len(share), defaultdict(list)
+    ready = [(-(-total // x), i) for i, x in enumerate(share)]
+    heapq.heapify(ready)
+    out = []
+    for t in range(total):
+        for job in later.pop(t, ()):
+            heapq.heappush(ready, job)
+        i = heapq.heappop(ready)[1]
+        out.append(i)
+        done[i] += 1
+        if done[i] < share[i]:
+            later[max(t + 1, done[i] * total // share[i])].append((-(-(done[i] + 1) * total // share[i]), i))
+    return out
+
+
+def period(targets: DataFrame, total: int | None = None) -> DataFrame:
     """(source, share, turn, at): the slot ``at`` of each source's turn-th block (from 0) within one period."""
+    n, slots = targets.agg(F.count("*"), F.sum("share")).first()
+    total = total or slots or TOTAL
+    if n > SOURCES:  # in the fold below each slot looks at all sources
+        rows = sorted((r["source"], r["share"]) for r in targets.select("source", "share").toLocalIterator())
+        pick, turn, turns = served([x for _, x in rows]), [], [0] * n
+        for i in pick:
+            turn.append(turns[i])
+            turns[i] += 1
+        plan = pd.DataFrame({"source": [rows[i][0] for i in pick], "share": [rows[i][1] for i in pick], "at": range(len(pick)), "turn": turn})
+        return targets.sparkSession.createDataFrame(plan, "source string, share int, at int, turn long")
     one = targets.agg(F.array_sort(F.collect_list(F.struct("source", "share"))).alias("s"))
     fold = f"""
         aggregate(
@@ -61,7 +94,7 @@ def period(targets: DataFrame, total: int = TOTAL) -> DataFrame:
     return slots.withColumn("turn", (F.row_number().over(Window.partitionBy("source").orderBy("at")) - 1).cast("long"))
 
 
-def mix(docs: DataFrame, targets: DataFrame | None = None, total: int = TOTAL, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame | None = None, total: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` with chars_before (in their source's order), block_no, slot, release and deadline.
 
     Reading by (slot, chars_before) gives the mix. A null source is the source ''; null and empty texts count
@@ -78,10 +111,13 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, total: int = TOTAL, b
     inside = Window.partitionBy("_source", "_part").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_inside", F.coalesce(F.sum("_chars").over(inside), F.lit(0))).join(offsets, ["_source", "_part"])
     rows = rows.withColumn("chars_before", F.col("_offset") + F.col("_inside")).withColumn("block_no", F.floor(F.col("chars_before") / block_chars))
-    plan = period(targets if targets is not None else sqrt_targets(docs, total), total)
+    targets = targets if targets is not None else sqrt_targets(docs, total)
+    total = total or targets.agg(F.sum("share")).first()[0] or TOTAL
+    plan = period(targets, total)
+    small = F.broadcast if total <= common.BROADCAST_ROWS else lambda x: x
     plan = plan.select(F.col("source").alias("_source"), F.col("share").alias("_share"), F.col("turn").alias("_turn"), F.col("at").alias("_at"))
     share = plan.groupBy("_source").agg(F.max("_share").alias("_s"))
-    rows = rows.join(F.broadcast(share), "_source", "left").withColumn("_turn", F.pmod("block_no", "_s")).join(F.broadcast(plan), ["_source", "_turn"], "left")
+    rows = rows.join(small(share), "_source", "left").withColumn("_turn", F.pmod("block_no", "_s")).join(small(plan), ["_source", "_turn"], "left")
     return rows.withColumns({
         "slot": F.floor(F.col("block_no") / F.col("_s")) * total + F.col("_at"),
         "release": F.floor(F.col("block_no") * total / F.col("_s")),
