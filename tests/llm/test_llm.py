@@ -193,6 +193,29 @@ def test_secret_spans():
     assert written_spans(base_spans(t)) == f"access:{t.index('AKIA')}:{t.index('AKIA') + 20},hex:{t.index('a' * 32)}:{t.index('a' * 32) + 32},assign:{t.index('API')}:{t.index('1' + chr(34)) + 1}"
 
 
+def test_secret_threshold_keeps_recall_and_long_tokens_are_read_whole():
+    from tickloom.llm.secrets import RECALL, TOKEN, CharNet, encode, scan_texts, windows
+
+    class Fixed(CharNet):  # scores overlap, so that the quantile is low
+        def forward(self, x):
+            return x[:, 0].astype(float), None
+
+    x, y = np.zeros((400, 64), np.int64), np.repeat([1.0, 0.0], 200)
+    x[:, 0] = np.r_[np.arange(200) % 10, np.arange(200) % 8]
+    net = Fixed().calibrate(x, y)
+    assert (net.score(x[y > 0]) >= net.threshold).mean() >= RECALL and net.recall >= RECALL and 0 < net.precision < 1
+    for n in (12, 40, 41, 60, 61, 200):
+        got = windows(5, 5 + n)
+        assert {i for a, b in got for i in range(a, b)} == set(range(5, 5 + n)) and all(b - a <= TOKEN for a, b in got)
+
+    class Marked(CharNet):  # a token with a Q in it
+        def score(self, x):
+            return (x[:, 16:56] == encode("Q", 0, 1)[16]).any(axis=1).astype(float)
+
+    path = "x" * 90 + "Q" + "y" * 90
+    assert scan_texts(Marked(), [f"x {path} y", "onecaseonlyword"]) == [[(2, 2 + len(path), 3)], []]
+
+
 def test_secrets_on_edges(docs, empty):
     from tickloom.llm.secrets import find_secrets
 
