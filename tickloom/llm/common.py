@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -46,27 +48,37 @@ def only_ids(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return big.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def spare_name(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores before it as make it differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200) -> DataFrame:
     """Connected components: (node, component), component = the smallest node reachable.
 
     Alternates large-star and small-star steps until the edge set no longer changes; every node ends
-    linked to its component's minimum. Each step is two partial aggregations and a join, so a node with
-    very many neighbours is combined before the shuffle and its join can be split by Spark.
+    linked to its component's minimum (some 2 log n rounds; an error after ``most_rounds``). The least neighbours of a step
+    are partial aggregates, broadcast where the edges are few, else a written table, so that Spark can split the join of a
+    node with very many neighbours.
     """
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    state = lambda: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = state()
     for _ in range(most_rounds):
+        few = 2 * before[0] <= BROADCAST_ROWS
+        with_low = lambda rows, low: rows.join(F.broadcast(low) if few else written(low, "low"), "u")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_low(both, both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        if not few:
+            large = written(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        small = with_low(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         e = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = state()
         if now == before:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

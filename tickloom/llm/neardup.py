@@ -1,16 +1,18 @@
 """MinHash near-deduplication by a multi-index Hamming join.
 
-A text's set is that of its distinct k-word shingles. Its signature has SYMBOLS symbols of eight bits (the
-low bits of as many min-hashes), so two sets of Jaccard similarity J differ in about (1-J)*SYMBOLS symbols.
-The signature is cut into CHUNKS chunks; by pigeonhole two signatures that differ in at most MAX_DISTANCE
-symbols have a chunk with at most ERRORS = 1 differing symbol. Each chunk is indexed once for each symbol
-left out, so all pairs within MAX_DISTANCE share an index key: the join is complete for that distance.
-A pair of similarity 0.8 or more lies beyond MAX_DISTANCE with a probability under 1e-6. Candidates are confirmed on the full
-shingle sets, which are recomputed from the texts.
+A text's set is that of its distinct k-word shingles. Its signature has SYMBOLS symbols of 16 bits (of as many
+min-hashes), so two sets of Jaccard similarity J differ in about (1-J)*SYMBOLS symbols. The signature is cut into CHUNKS
+chunks; by pigeonhole two signatures that differ in at most MAX_DISTANCE symbols have a chunk with at most
+ERRORS = 1 differing symbol. Each chunk is indexed once for each symbol left out, so all pairs within MAX_DISTANCE
+share an index key of 48 bits or more: the join is complete for that distance, and texts that have nothing in common do not
+meet. A pair of similarity 0.8 or more lies beyond MAX_DISTANCE with a probability under 1e-5. Pairs that meet are
+confirmed by their signatures' distance, then on the full shingle sets, which are recomputed from the texts.
 
 Nothing grows with the square of a group: sets that are equal are one class; a key's first LEADERS members
-are paired with each other, later ones with the first HUBS only. What that may leave unlinked (members of
-one large bucket in different components) goes through an exact prefix-filter join on those members' shingles.
+are paired with each other, later ones with the first HUBS only, and a task does so with its own rows before they are
+shuffled, so that a key of very many rows sends a few of each task. Members of one large bucket that are then in different
+components meet the first members of the bucket's largest other components, and what is still apart goes through an
+exact prefix-filter join on those members' shingles.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ SYMBOLS = 64
 MAX_DISTANCE = 29
 ERRORS = 1
 CHUNKS = MAX_DISTANCE // (ERRORS + 1) + 1
-#: Two sketches (one bit of each symbol) of sets of similarity 0.8 differ in more bits with a probability under 1e-5.
-MAX_BITS = 20
 LEADERS, HUBS = 16, 4
-#: Texts compared with one hub in one task.
-HUB_SHARE = 256
+#: Components of a large bucket whose first member meets the bucket's members of other components.
+COMPONENT_HUBS = 8
+#: Texts compared with one hub in one task; sets that a task brings together before the shuffle.
+HUB_SHARE, BLOCK = 256, 16384
+MEMBER, LEADER, PAIR, CROWD = 0, 1, 2, 3
 
 _RNG = np.random.default_rng(7)
 _MUL = _RNG.integers(0, 2**31, SYMBOLS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -44,13 +47,13 @@ _SET_SCHEMA = "doc_id long, row_key long, n_shingles long, set_hash binary, sign
 
 
 def signature(shingle_set: np.ndarray) -> np.ndarray:
-    """SYMBOLS bytes; zeros for an empty set."""
+    """SYMBOLS numbers of 16 bits; the same ones for every empty set."""
     x = (shingle_set >> np.uint64(32)).astype(np.uint32)
     low = np.full(SYMBOLS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 4096):
         part = x[i : i + 4096]
         np.minimum(low, ((part[None, :] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1), out=low)
-    return ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+    return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
 def row_key(docs: DataFrame):
@@ -74,89 +77,123 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), row_key(docs).alias("row_key"), "text").mapInArrow(run, _SET_SCHEMA)
 
 
+def signatures_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+
+
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     """For each row of signatures the SYMBOLS index keys: each chunk with each of its symbols left out."""
     out = np.empty((len(signatures), SYMBOLS), np.uint64)
     column = 0
     for c, part in enumerate(np.array_split(np.arange(SYMBOLS), CHUNKS)):
         for left_out in part:
-            value = np.full(len(signatures), c * 64 + (left_out - part[0]), np.uint64)
+            value = np.full(len(signatures), c * 64 + (left_out - part[0]) + 1, np.uint64)
             for p in part:
                 if p != left_out:
-                    value = (value << np.uint64(8)) | signatures[:, p].astype(np.uint64)
-            out[:, column] = mix(value + np.uint64(1))
+                    value = mix((value << np.uint64(16)) ^ (value >> np.uint64(48)) ^ signatures[:, p].astype(np.uint64))
+            out[:, column] = value
             column += 1
     return out
 
 
 def _index(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index rows (key, id, other, kind) of (id, signature) rows: MEMBER of a key, or LEADER if this task has more members
+    of the key than LEADERS. Those beyond the leaders leave here: as PAIR with the first HUBS, and CROWD (other = the key)."""
+
+    def flush(ids, signatures):
+        ids = np.concatenate(ids)
+        key = chunk_keys(np.concatenate(signatures)).ravel()
+        row = np.repeat(np.arange(len(ids)), SYMBOLS)
+        order = np.lexsort((ids[row], key)) if len(ids) > LEADERS else np.argsort(key)
+        key, id_ = key[order].view(np.int64), ids[row[order]]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[first, len(key)])
+        run = np.repeat(np.arange(len(first)), count)
+        rank = np.arange(len(key)) - first[run]
+        large = (count > LEADERS)[run]
+        stays = rank < LEADERS
+        yield key[stays], id_[stays], np.zeros(int(stays.sum()), np.int64), np.where(large[stays], LEADER, MEMBER)
+        late = np.flatnonzero(~stays)
+        if len(late):
+            pair = np.unique(np.concatenate([np.stack([id_[first[run[late]] + h], id_[late]], axis=1) for h in range(HUBS)]), axis=0)
+            pair = pair[pair[:, 0] != pair[:, 1]]
+            yield mix((pair[:, 0] ^ (pair[:, 1] << 1)).view(np.uint64)).view(np.int64), pair[:, 0], pair[:, 1], np.full(len(pair), PAIR)
+            yield mix((key[late] ^ id_[late]).view(np.uint64)).view(np.int64), id_[late], key[late], np.full(len(late), CROWD)
+
+    def batches(ids, signatures):
+        for columns in flush(ids, signatures):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:3]), pa.array(columns[3].astype(np.int8))], ["key", "id", "other", "kind"])
+
+    ids, signatures, n = [], [], 0
     for batch in frames:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            sizes = part.column(1).to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-            sketch = np.packbits(sig & 1, axis=1).view(np.uint64).ravel()
-            order = mix(ids.astype(np.uint64))
-            row = np.repeat(np.arange(len(ids)), SYMBOLS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk_keys(sig).ravel().view(np.int64)), pa.array(order[row].view(np.int64)), pa.array(ids[row]), pa.array(sizes[row].astype(np.int32)), pa.array(sketch[row].view(np.int64))],
-                ["key", "priority", "id", "n", "sketch"],
-            )
-
-
-def _bucket_pairs(percent: int):
-    """Streams rows sorted by (key, priority) and pairs the members of each key; see the module's text."""
-
-    def close(n, sketch, i, j):
-        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        near = np.bitwise_count(sketch[i] ^ sketch[j]) <= MAX_BITS
-        return near & (100 * small >= percent * large)
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "id", "n", "sketch"]
-        kept = {c: np.empty(0, np.int64) for c in names}  # the last key's first members
-        seen = 0  # and how many it had
-        for batch in frames:
-            if not batch.num_rows:
-                continue
-            new = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            ids.append(part.column(0).to_numpy(zero_copy_only=False))
+            signatures.append(signatures_of(part.column(1)))
+            n += part.num_rows
+            if n >= BLOCK:
+                yield from batches(ids, signatures)
+                ids, signatures, n = [], [], 0
+    if n:
+        yield from batches(ids, signatures)
+
+
+def _bucket_pairs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams index rows sorted by (key, leaders first, id); (a, b, crowded): pairs of members, and (member, key) of large buckets."""
+    names = ["key", "id", "kind"]
+    kept = {c: np.empty(0, np.int64) for c in names}  # the last key's first members
+    seen = 0  # and how many it had
+    for batch in frames:
+        cols = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in [*names, "other"]}
+        through = cols["kind"] >= PAIR
+        left, right, big = [cols["id"][through]], [cols["other"][through]], [cols["kind"][through] == CROWD]
+        new = {c: cols[c][~through] for c in names}
+        if len(new["key"]):
             same = len(kept["key"]) and kept["key"][0] == new["key"][0]
             head = len(kept["key"]) if same else 0
             a = {c: np.concatenate([kept[c][:head], new[c]]) for c in names}
-            key, n, sketch, ids = a["key"], a["n"], a["sketch"].view(np.uint64), a["id"]
+            key, ids = a["key"], a["id"]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             run_of = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
-            start = first[run_of]
-            at = np.arange(len(key))
-            rank = at - start
-            skipped = seen - head if same else 0  # members of the first key that are not kept
-            rank = rank + np.where((run_of == 0) & (at >= head), skipped, 0)
+            start, at = first[run_of], np.arange(len(key))
             fresh = at >= head
-            left, right = [], []
+            skipped = seen - head if same else 0  # members of the first key that are not kept
+            rank = at - start + np.where((run_of == 0) & fresh, skipped, 0)
             for back in range(1, LEADERS):
                 i = at[fresh & (rank >= back) & (rank < LEADERS)]
-                j = i - back
-                ok = close(n, sketch, i, j)
-                left.append(ids[j[ok]])
-                right.append(ids[i[ok]])
+                left.append(ids[i - back])
+                right.append(ids[i])
             late = at[fresh & (rank >= LEADERS)]
             for hub in range(HUBS):
-                j = start[late] + hub
-                ok = close(n, sketch, late, j)
-                left.append(ids[j[ok]])
-                right.append(ids[late[ok]])
+                left.append(ids[start[late] + hub])
+                right.append(ids[late])
             count = np.diff(np.r_[first, len(key)])
             count[0] += skipped
-            crowd = np.flatnonzero(count[run_of] > LEADERS)
-            crowd = crowd[fresh[crowd] | (seen <= LEADERS)]
-            l, r = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[l, ids[crowd]]), pa.array(np.r_[r, key[crowd]]), pa.array(np.r_[np.zeros(len(l), bool), np.ones(len(crowd), bool)])], ["a", "b", "crowded"])
+            led = a["kind"][start] == LEADER
+            crowd = at[(led & fresh) | (~led & (count[run_of] > LEADERS) & (fresh | (seen <= LEADERS)))]
+            n = sum(map(len, left)) - len(left[0])
+            left.append(ids[crowd])
+            right.append(key[crowd])
+            big += [np.zeros(n, bool), np.ones(len(crowd), bool)]
             last = first[-1]
             seen = int(count[-1])
             kept = {c: a[c][last : last + LEADERS] for c in names}
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right)), pa.array(np.concatenate(big))], ["a", "b", "crowded"])
 
-    return run
+
+def near_signatures(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures are within MAX_DISTANCE and whose set sizes allow the similarity. sets: (doc_id,
+    n_shingles, signature), a written table."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}")), side)
+    pairs = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "s_a", "s_b")
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            near = (signatures_of(batch.column(2)) != signatures_of(batch.column(3))).sum(axis=1) <= MAX_DISTANCE
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def _set_of(texts, k: int) -> list[np.ndarray]:
@@ -168,15 +205,19 @@ def similar(x: int, y: int, common_size: int, percent: int) -> bool:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Each b's text meets its hub's text once.
+    """The pairs (a, b) of a written table whose full shingle sets are similar enough.
 
-    A hub with many partners is dealt over tasks in shares of HUB_SHARE; a task streams its rows.
+    A text meets its hub's text once for each pair. A hub with many partners is dealt over tasks in shares of HUB_SHARE; a
+    task streams its rows.
     """
     ids = common.written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     texts = common.only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id")
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_SHARE).alias("shares"))
-    sides = pairs.join(hubs, "a").select("a", "b", F.pmod(F.xxhash64("b"), "shares").alias("share"), F.lit(1).alias("kind"))
-    sides = sides.unionByName(hubs.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind")))
+    large = common.written(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_SHARE).alias("shares")).where("shares > 1"), "hubs")
+    small = F.broadcast if large.count() <= common.BROADCAST_ROWS else lambda x: x
+    shares = F.coalesce("shares", F.lit(1).cast("long"))
+    sides = pairs.join(small(large), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), shares).alias("share"), F.lit(1).alias("kind"))
+    hubs = pairs.select("a").distinct().join(small(large), "a", "left")
+    sides = sides.unionByName(hubs.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"), F.lit(0).alias("kind")))
     rows = sides.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "share", "kind", "b", "text")
     rows = rows.repartition("a", "share").sortWithinPartitions("a", "share", "kind")
 
@@ -214,11 +255,11 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     texts = texts.join(F.broadcast(ids) if ids.count() <= common.BROADCAST_ROWS else ids, "id").select("id", "component", "text")
     rows = common.written(_shingle_rows(texts, k), "shingles")
     # of shingles that one component alone has, no pair comes; they come first in the order and are not joined
-    count = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("c1"), F.max("component").alias("c2"))
-    ranked = rows.join(count, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")))
+    count = common.written(rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("shingle", "df"), "shared")
+    ranked = rows.join(count, "shingle", "left").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "shingle")))
     # how many of the set's shingles, from this one on, other components have at all
-    ranked = ranked.withColumn("rest", F.sum((F.col("c1") < F.col("c2")).cast("int")).over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("shingle"))))
-    prefix = ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("c1") < F.col("c2"))).select("id", "component", "n", "rest", "shingle")
+    ranked = ranked.withColumn("rest", F.sum(F.col("df").isNotNull().cast("int")).over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)).desc(), F.desc("shingle"))))
+    prefix = ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("df").isNotNull()).select("id", "component", "n", "rest", "shingle")
     prefix = common.written(prefix, "prefix")
     x, y = (prefix.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "rest"))) for s in "ab")
     near = x.join(y, "shingle").where("component_a < component_b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
@@ -227,16 +268,34 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     return near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
+def _apart(crowd: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, key, component) of the members of large buckets that hold more than one component."""
+    crowd = crowd.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
+    crowd = common.written(crowd, "crowd")
+    parts = crowd.groupBy("key", "component").agg(F.lit(1).alias("one"))  # a key's many members are one row before they meet
+    mixed = common.written(parts.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed")
+    return common.only_ids(crowd, mixed, "key")
+
+
+def _components_met(apart: DataFrame) -> DataFrame:
+    """Pairs (a, b): b is a member of a bucket, a the first member of one of its COMPONENT_HUBS largest other components."""
+    parts = apart.groupBy("key", "component").agg(F.min("id").alias("a"), F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "component"))
+    hubs = common.written(parts.withColumn("rank", rank).where(F.col("rank") <= COMPONENT_HUBS).select("key", "a", F.col("component").alias("of")), "hubs")
+    return apart.join(hubs, "key").where("component <> of").select("a", F.col("id").alias("b")).distinct()
+
+
 def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The sets of ``docs`` (see shingle_sets), and (row_key, component): a key's component is the smallest key reachable;
-    keys of word-less texts and those that are linked with nothing are missing."""
+    """The sets of ``docs`` (see shingle_sets), and one row for each different set with words: set_hash, best (the struct last, doc_id,
+    row_key of its first row, null ids last), first_id (its smallest doc_id) and component (a number that linked sets share)."""
     if percent < 80:
         raise ValueError("the signature's distance bound holds for a similarity of 80 % or more")
     sets = common.written(shingle_sets(docs, k), "sets")
     live = sets.where("n_shingles > 0")
-    # one row for each different set; a set's first key stands for it
-    reps = live.groupBy("set_hash").agg(F.min("row_key").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    reps = common.written(reps, "reps")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("best")
+    # a set's smallest key stands for it
+    reps = live.groupBy("set_hash").agg(F.min("row_key").alias("key"), F.min("doc_id").alias("first_id"), best, F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    reps = common.written(reps.withColumnRenamed("key", "doc_id"), "reps")
     # rows that repeat id and text have one key, and one text is enough
     texts = docs.select(row_key(docs).alias("doc_id"), "text")
     again = common.written(live.join(reps.select(F.col("doc_id").alias("row_key")), "row_key", "left_semi").groupBy("row_key").count().where("count > 1").select(F.col("row_key").alias("doc_id")), "repeated")
@@ -244,21 +303,23 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     if few:
         small = F.broadcast(again) if few <= common.BROADCAST_ROWS else again
         texts = texts.join(small, "doc_id", "left_anti").unionByName(texts.join(small, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
-    keys = reps.select("doc_id", "n_shingles", "signature").mapInArrow(_index, "key long, priority long, id long, n int, sketch long")
-    met = keys.repartition("key").sortWithinPartitions("key", "priority").mapInArrow(_bucket_pairs(percent), "a long, b long, crowded boolean").distinct()
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return common.written(verified(common.written(near_signatures(pairs, reps, percent), "near"), texts, k, percent), "links")
+
+    index = reps.select("doc_id", "signature").mapInArrow(_index, "key long, id long, other long, kind byte")
+    met = index.repartition("key").sortWithinPartitions("key", F.desc("kind"), "id").mapInArrow(_bucket_pairs, "a long, b long, crowded boolean").distinct()
     met = common.written(met, "met")
-    pairs = met.where("not crowded and a <> b").select("a", "b")
-    links = common.written(verified(pairs, texts, k, percent), "links")
-    first = common.written(common.components(links), "components")
-    # members of a large bucket that are not all in one component
+    links = confirmed(met.where("not crowded and a <> b").select("a", "b"))
+    found = common.written(common.components(links), "components")
     crowd = met.where("crowded").select(F.col("a").alias("id"), F.col("b").alias("key"))
-    crowd = crowd.join(first, crowd.id == first.node, "left").select("id", "key", F.coalesce("component", "id").alias("component"))
-    mixed = crowd.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_members = crowd.join(mixed, "key", "left_semi").select("id", "component").distinct()
-    more = common.written(verified(prefix_pairs(open_members, texts, k, percent), texts, k, percent), "links")
-    of_class = live.join(reps.select("set_hash", F.col("doc_id").alias("rep")), "set_hash").select(F.col("row_key").alias("a"), F.col("rep").alias("b"))
-    final = common.components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(of_class))
-    return sets, final.select(F.col("node").alias("row_key"), "component")
+    links = links.unionByName(confirmed(common.written(_components_met(_apart(crowd, found)), "met")))
+    found = common.written(common.components(links), "components")
+    rest = _apart(crowd, found).select("id", "component").distinct()
+    links = links.unionByName(common.written(verified(common.written(prefix_pairs(rest, texts, k, percent), "near"), texts, k, percent), "links"))
+    found = common.components(links)
+    classes = reps.join(found, reps.doc_id == found.node, "left").select("set_hash", "best", "first_id", F.coalesce("component", "doc_id").alias("component"))
+    return sets, common.written(classes, "classes")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -268,14 +329,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     is the smallest doc_id of a row reachable. Null and word-less texts have n_shingles 0 and are linked with nothing.
     Rows that repeat a doc_id each give a row, with the component of their own text. A row with a null doc_id links
     others but is not kept; its component is null if all of it have null ids. percent must be at least 80: the index is
-    complete for that.
+    complete for that. An empty table gives no rows; texts of any length are read whole.
     """
-    sets, final = _linked(docs, k, percent)
-    rows = sets.select("doc_id", "row_key", "n_shingles").join(final, "row_key", "left")
-    name = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("name"))
-    out = rows.join(name, "component", "left")
-    component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("name"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    sets, classes = _linked(docs, k, percent)
+    names = common.written(classes.groupBy("component").agg(F.min("first_id").alias("name")), "names")
+    named = common.written(classes.join(names, "component").select("set_hash", "name"), "named")
+    # sets without words are all equal but linked with nothing
+    out = sets.where("n_shingles > 0").join(named, "set_hash", "left").select("doc_id", "n_shingles", F.col("name").alias("component_id"))
+    out = out.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
@@ -285,18 +347,18 @@ def op1(spark, sf_dir: str) -> DataFrame:
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (five-word shingles, similarity 0.8): the one of the smallest id
     (null last). Rows with a null id or an id that others have too are judged by their own texts. Of word-less texts all
-    rows stay but those that repeat both id (not null) and text."""
-    sets, final = _linked(docs, 5, 80)
-    rows = sets.select("doc_id", "row_key", "n_shingles").distinct().join(final, "row_key", "left")
-    one = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("m")).select(F.col("m.row_key").alias("_key"))
-    single = rows.where("component is null and n_shingles > 0").select(F.col("row_key").alias("_key"))
-    named = rows.where("n_shingles = 0 and doc_id is not null").select(F.col("row_key").alias("_key"))
-    keep = common.written(one.unionByName(single).unionByName(named), "kept")
-    free = common.written(rows.where("n_shingles = 0 and doc_id is null").select(F.col("row_key").alias("_key")), "kept")
-    keyed = docs.withColumn("_key", row_key(docs))
+    rows stay but those that repeat both id (not null) and text. An empty table gives no rows; other columns, of
+    whatever name, are kept as they are."""
+    sets, classes = _linked(docs, 5, 80)
+    key = common.spare_name(docs, "_key")
+    one = classes.groupBy("component").agg(F.min("best").alias("m")).select(F.col("m.row_key").alias(key))
+    named = sets.where("n_shingles = 0 and doc_id is not null").select(F.col("row_key").alias(key)).distinct()
+    keep = common.written(one.unionByName(named), "kept")
+    free = common.written(sets.where("n_shingles = 0 and doc_id is null").select(F.col("row_key").alias(key)).distinct(), "kept")
+    keyed = docs.withColumn(key, row_key(docs))
     # a copy with the same id and text has the same key, so that one row of each kept key stays
-    kept = keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.unionByName(keyed.join(free, "_key", "left_semi")).drop("_key")
+    kept = keyed.join(keep, key, "left_semi").dropDuplicates([key])
+    return kept.unionByName(keyed.join(free, key, "left_semi")).drop(key)
 
 
 ORACLE_OP1 = r"""
