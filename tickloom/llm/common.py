@@ -42,6 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key():
+    """A number for each different pair of doc_id and text; ids may be null or repeat with other texts."""
+    return F.xxhash64(F.col("doc_id").cast("long").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text"))
+
+
 def only_ids(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``big`` whose key is in ``ids`` (a written table); ids are broadcast only up to BROADCAST_ROWS."""
     small = ids.count() <= BROADCAST_ROWS
@@ -61,24 +66,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Alternates large-star and small-star steps until the edge set no longer changes; every node ends
     linked to its component's minimum (some 2 log n rounds; an error after ``most_rounds``). The least neighbours of a step
-    are partial aggregates, broadcast where the edges are few, else a written table, so that Spark can split the join of a
-    node with very many neighbours.
+    are partial aggregates: broadcast where the edges are few, which a few tasks then do, else a written table, so that Spark
+    can split the join of a node with very many neighbours.
     """
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     state = lambda: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state()
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if before[0] else 0):
         few = 2 * before[0] <= BROADCAST_ROWS
+        less = (lambda df: df.coalesce(8)) if few else (lambda df: df)
         with_low = lambda rows, low: rows.join(F.broadcast(low) if few else written(low, "low"), "u")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_low(both, both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_low(both, less(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not few:
-            large = written(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+            large = written(large.distinct(), "large")
+        low = less(large.groupBy("u").agg(F.min("v").alias("m")))
         small = with_low(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        e = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        e = written(less(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), "edges")
         now = state()
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            break
         before = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    else:
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -10,9 +10,9 @@ confirmed by their signatures' distance, then on the full shingle sets, which ar
 
 Nothing grows with the square of a group: sets that are equal are one class; a key's first LEADERS members
 are paired with each other, later ones with the first HUBS only, and a task does so with its own rows before they are
-shuffled, so that a key of very many rows sends a few of each task. Members of one large bucket that are then in different
-components meet the first members of the bucket's largest other components, and what is still apart goes through an
-exact prefix-filter join on those members' shingles.
+shuffled, so that a key of very many rows sends a few of each task. Members of a large bucket that are then outside of its
+largest component meet COMPONENT_HUBS members of that, and what is still apart goes through an exact prefix-filter join on
+those members' shingles.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ SYMBOLS = 64
 MAX_DISTANCE = 29
 ERRORS = 1
 CHUNKS = MAX_DISTANCE // (ERRORS + 1) + 1
-LEADERS, HUBS = 16, 4
-#: Components of a large bucket whose first member meets the bucket's members of other components.
+LEADERS, HUBS = 16, 1
+#: Members of a large bucket's largest component that the bucket's members of other components meet.
 COMPONENT_HUBS = 8
 #: Texts compared with one hub in one task; sets that a task brings together before the shuffle.
 HUB_SHARE, BLOCK = 256, 16384
@@ -56,11 +56,6 @@ def signature(shingle_set: np.ndarray) -> np.ndarray:
     return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
-def row_key(docs: DataFrame):
-    """A number for each different pair of id and text; ids may be null or repeat with other texts."""
-    return F.xxhash64(F.col("doc_id").cast("long").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text"))
-
-
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, row_key, n_shingles, a 128-bit hash of the set, and the signature, one row for each input row."""
 
@@ -74,7 +69,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 sig.append(signature(s).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "row_key", "n_shingles", "set_hash", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), row_key(docs).alias("row_key"), "text").mapInArrow(run, _SET_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), common.row_key().alias("row_key"), "text").mapInArrow(run, _SET_SCHEMA)
 
 
 def signatures_of(column) -> np.ndarray:
@@ -269,22 +264,31 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) -> D
 
 
 def _apart(crowd: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, key, component) of the members of large buckets that hold more than one component."""
-    crowd = crowd.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
-    crowd = common.written(crowd, "crowd")
+    """(id, key, component) of the members of large buckets that hold more than one component; found: (doc_id, component)."""
+    crowd = common.written(crowd.join(found.withColumnRenamed("doc_id", "id"), "id").select("id", "key", "component"), "crowd")
     parts = crowd.groupBy("key", "component").agg(F.lit(1).alias("one"))  # a key's many members are one row before they meet
     mixed = common.written(parts.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed")
-    return common.only_ids(crowd, mixed, "key")
+    return common.written(common.only_ids(crowd, mixed, "key"), "apart")
 
 
 def _components_met(apart: DataFrame) -> DataFrame:
-    """Pairs (a, b): b is a member of a bucket, a the first member of one of its COMPONENT_HUBS largest other components."""
-    parts = apart.groupBy("key", "component").agg(F.min("id").alias("a"), F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "component"))
-    hubs = common.written(parts.withColumn("rank", rank).where(F.col("rank") <= COMPONENT_HUBS).select("key", "a", F.col("component").alias("of")), "hubs")
+    """Pairs (a, b): b is a member of a bucket outside of its largest component, a one of COMPONENT_HUBS members of that."""
+    parts = apart.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("of"))
+    hubs = apart.join(largest, "key").where("component = of").groupBy("key", "of", F.pmod(F.xxhash64("id"), F.lit(COMPONENT_HUBS)).alias("part")).agg(F.min("id").alias("a"))
+    hubs = common.written(hubs.select("key", "of", "a"), "hubs")
     return apart.join(hubs, "key").where("component <> of").select("a", F.col("id").alias("b")).distinct()
 
 
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, component) with the components that new links (a, b) join."""
+    for side in "ab":
+        links = links.join(found.select(F.col("doc_id").alias(side), F.col("component").alias(f"c{side}")), side)
+    joined = common.components(links.where("ca <> cb"), "ca", "cb")
+    out = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")
+    return common.written(out.select("doc_id", F.coalesce("new", "component").alias("component")), "components")
+
+
 def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The sets of ``docs`` (see shingle_sets), and one row for each different set with words: set_hash, best (the struct last, doc_id,
     row_key of its first row, null ids last), first_id (its smallest doc_id) and component (a number that linked sets share)."""
@@ -297,7 +301,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     reps = live.groupBy("set_hash").agg(F.min("row_key").alias("key"), F.min("doc_id").alias("first_id"), best, F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     reps = common.written(reps.withColumnRenamed("key", "doc_id"), "reps")
     # rows that repeat id and text have one key, and one text is enough
-    texts = docs.select(row_key(docs).alias("doc_id"), "text")
+    texts = docs.select(common.row_key().alias("doc_id"), "text")
     again = common.written(live.join(reps.select(F.col("doc_id").alias("row_key")), "row_key", "left_semi").groupBy("row_key").count().where("count > 1").select(F.col("row_key").alias("doc_id")), "repeated")
     few = again.count()
     if few:
@@ -310,16 +314,16 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     index = reps.select("doc_id", "signature").mapInArrow(_index, "key long, id long, other long, kind byte")
     met = index.repartition("key").sortWithinPartitions("key", F.desc("kind"), "id").mapInArrow(_bucket_pairs, "a long, b long, crowded boolean").distinct()
     met = common.written(met, "met")
-    links = confirmed(met.where("not crowded and a <> b").select("a", "b"))
-    found = common.written(common.components(links), "components")
+    found = _merged(reps.select("doc_id", F.col("doc_id").alias("component")), confirmed(met.where("not crowded and a <> b").select("a", "b")))
     crowd = met.where("crowded").select(F.col("a").alias("id"), F.col("b").alias("key"))
-    links = links.unionByName(confirmed(common.written(_components_met(_apart(crowd, found)), "met")))
-    found = common.written(common.components(links), "components")
-    rest = _apart(crowd, found).select("id", "component").distinct()
-    links = links.unionByName(common.written(verified(common.written(prefix_pairs(rest, texts, k, percent), "near"), texts, k, percent), "links"))
-    found = common.components(links)
-    classes = reps.join(found, reps.doc_id == found.node, "left").select("set_hash", "best", "first_id", F.coalesce("component", "doc_id").alias("component"))
-    return sets, common.written(classes, "classes")
+    apart = _apart(crowd, found)
+    if not apart.isEmpty():
+        found = _merged(found, confirmed(common.written(_components_met(apart), "met")))
+        rest = _apart(crowd, found)
+        if not rest.isEmpty():
+            near = common.written(prefix_pairs(rest.select("id", "component").distinct(), texts, k, percent), "near")
+            found = _merged(found, common.written(verified(near, texts, k, percent), "links"))
+    return sets, common.written(reps.select("doc_id", "set_hash", "best", "first_id").join(found, "doc_id").drop("doc_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -355,7 +359,7 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = sets.where("n_shingles = 0 and doc_id is not null").select(F.col("row_key").alias(key)).distinct()
     keep = common.written(one.unionByName(named), "kept")
     free = common.written(sets.where("n_shingles = 0 and doc_id is null").select(F.col("row_key").alias(key)).distinct(), "kept")
-    keyed = docs.withColumn(key, row_key(docs))
+    keyed = docs.withColumn(key, common.row_key())
     # a copy with the same id and text has the same key, so that one row of each kept key stays
     kept = keyed.join(keep, key, "left_semi").dropDuplicates([key])
     return kept.unionByName(keyed.join(free, key, "left_semi")).drop(key)
