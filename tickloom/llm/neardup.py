@@ -35,7 +35,7 @@ ERRORS = 1
 CHUNKS = MAX_DISTANCE // (ERRORS + 1) + 1
 LEADERS, HUBS = 16, 1
 #: Members of a large bucket's largest component that the bucket's members of other components meet.
-COMPONENT_HUBS = 8
+COMPONENT_HUBS = 4
 #: Texts compared with one hub in one task; sets that a task brings together before the shuffle.
 HUB_SHARE, BLOCK = 256, 16384
 MEMBER, LEADER, PAIR, CROWD = 0, 1, 2, 3
