@@ -33,7 +33,7 @@ def test_stream_matches_sql(spark, name):
     same(spark, name)
 
 
-@pytest.mark.parametrize("step,first", [(streaming._g_inf, (None, 0.0, 0.0, 0.0, 0.0, 0.0)), (streaming._hawkes, (None, 0.0, 0.0)), (streaming._rolling, ([],)), (streaming._delta_bars(300), (0,) * 10)])
+@pytest.mark.parametrize("step,first", [(streaming._g_inf, (None, 0.0, 0.0, 0.0, 0.0, 0.0)), (streaming._hawkes(0.8, 0.002), (None, 0.0, 0.0)), (streaming._rolling, ([],)), (streaming._delta_bars(300), (0,) * 10)])
 def test_state_carries_over_batches(step, first):
     """A day that comes in pieces gives the rows of the whole day."""
     rng = np.random.default_rng(1)

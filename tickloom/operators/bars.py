@@ -62,56 +62,80 @@ def assign_shards(bars: DataFrame, n: int = 24) -> DataFrame:
 
 
 SIM_SCHEMA = "symbol string, shard_id int, seq int, entry_ts long, exit_ts long, net_pnl_bps double, side int, k1 double, k3 double"
+#: Says for some bars after an entry (moves in basis points for the position, bars held) at which the position is closed.
+ExitRule = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _simulate(f: pd.DataFrame, tp: float, sl: float, cost: float) -> list[tuple]:
-    """One open position; the exit test comes before the entry, which may follow on the same bar."""
+def tp_sl(tp: float, sl: float) -> ExitRule:
+    return lambda roi, held: (roi > tp) | (roi < sl)
+
+
+def _simulate(f: pd.DataFrame, leave: ExitRule, cost: float) -> list[tuple]:
+    """One open position; the exit test comes before the entry, which may follow on the same bar. The exit is looked for in
+    doubling steps, so that the work is in proportion to the bars held."""
     c, sig, ts = f["close"].to_numpy(), f["signal"].to_numpy(), f["ts_end"].to_numpy()
     entries, out, at = np.flatnonzero(sig != 0), [], 0
     while True:
         k = np.searchsorted(entries, at)
         if k == len(entries):
             return out
-        i = entries[k]
-        roi = (c[i + 1 :] - c[i]) / c[i] * 10000.0 * sig[i]
-        hit = np.flatnonzero((roi > tp) | (roi < sl))
-        if not len(hit):
+        i = int(entries[k])
+        lo, width, end = i + 1, 64, None
+        while lo < len(c):
+            hi = min(lo + width, len(c))
+            roi = (c[lo:hi] - c[i]) / c[i] * 10000.0 * sig[i]
+            hit = np.flatnonzero(leave(roi, np.arange(lo - i, hi - i)))
+            if len(hit):
+                end = lo + int(hit[0])
+                break
+            lo, width = hi, width * 2
+        if end is None:
             return out
-        at = i + 1 + hit[0]
-        out.append((int(ts[i]), int(ts[at]), float(roi[hit[0]] - cost), int(sig[i]), float(f["eff"].iat[i]), float(f["impact"].iat[i])))
+        at = end
+        out.append((int(ts[i]), int(ts[at]), float(roi[hit[0]] - cost), int(sig[i]), float(f["eff"].iat[i]), float(f["impact"].iat[i]), i, at))
+
 
+_SIM = ["entry_ts", "exit_ts", "net_pnl_bps", "side", "k1", "k3", "entry_bar", "exit_bar"]
 
-def backtest(bars: DataFrame, tp: float = 40.0, sl: float = -15.0, cost: float = 5.0, signal: Callable[[], Column] = absorption_signal) -> DataFrame:
-    """Simulated trades of bars with a shard_id; a position open at a shard's end is discarded."""
+
+def backtest(bars: DataFrame, tp: float = 40.0, sl: float = -15.0, cost: float = 5.0, signal: Callable[[], Column] = absorption_signal, leave: ExitRule | None = None, bar_numbers: bool = False) -> DataFrame:
+    """Simulated trades of bars with a shard_id; a position open at a shard's end is discarded. ``signal`` is the entry rule,
+    ``leave`` the exit rule (tp and sl, if not given); with ``bar_numbers`` also the shard's bars (from 0) of entry and exit."""
+    leave = leave or tp_sl(tp, sl)
+    schema = SIM_SCHEMA + ", entry_bar int, exit_bar int" * bar_numbers
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["trade_date", "bar_no"], kind="stable")
-        rows = _simulate(f, tp, sl, cost)
-        out = pd.DataFrame(rows, columns=["entry_ts", "exit_ts", "net_pnl_bps", "side", "k1", "k3"])
+        out = pd.DataFrame(_simulate(f, leave, cost), columns=_SIM)
+        if not bar_numbers:
+            out = out[_SIM[:6]]
         out.insert(0, "seq", np.arange(len(out)))
         out.insert(0, "shard_id", f["shard_id"].iat[0])
         out.insert(0, "symbol", f["symbol"].iat[0])
         return out
 
     slim = bars.withColumn("signal", signal()).select("symbol", "shard_id", "trade_date", "bar_no", "ts_end", "close", "eff", "impact", "signal")
-    return slim.groupBy("symbol", "shard_id").applyInPandas(run, SIM_SCHEMA)
+    return slim.groupBy("symbol", "shard_id").applyInPandas(run, schema)
 
 
 def sweep(bars: DataFrame, grid: DataFrame, signal: Callable[[], Column] = absorption_signal) -> DataFrame:
-    """The backtest for each row of a small grid (param_id, tp, sl, cost), keyed by parameter, symbol and shard."""
+    """The backtest for each row of a small grid (param_id, tp, sl, cost), keyed by parameter, symbol and shard. A shard's bars
+    are read once for all parameters."""
+    params = [tuple(r) for r in grid.select("param_id", "tp", "sl", "cost").collect()]  # the caller's small table
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["trade_date", "bar_no"], kind="stable")
-        rows = _simulate(f, f["tp"].iat[0], f["sl"].iat[0], f["cost"].iat[0])
-        out = pd.DataFrame([(r[0], r[1], r[2], r[3]) for r in rows], columns=["entry_ts", "exit_ts", "net_pnl_bps", "side"])
-        out.insert(0, "seq", np.arange(len(out)))
-        for c in ("shard_id", "symbol", "param_id"):
-            out.insert(0, c, f[c].iat[0])
-        return out
+        parts = []
+        for param, tp, sl, cost in params:
+            out = pd.DataFrame(_simulate(f, tp_sl(tp, sl), cost), columns=_SIM)[_SIM[:4]]
+            out.insert(0, "seq", np.arange(len(out)))
+            for name, value in (("shard_id", f["shard_id"].iat[0]), ("symbol", f["symbol"].iat[0]), ("param_id", param)):
+                out.insert(0, name, value)
+            parts.append(out)
+        return pd.concat(parts)
 
     slim = bars.withColumn("signal", signal()).select("symbol", "shard_id", "trade_date", "bar_no", "ts_end", "close", "eff", "impact", "signal")
-    every = slim.withColumn("one", F.lit(1)).join(F.broadcast(grid.withColumn("one", F.lit(1))), "one").drop("one")
-    return every.groupBy("param_id", "symbol", "shard_id").applyInPandas(run, "param_id int, symbol string, shard_id int, seq int, entry_ts long, exit_ts long, net_pnl_bps double, side int")
+    return slim.groupBy("symbol", "shard_id").applyInPandas(run, "param_id int, symbol string, shard_id int, seq int, entry_ts long, exit_ts long, net_pnl_bps double, side int")
 
 
 def cash_position_ledger(ticks: DataFrame, cash: float = 100_000.0) -> DataFrame:

@@ -79,7 +79,7 @@ _DAY = "(PARTITION BY symbol, trade_date ORDER BY trade_id ROWS BETWEEN {} PRECE
 _ALL, _EIGHT = _DAY.format("UNBOUNDED"), _DAY.format(7)
 #: The streams' rows as batch queries; clock bars are those that end by the watermark.
 STREAMS = {
-    "str1_stream_rolling_g_inf": f"""WITH {TAPE_DUCK}, t AS (SELECT *, qty / 1e8 AS q, px / 1e8 - lag(px / 1e8) OVER (PARTITION BY symbol, trade_date ORDER BY trade_id) AS dx FROM tape),
+    "str1_stream_rolling_g_inf": f"""WITH {TAPE_DUCK}, t AS (SELECT *, (1 - 2 * flags) * qty / 1e8 AS q, px / 1e8 - lag(px / 1e8) OVER (PARTITION BY symbol, trade_date ORDER BY trade_id) AS dx FROM tape),
 u AS (SELECT *, var_pop(CASE WHEN dx IS NOT NULL THEN q END) OVER {_ALL} AS v, covar_pop(dx, q) OVER {_ALL} AS c FROM t)
 SELECT symbol, trade_date, trade_id, round(CASE WHEN v > 1e-9 THEN c / v END, 6) AS g_inf FROM u""",
     "str2_stream_hawkes": f"""WITH {TAPE_DUCK}, t AS (SELECT *, (ts_ms % 86400000) / 3600000.0 AS h FROM tape)

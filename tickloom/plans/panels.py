@@ -1,22 +1,9 @@
-"""More plans over the panel: spec forms of the kernels, signals with decay, calendars, interval and quote joins, panel
-tests and costs. Every window stays in one symbol-day; splits in halves are by day."""
+"""More plans over the panel: calendars, interval and quote joins, panel tests and costs. Every window stays in one symbol-day; splits in halves are by day."""
 
 from __future__ import annotations
 
 from .signals import D, DAILY, PANEL, PLANS, PNL, QUOTES, Spark, by_symbol, row_level, rounded
 
-#: Rows of the sliding frames; days are short in the event table.
-MEAN, LONG, QUANTILE = 8, 32, 16
-
-
-def _frame(n: int) -> str:
-    return f"({D} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-
-
-def _z(c: str, n: int = LONG) -> str:
-    return f"({c} - avg({c}) OVER {_frame(n)}) / (stddev_samp({c}) OVER {_frame(n)} + 1e-8)"
-
-
 # calendars: every day between the tape's first and last, for each symbol
 CALENDAR = lambda d: f"days AS (SELECT symbol, {d.series('k', 'a', 'b')} FROM (SELECT symbol, a, b FROM (SELECT DISTINCT symbol FROM tape) s CROSS JOIN (SELECT {d.day('min(trade_date)')} AS a, {d.day('max(trade_date)')} AS b FROM tape) r) c), have AS (SELECT symbol, {d.day('trade_date')} AS k, count(*) AS n, min(px) AS low, min(qty) AS least FROM tape GROUP BY symbol, trade_date)"
 PLANS["src8_day_calendar"] = (lambda d: "SELECT symbol, CAST(k AS INTEGER) AS epoch_day FROM days", CALENDAR)
@@ -24,14 +11,6 @@ PLANS["src9_days_to_ingest"] = (lambda d: "SELECT days.symbol, CAST(days.k AS IN
 PLANS["src10_ingest_status"] = (lambda d: """SELECT status, count(*) AS days FROM (SELECT CASE WHEN h.k % 2 = 0 THEN 'skip' WHEN h.k IS NULL THEN 'missing' WHEN low <= 0 OR least < 0 THEN 'error' ELSE 'ok' END AS status
   FROM days LEFT JOIN have h ON days.symbol = h.symbol AND days.k = h.k) t GROUP BY status""", CALENDAR)
 
-# kernels, spec forms
-row_level("win7_rolling_quantile", q90=lambda d: f"{d.pct('abs(v)', 0.9)} OVER {_frame(QUANTILE)}")
-PLANS["win9_k2_lead_lag"] = (lambda d: f"""SELECT symbol, trade_id, round({_z('y')}, 4) AS k2 FROM (SELECT *, 1e4 * (0.4 * r + 0.3 * lag(r, 1) OVER w + 0.2 * lag(r, 2) OVER w + 0.1 * lag(r, 3) OVER w) AS y
-  FROM panel WHERE symbol = 'view' WINDOW w AS ({D})) a WHERE y IS NOT NULL""", PANEL)
-PLANS["win10_k3_spec"] = (lambda d: f"SELECT symbol, trade_id, round({_z('m')}, 4) AS k3 FROM (SELECT *, avg(tox) OVER {_frame(MEAN)} AS m FROM panel WHERE i > 1) a", PANEL)
-PLANS["win11_k4_spec"] = (lambda d: f"""SELECT symbol, trade_id, round(-({_z('m')}), 4) AS k4 FROM (SELECT *, avg(l) OVER {_frame(MEAN)} AS m FROM (SELECT *, 1e4 * abs(r) / (abs(v) + 0.01 * p90) AS l
-  FROM (SELECT *, {d.pct('abs(v)', 0.9)} OVER {_frame(QUANTILE)} AS p90 FROM panel WHERE i > 1) a) b) c""", PANEL)
-
 # fractional differencing: weight of lag k is -w(k-1) (d - k + 1) / k, as a running product
 FRACTIONAL, TERMS = 0.4, 500
 PLANS["ms11_farima_ms23_weights"] = (lambda d: f"""SELECT symbol, trade_date, count(*) AS terms, round(sum(-{FRACTIONAL} * exp(lw) * v), 6) AS forecast FROM (SELECT *, sum(CASE WHEN k > 1 THEN ln((k - 1 - {FRACTIONAL}) / k) ELSE 0.0 END) OVER (PARTITION BY symbol, trade_date ORDER BY k) AS lw
@@ -39,27 +18,6 @@ PLANS["ms11_farima_ms23_weights"] = (lambda d: f"""SELECT symbol, trade_date, co
 PLANS["ms13_propagator_signal"] = (lambda d: """SELECT symbol, trade_date, round(actual - model, 6) AS resid, CAST(CASE WHEN abs(actual - model) > 2 THEN -sign(actual - model) ELSE 0 END AS INTEGER) AS signal
   FROM (SELECT symbol, trade_date, max_by(x, i) - min_by(x, i) AS actual, sum(CASE WHEN k > 1 THEN v / sqrt(k) ELSE 0.0 END) AS model FROM (SELECT *, count(*) OVER (PARTITION BY symbol, trade_date) - i + 1 AS k FROM panel) a GROUP BY symbol, trade_date) b""", PANEL)
 
-# exponential decay as a prefix sum: times are hours of the day, so exp(BETA * time) stays small
-ALPHA, BETA = 0.8, 0.5
-_side = lambda s: f"exp(-{BETA} * h) * sum(CASE WHEN sign = {s} THEN {ALPHA} * exp({BETA} * h) ELSE 0.0 END) OVER ({D} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-HAWKES = PANEL + f", hawkes AS (SELECT symbol, trade_date, trade_id, {_side(1)} AS buys, {_side(-1)} AS sells FROM (SELECT *, (ts_ms % 86400000) / 3600000.0 AS h FROM panel) a)"
-PLANS["ms14_hawkes_intensity"] = (lambda d: f"SELECT symbol, trade_id, {rounded(buys='buys', sells='sells')} FROM hawkes", HAWKES)
-PLANS["ms15_hawkes_fade"] = (lambda d: """SELECT symbol, trade_id, round(z, 5) AS z, CAST(CASE WHEN abs(z) > 3.5 THEN -sign(z) ELSE 0 END AS INTEGER) AS signal FROM (SELECT *, (buys - sells - avg(buys - sells) OVER w) / (stddev_samp(buys - sells) OVER w + 1e-8) AS z
-  FROM hawkes WINDOW w AS (PARTITION BY symbol, trade_date)) a""", HAWKES)
-by_symbol("ms34_hawkes_rho", "(SELECT symbol, avg(CASE WHEN sign = 1 AND nsign = 1 THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN sign = 1 AND nsign = -1 THEN 1.0 ELSE 0.0 END) AS b, avg(CASE WHEN sign = -1 AND nsign = 1 THEN 1.0 ELSE 0.0 END) AS c, avg(CASE WHEN sign = -1 AND nsign = -1 THEN 1.0 ELSE 0.0 END) AS e FROM panel GROUP BY symbol) m",
-          rho="max((a + e + sqrt(greatest((a + e) * (a + e) - 4 * (a * e - b * c), 0.0))) / 2)")
-
-AHEAD = 16
-PLANS["ms29_resilience_time"] = (lambda d: f"""SELECT s.symbol, s.trade_id, CAST(coalesce(min(CASE WHEN 2 * abs(p.px - s.ppx) < abs(s.px - s.ppx) THEN s.step END), -1) AS INTEGER) AS steps
-  FROM (SELECT symbol, trade_date, trade_id, i, px, ppx, {d.series('step', 1, AHEAD)} FROM panel JOIN (SELECT symbol AS s2, {d.pct('abs(r)', 0.95)} AS shock FROM panel GROUP BY symbol) q ON symbol = s2 WHERE abs(r) > shock) s
-  LEFT JOIN panel p ON p.symbol = s.symbol AND p.trade_date = s.trade_date AND p.i = s.i + s.step GROUP BY s.symbol, s.trade_id""", PANEL)
-
-
-def _rv(d, ms: int) -> str:
-    return f"(SELECT symbol, sum(lr * lr) AS rv FROM (SELECT symbol, ln(c / lag(c) OVER (PARTITION BY symbol, trade_date ORDER BY g)) AS lr FROM (SELECT symbol, trade_date, {d.div('ts_ms', ms)} AS g, max_by(x, i) AS c FROM panel GROUP BY 1, 2, 3) a{ms}) b{ms} GROUP BY symbol)"
-
-
-PLANS["ms31_vol_signature_bias"] = (lambda d: f"SELECT a.symbol, round(a.rv / (4 * b.rv), 6) AS bias FROM {_rv(d, 14_400_000)} a JOIN {_rv(d, 3_600_000)} b ON a.symbol = b.symbol", PANEL)
 LAGS = (1, 2, 4, 8)
 PLANS["ms45_decay_halflife"] = (lambda d: "SELECT symbol, round(ln(2.0) * sum(lag * lag) / -sum(lag * ln(ac)), 6) AS halflife FROM (" + " UNION ALL ".join(f"SELECT symbol, {k} AS lag, avg(s * n) / avg(s * s) AS ac FROM (SELECT symbol, s, lead(s, {k}) OVER ({D}) AS n FROM sig) a{k} GROUP BY symbol" for k in LAGS) + ") t WHERE ac > 0.001 GROUP BY symbol", PANEL)
 
@@ -83,8 +41,6 @@ by_symbol("ex4_fill_rate", "met", needs=ORDERS, fill_rate_pct="100.0 * avg(CASE
 
 # halves by day
 HALVES = lambda d: PANEL + f", halves AS (SELECT symbol, s, rf, CASE WHEN 2 * {d.day('trade_date')} < m THEN 1 ELSE 2 END AS half FROM sig JOIN (SELECT symbol AS s2, min({d.day('trade_date')}) + max({d.day('trade_date')}) AS m FROM sig GROUP BY symbol) k ON symbol = s2)"
-by_symbol("sd8_chow_break", "(SELECT symbol, count(*) AS n, var_pop(s) * count(*) AS sse, sum(s) AS t, sum(s * s) AS tt FROM halves GROUP BY symbol, half) h", needs=HALVES,
-          f="((sum(tt) - sum(t) * sum(t) / sum(n)) - sum(sse)) / (sum(sse) / (sum(n) - 2))")
 by_symbol("pp10_predictive_r2_oos", "halves JOIN (SELECT symbol AS s2, regr_slope(rf, s) AS b, regr_intercept(rf, s) AS a, avg(rf) AS m FROM halves WHERE half = 1 GROUP BY symbol) fit ON symbol = s2", "half = 2", needs=HALVES,
           predictive_r2_oos="1 - sum((rf - a - b * s) * (rf - a - b * s)) / sum((rf - m) * (rf - m))")
 # panel tests

@@ -72,10 +72,6 @@ def row_level(name: str, source: str = "panel", where: str = "true", **cols):
     PLANS[name] = (lambda d: f"SELECT symbol, trade_id, {rounded(**{n: e(d) if callable(e) else e for n, e in cols.items()})} FROM {source} WHERE {where}", PANEL)
 
 
-def counts(c: str) -> str:
-    return f"CAST({c} AS DOUBLE)"
-
-
 D = "PARTITION BY symbol, trade_date ORDER BY trade_id"
 # scalars
 row_level("prj4_unscale", price="px / 1e8", quantity="qty / 1e8")
@@ -93,59 +89,6 @@ row_level("win2_duration", where="i > 1", dt="dt")
 row_level("win3_trade_speed", where="i > 1", spec="v / (sqrt(dt) + 0.001)", online="v / sqrt(greatest(dt, 0.001))")
 row_level("win4_flow_toxicity", where="i > 1", tox="tox")
 row_level("win5_rolling_sum", ofi="ofi", mean="ofi / least(i, 8)")
-row_level("prj15_trade_signal", "sig", k="greatest(-2.0, least(2.0, s + 0.5 * r))")
-by_symbol("win14_hit_rate", "sig", "s <> 0 AND rf <> 0", hit_rate="avg(CASE WHEN s * rf > 0 THEN 1.0 ELSE 0.0 END)", bps="avg(sign(s) * (xf - x) / x * 10000)")
-
-
-@plan("win6_rolling_zscore")
-def _(d):
-    w = f"({D} ROWS BETWEEN {W - 1} PRECEDING AND CURRENT ROW)"
-    return f"SELECT symbol, trade_id, round(CASE WHEN i >= {W} THEN (ofi - avg(ofi) OVER {w}) / (stddev_samp(ofi) OVER {w} + 1e-8) END, 4) AS z FROM panel"
-
-
-@plan("win8_k1")
-def _(d):
-    w = f"({D} ROWS BETWEEN {L - 1} PRECEDING AND CURRENT ROW)"
-    z = lambda c: f"(({c} - avg({c}) OVER {w}) / (stddev_samp({c}) OVER {w} + 1e-8))"
-    return f"SELECT symbol, trade_id, round(0.75 * {z('ofi')} + 0.25 * {z('sp')}, 4) AS k1 FROM (SELECT *, v / (sqrt(dt) + 0.001) AS sp FROM panel WHERE i > 1) y WHERE i > {L}".replace("FROM (SELECT", "FROM (SELECT").replace(f" WHERE i > {L}", "")
-
-
-@plan("win10_k3_online")
-def _(d):
-    w = f"({D} ROWS BETWEEN {L - 1} PRECEDING AND CURRENT ROW)"
-    return f"SELECT symbol, trade_id, round(CASE WHEN i > 2 AND stddev_pop(t) OVER {w} > 1e-12 THEN (t - avg(t) OVER {w}) / stddev_pop(t) OVER {w} ELSE 0 END, 4) AS k3 FROM (SELECT *, coalesce(tox, 0) AS t FROM panel) y"
-
-
-@plan("win11_k4_online")
-def _(d):
-    w = f"({D} ROWS BETWEEN {L - 1} PRECEDING AND CURRENT ROW)"
-    return f"SELECT symbol, trade_id, round(-(l - avg(l) OVER {w}) / (stddev_samp(l) OVER {w} + 1e-8), 4) AS k4 FROM (SELECT *, abs(r) / (abs(v) + 1.0) * 1e4 AS l FROM panel WHERE i > 1) y"
-
-
-@plan("win12_k5_regime")
-def _(d):
-    return f"""SELECT symbol, trade_date, blk, round((max_by(x, i) - min_by(x, i)) / CASE WHEN sum(abs(dx)) > 0 THEN sum(abs(dx)) END, 6) AS efficiency,
-      round(ln(stddev_pop(x5) / stddev_pop(x2)) / ln(2.5), 6) AS hurst
-      FROM (SELECT *, x - lag(x, 2) OVER w AS x2, x - lag(x, 5) OVER w AS x5 FROM (SELECT *, {d.div('i - 1', 24)} AS blk FROM panel) z WINDOW w AS (PARTITION BY symbol, trade_date, blk ORDER BY trade_id)) y
-      GROUP BY symbol, trade_date, blk HAVING count(*) = 24"""
-
-
-H = 3_600_000
-FORWARD = PANEL + f""",
-ahead AS (SELECT *, max(struct(ts_ms, trade_id, x)) OVER (PARTITION BY symbol, trade_date ORDER BY ts_ms RANGE BETWEEN UNBOUNDED PRECEDING AND {H} FOLLOWING) AS f FROM panel)"""
-PLANS["join4_forward_price"] = (lambda d: ("SELECT symbol, trade_id, round(f.x - x, 6) AS move FROM ahead" if d is Spark else
-    f"SELECT p.symbol, p.trade_id, round(max_by(o.x, o.trade_id) - any_value(p.x), 6) AS move FROM panel p JOIN panel o ON p.symbol = o.symbol AND p.trade_date = o.trade_date AND o.ts_ms <= p.ts_ms + {H} GROUP BY 1, 2"), {"spark": FORWARD, "duck": PANEL})
-PLANS["join2_asof_backward"] = (lambda d: (
-    """SELECT symbol, trade_id, round(v, 6) AS leader_r FROM (SELECT *, last_value(lr) IGNORE NULLS OVER (PARTITION BY trade_date ORDER BY ts_ms, side, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v
-      FROM (SELECT symbol, trade_date, trade_id, ts_ms, 1 AS side, CAST(NULL AS DOUBLE) AS lr FROM panel WHERE symbol <> 'view' UNION ALL SELECT symbol, trade_date, trade_id, ts_ms, 0, r FROM panel WHERE symbol = 'view' AND r IS NOT NULL) u) y WHERE side = 1""" if d is Spark else
-    "SELECT a.symbol, a.trade_id, round(b.r, 6) AS leader_r FROM (SELECT * FROM panel WHERE symbol <> 'view') a ASOF LEFT JOIN (SELECT * FROM panel WHERE symbol = 'view' AND r IS NOT NULL) b ON a.trade_date = b.trade_date AND a.ts_ms >= b.ts_ms"), PANEL)
-
-
-@plan("join5_lagged_panel_ms32_lead_lag")
-def _(d):
-    return f"""SELECT lagged, round(corr(a.v, b.v), 6) AS rho FROM (SELECT trade_date, {d.div('ts_ms', 1800000)} AS g, sum(r) AS v FROM panel WHERE symbol = 'view' AND r IS NOT NULL GROUP BY 1, 2) a
-      JOIN (SELECT trade_date, g + lagged AS g, v, lagged FROM (SELECT trade_date, {d.div('ts_ms', 1800000)} AS g, sum(r) AS v FROM panel WHERE symbol = 'click' AND r IS NOT NULL GROUP BY 1, 2) c CROSS JOIN (SELECT {d.series('lagged', -5, 4)}) l) b
-      ON a.trade_date = b.trade_date AND a.g = b.g GROUP BY lagged"""
 
 
 @plan("win20_clock_bars")
@@ -160,25 +103,12 @@ piece AS (SELECT *, {d.series('bucket', 'b0', 'b1')} FROM (SELECT *, {d.div('lo'
 vbar AS (SELECT symbol, trade_date, bucket, CAST(sum(part) AS DOUBLE) / 1e8 AS vol, CAST(sum(part * sign) AS DOUBLE) / 1e8 AS net, sum(x * part) / CAST(sum(part) AS DOUBLE) AS vwap, max_by(x, trade_id) AS c
   FROM (SELECT *, least(hi, (bucket + 1) * {VB}) - greatest(lo, bucket * {VB}) AS part FROM piece) y GROUP BY symbol, trade_date, bucket)"""
 PLANS["win21_volume_bars"] = (lambda d: "SELECT symbol, trade_date, bucket, round(vol, 6) AS vol, round(net, 6) AS net, round(c, 6) AS c FROM vbar", VOLUME)
-by_symbol("ms8_vpin", "vbar", needs=VOLUME, vpin="avg(abs(net) / vol)")
 PLANS["ms16_bucket_vwap"] = (lambda d: "SELECT symbol, trade_date, bucket, round(vwap, 6) AS vwap FROM vbar", VOLUME)
 PLANS["ms20_rv_volume_clock"] = (lambda d: "SELECT symbol, round(sum(pow(lr, 2)), 6) AS rv FROM (SELECT symbol, ln(c / lag(c) OVER (PARTITION BY symbol, trade_date ORDER BY bucket)) AS lr FROM vbar) y GROUP BY symbol", VOLUME)
 
 # microstructure signals
-for _t in (1, 5):
-    PLANS[f"ms1_impact_response_{_t}"] = (lambda d, t=_t: f"SELECT symbol, {rounded(response='avg((y - x) * sign)')} FROM (SELECT symbol, x, sign, lead(x, {t}) OVER ({D}) AS y FROM panel) z GROUP BY symbol", PANEL)
-PLANS["ms2_signature_norm"] = (lambda d: f"SELECT symbol, {rounded(response='avg((y - x) * sign) / sqrt(avg(pow(y - x, 2)))')} FROM (SELECT symbol, x, sign, lead(x, 5) OVER ({D}) AS y FROM panel) z GROUP BY symbol", PANEL)
 BLOCKS = lambda d: PANEL + f", blk AS (SELECT symbol, trade_date, {d.div('i - 1', 10)} AS b, CAST(sum(sv) AS DOUBLE) / 1e8 AS bq, min_by(x, i) AS x0, count(*) AS n, avg(trade_count) AS tc FROM panel GROUP BY 1, 2, 3), blk2 AS (SELECT *, lead(x0) OVER (PARTITION BY symbol, trade_date ORDER BY b) - x0 AS dp FROM blk)"
-by_symbol("ms3_permanent_impact", "blk2", "n = 10 AND dp IS NOT NULL", needs=BLOCKS, g="sum(dp * bq) / sum(bq * bq)")
 by_symbol("ex3_kyle_lambda", "blk2", "n = 10 AND dp IS NOT NULL", needs=BLOCKS, kyle_lambda="regr_slope(dp, bq)")
-PLANS["ms4_concave_impact"] = (lambda d: "SELECT round(exp(regr_intercept(ly, lx)), 6) AS y, round(regr_slope(ly, lx), 6) AS delta FROM (SELECT ln(abs(dp) / sd) AS ly, ln(abs(bq) / vol) AS lx FROM blk2 JOIN (SELECT symbol AS s2, trade_date AS d2, stddev_samp(dx) AS sd, sum(q) AS vol FROM panel GROUP BY 1, 2) k ON symbol = s2 AND trade_date = d2 WHERE dp <> 0 AND bq <> 0 AND sd > 0) z", BLOCKS)
-by_symbol("ms5_sign_autocorr", "panel", "nsign IS NOT NULL", acf="avg(sign * nsign)")
-
-
-@plan("ms6_hill_index")
-def _(d):
-    return """SELECT symbol, round(1.0 / avg(ln(y) - ln(yk)), 6) AS hill FROM (SELECT *, max(CASE WHEN rk = k + 1 THEN y END) OVER (PARTITION BY symbol) AS yk FROM
-      (SELECT symbol, abs(r) AS y, row_number() OVER (PARTITION BY symbol ORDER BY abs(r) DESC, trade_id) AS rk, floor(count(*) OVER (PARTITION BY symbol) * 0.05) AS k FROM panel WHERE r <> 0) a) b WHERE rk <= k GROUP BY symbol"""
 
 
 @plan("ms7_realized_kernel")
@@ -191,11 +121,9 @@ by_symbol("ms9_duration_dispersion", where="dt IS NOT NULL", dispersion="stddev_
 by_symbol("ms10_fano_factor", fano="var_samp(trade_count) / avg(trade_count)")
 PLANS["ms12_propagator"] = (lambda d: f"SELECT symbol, trade_date, round(sum(CASE WHEN i < n THEN v / pow(n - i + 1, 0.5) END), 6) AS response FROM (SELECT *, count(*) OVER (PARTITION BY symbol, trade_date) AS n FROM panel) a GROUP BY 1, 2", PANEL)
 PLANS["ms17_iceberg"] = (lambda d: "SELECT symbol, trade_id, round(trade_count * (1 - least(abs(dx) / (q * sd), 1.0)), 6) AS score FROM (SELECT *, stddev_samp(dx) OVER (PARTITION BY symbol, trade_date) AS sd FROM panel) a WHERE dx IS NOT NULL AND sd > 0", PANEL)
-PLANS["ms18_meta_acceleration"] = (lambda d: f"SELECT symbol, trade_id, round(coalesce(ofi - 2 * lag(ofi, 1) OVER ({D}) + lag(ofi, 2) OVER ({D}), 0), 6) AS acc FROM panel", PANEL)
-PLANS["ms19_rolling_g_inf"] = (lambda d: f"SELECT symbol, trade_id, round(covar_samp(dx, v) OVER ({D} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / var_samp(v) OVER ({D} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS g FROM panel WHERE i > 1 QUALIFY 1 = 1".replace(" QUALIFY 1 = 1", ""), PANEL)
+PLANS["ms19_rolling_g_inf"] = (lambda d: f"SELECT symbol, trade_id, round(covar_samp(dx, v) OVER ({D} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / var_samp(v) OVER ({D} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS g FROM panel WHERE i > 1", PANEL)
 row_level("ms21_duration_adj_return", where="i > 1", a="CASE WHEN dt > 0 THEN r / sqrt(dt) ELSE 0 END")
 by_symbol("ms22_frag_speed_corr", where="dt IS NOT NULL", rho="corr(q / trade_count, dt)")
-PLANS["ms24_parzen_weights"] = (lambda d: f"SELECT h, round(CASE WHEN h <= 10 THEN 1 - 6 * pow(h / 20.0, 2) + 6 * pow(h / 20.0, 3) ELSE 2 * pow(1 - h / 20.0, 3) END, 6) AS w FROM (SELECT {d.series('h', 0, 20)}) a", "")
 RS = lambda col: lambda d: f"SELECT symbol, trade_date, round(ln((max(c) - min(c)) / max(sd)) / ln(count(*)), 6) AS hurst FROM (SELECT *, sum({col} - m) OVER ({D} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM (SELECT *, avg({col}) OVER (PARTITION BY symbol, trade_date) AS m, stddev_samp({col}) OVER (PARTITION BY symbol, trade_date) AS sd FROM panel WHERE {col} IS NOT NULL) a) b GROUP BY 1, 2 HAVING count(*) > 10 AND max(sd) > 0"
 PLANS["ms25_hurst_rs"] = (RS("r"), PANEL)
 PLANS["ms46_long_memory"] = (lambda d: f"SELECT symbol, trade_date, round(hurst - 0.5, 6) AS d FROM ({RS('sign')(d)}) z", PANEL)
@@ -206,18 +134,9 @@ def _slopes(expr: str, q: float) -> Callable:
     return lambda d: "SELECT symbol, " + f"regr_slope(l, t) / {q} AS h FROM (" + " UNION ALL ".join(f"SELECT symbol, ln({float(k)}) AS t, ln(avg(pow(abs(y), {q}))) AS l FROM (SELECT symbol, {expr} - lag({expr}, {k}) OVER ({D}) AS y FROM panel) a{k} WHERE y <> 0 GROUP BY symbol" for k in lags) + ") u GROUP BY symbol"
 
 
-PLANS["ms26_multifractal_width"] = (lambda d: f"SELECT a.symbol, round(b.h - a.h, 6) AS width FROM ({_slopes('x', 2.0)(d)}) a JOIN ({_slopes('x', 1.0)(d)}) b ON a.symbol = b.symbol", PANEL)
 PLANS["ms47_rough_vol_h"] = (lambda d: f"SELECT symbol, round(h, 6) AS h FROM ({_slopes('ln(1e-6 + abs(r))', 2.0)(d)}) a", PANEL)
 
 
-def _entropy(a: str, b: str) -> Callable:
-    return lambda d: f"""SELECT symbol, round(sum(p * ln(p * n3 / (n1 * n2))), 6) AS te FROM (SELECT symbol, CAST(count(*) AS DOUBLE) AS p, max(n1) AS n1, max(n2) AS n2, max(n3) AS n3 FROM
-      (SELECT *, CAST(count(*) OVER (PARTITION BY symbol, y0, x0) AS DOUBLE) AS n1, CAST(count(*) OVER (PARTITION BY symbol, y1, y0) AS DOUBLE) AS n2, CAST(count(*) OVER (PARTITION BY symbol, y0) AS DOUBLE) AS n3 FROM
-      (SELECT symbol, sign({a}) AS x0, sign({b}) AS y0, lead(sign({b})) OVER ({D}) AS y1 FROM panel WHERE r IS NOT NULL) a WHERE y1 IS NOT NULL) c GROUP BY symbol, y1, y0, x0) e GROUP BY symbol"""
-
-
-PLANS["ms27_transfer_entropy"] = (_entropy("v", "r"), PANEL)
-by_symbol("ms30_impact_asymmetry", where="dx IS NOT NULL", ratio="avg(CASE WHEN sign > 0 THEN dx END) / avg(CASE WHEN sign < 0 THEN dx END)")
 by_symbol("ms33_concavity", where="dx IS NOT NULL", index="avg(abs(dx) / sqrt(q))")
 by_symbol("ms35_realized_skew_kurt", where="r IS NOT NULL", skew="avg(pow(r, 3)) / pow(avg(r * r), 1.5)", kurt="avg(pow(r, 4)) / pow(avg(r * r), 2)")
 PLANS["ms36_leverage_effect"] = (lambda d: f"SELECT symbol, round(corr(r, f), 6) AS rho FROM (SELECT symbol, r, pow(lead(r) OVER ({D}), 2) AS f FROM panel WHERE r IS NOT NULL) a GROUP BY symbol", PANEL)
@@ -225,7 +144,6 @@ by_symbol("ms37_vsi", vsi="abs(sum(v)) / sum(q)", keys="symbol, trade_date")
 PLANS["ms38_burstiness"] = (lambda d: f"SELECT symbol, trade_id, max(trade_count) OVER ({D} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS burst FROM panel", PANEL)
 row_level("ms39_effective_spread", where="i > 1", spread="2 * abs(dx) / q")
 PLANS["ms40_toxicity_count"] = (lambda d: "SELECT symbol, trade_date, b, round(abs(bq) * n * tc / sum(n * tc) OVER (PARTITION BY symbol, trade_date), 6) AS toxicity FROM blk", BLOCKS)
-by_symbol("ms41_noise_variance", where="r IS NOT NULL", noise="(sum(r * r) - sum(CASE WHEN i % 5 = 0 THEN r * r END)) / (2.0 * count(*)) * 1e4")
 by_symbol("ms42_max_staleness", stale="max(dt)")
 by_symbol("ms43_hidden_liquidity", hidden=lambda d: d.pct("trade_count", 0.5))
 by_symbol("ms44_aggress_ratio", ratio="avg(CASE WHEN trade_count = 1 THEN 1.0 ELSE 0.0 END)")

@@ -38,63 +38,137 @@ def normalised(columns: list[str]) -> dict[str, str]:
     return out
 
 
-def read_agg_trades_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+def read_agg_trades_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
+    """CSV files with one header; without ``symbol`` the path has it (symbol=...)."""
     raw = spark.read.option("header", True).csv(path)
-    names = normalised(raw.columns)
-    return parse_trades(raw.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()]), symbol)
+    names = normalised([c for c in raw.columns if symbol or c != "symbol"])
+    kept = [F.col(f"`{c}`").alias(n) for n, c in names.items()]
+    return parse_trades(raw.select(*kept) if symbol else raw.select("symbol", *kept), symbol)
 
 
-def read_agg_trades_zip(spark: SparkSession, path: str, symbol: str) -> DataFrame:
-    """The first .csv member of each zip; files are opened in the tasks, line by line."""
+def unzipped(files: DataFrame, content: str = "content", keep: list[str] = ()) -> DataFrame:
+    """The raw text columns of the first .csv member of each zip in a binary column, with the ``keep`` columns of its row.
+    Quoted cells are read as such; a file that is no zip, has no .csv member or is empty gives no rows."""
+    import csv
     import io
     import zipfile
 
     import pyarrow as pa
 
+    keep = list(keep)
+    schema = files.select(*keep).schema
+    for n in RAW_NAMES:
+        schema = schema.add(n, "string")
+
+    def rows_of(data: bytes):
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                member = next((n for n in z.namelist() if n.endswith(".csv")), None)
+                if member is None:
+                    return
+                with io.TextIOWrapper(z.open(member), "utf-8", "replace", newline="") as f:
+                    reader = csv.reader(f)
+                    header = next(reader, None)
+                    if not header:
+                        return
+                    at = [header.index(c) for c in normalised(header).values()]
+                    for cells in reader:
+                        if len(cells) > max(at):
+                            yield [cells[i] for i in at]
+        except zipfile.BadZipFile:
+            return
+
     def run(frames):
         for batch in frames:
-            for data in batch.column(0):
-                with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
-                    member = next((n for n in z.namelist() if n.endswith(".csv")), None)
-                    if member is None:
-                        continue
-                    with io.TextIOWrapper(z.open(member), "utf-8", "replace") as f:
-                        header = f.readline().rstrip("\r\n").split(",")
-                        at = [header.index(c) for c in normalised(header).values()]
+            for k in range(batch.num_rows):
+                own = batch.slice(k, 1)
+                rows: list = []
+                for cells in rows_of(own.column(0)[0].as_py() or b""):
+                    rows.append(cells)
+                    if len(rows) == 50_000:
+                        yield pack(own, rows)
                         rows = []
-                        for line in f:
-                            cells = line.rstrip("\r\n").split(",")
-                            if len(cells) > max(at):
-                                rows.append([cells[i] for i in at])
-                            if len(rows) == 50_000:
-                                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], RAW_NAMES)
-                                rows = []
-                        if rows:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], RAW_NAMES)
-
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
-    return parse_trades(raw.mapInArrow(run, ", ".join(f"{n} string" for n in RAW_NAMES)), symbol)
-
-
-def parse_trades(raw: DataFrame, symbol: str) -> DataFrame:
-    """Typed rows; a row with a malformed field or a count <= 0 is dropped; counts are clamped; 1e8 scale, half even."""
+                if rows:
+                    yield pack(own, rows)
+
+    def pack(own, rows):
+        same = pa.Table.from_batches([own.select(list(range(1, own.num_columns)))]).take(pa.array([0] * len(rows), pa.int64())).combine_chunks() if keep else None
+        left = [same.column(i).combine_chunks() for i in range(same.num_columns)] if keep else []
+        left = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in left]
+        return pa.RecordBatch.from_arrays([*left, *(pa.array(c, pa.string()) for c in zip(*rows))], schema.names)
+
+    return files.select(content, *keep).mapInArrow(run, schema)
+
+
+def read_agg_trades_zip(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+    """Daily zips; files are opened in the tasks and read line by line."""
+    return parse_trades(unzipped(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)), symbol)
+
+
+def _parsed(raw: DataFrame, symbol: str | None) -> DataFrame:
+    """Typed rows with ``fate``: keep, skip (a malformed field, no price or quantity, a count <= 0) or poison."""
     rows = raw.selectExpr(
-        "try_cast(agg_trade_id as bigint) as trade_id", "try_cast(price as double) as p", "try_cast(quantity as double) as q",
+        *([] if symbol else ["symbol"]), "try_cast(agg_trade_id as bigint) as trade_id", "try_cast(price as double) as p", "try_cast(quantity as double) as q",
         "try_cast(first_trade_id as bigint) as first_id", "try_cast(last_trade_id as bigint) as last_id", "try_cast(transact_time as bigint) as ts_ms",
-        "lower(trim(is_buyer_maker)) in ('true', '1', 't') as maker",
-    ).where("trade_id is not null and p is not null and q is not null and first_id is not null and last_id >= first_id and ts_ms is not null")
-    return rows.select(
-        F.lit(symbol).alias("symbol"), F.to_date(F.timestamp_millis("ts_ms")).alias("trade_date"), "trade_id",
-        F.expr(f"try_cast(rint(p * {SCALE}) as bigint)").alias("px"), F.expr(f"try_cast(rint(q * {SCALE}) as bigint)").alias("qty"), "first_id",
+        "lower(is_buyer_maker) in ('true', '1', 't') as maker",
+    )
+    if symbol:
+        rows = rows.withColumn("symbol", F.lit(symbol))
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    endless = lambda c: F.abs(c) * SCALE >= 2.0**63
+    base = F.col("ts_ms").isNotNull() & F.col("first_id").isNotNull() & F.col("last_id").isNotNull() & (F.col("last_id") >= F.col("first_id")) & F.col("maker").isNotNull()
+    poison = base & number("p") & (endless("p") | number("q") & (endless("q") | F.col("trade_id").isNotNull() & (F.rint(F.col("p") * SCALE) < 0) | F.col("trade_id").isNotNull() & ((F.rint(F.col("q") * SCALE) < 0) | (F.col("trade_id") < 0) | (F.col("first_id") < 0))))
+    good = base & number("p") & number("q") & F.col("trade_id").isNotNull()
+    return rows.withColumns({"trade_date": F.to_date(F.timestamp_millis("ts_ms")), "fate": F.when(poison, "poison").when(good, "keep").otherwise("skip")})
+
+
+def poisoned_days(raw: DataFrame, symbol: str | None = None) -> DataFrame:
+    """(symbol, trade_date) of the days that are given up whole: an endless price or quantity, or a negative number."""
+    return _parsed(raw, symbol).where("fate = 'poison'").select(*KEYS).distinct()
+
+
+def parse_trades(raw: DataFrame, symbol: str | None = None) -> DataFrame:
+    """Typed rows: malformed ones are skipped, poisoned days left out; counts are clamped; 1e8 scale, half even."""
+    rows = _parsed(raw, symbol)
+    bad = rows.where("fate = 'poison'").select(*KEYS).distinct()
+    return rows.where("fate = 'keep'").join(bad, KEYS, "left_anti").select(
+        "symbol", "trade_date", "trade_id", F.expr(f"cast(rint(p * {SCALE}) as bigint)").alias("px"), F.expr(f"cast(rint(q * {SCALE}) as bigint)").alias("qty"), "first_id",
         F.least(F.col("last_id") - F.col("first_id") + 1, F.lit(MAX_COUNT)).alias("trade_count"), F.col("maker").cast("int").alias("flags"), "ts_ms",
     )
 
 
+def ingest_status(calendar: DataFrame, before: DataFrame, parsed: DataFrame, poisoned: DataFrame) -> DataFrame:
+    """(symbol, trade_date, status) of each calendar day: skip (in the manifest before), error (poisoned), ok (has rows) or missing."""
+    flag = lambda df, name: df.select(*KEYS).distinct().withColumn(name, F.lit(True))
+    j = calendar.join(flag(before, "old"), KEYS, "left").join(flag(poisoned, "bad"), KEYS, "left").join(flag(parsed, "has"), KEYS, "left")
+    return j.select(*KEYS, F.when(F.col("old"), "skip").when(F.col("bad"), "error").when(F.col("has"), "ok").otherwise("missing").alias("status"))
+
+
+def upgrade_agg2(old: DataFrame) -> DataFrame:
+    """Rows of the old layout (count of 16 bits, side) in the present one: a side of 0 is the buyer as maker, flag 1."""
+    return old.select(*KEYS, "trade_id", "px", "qty", "first_id", F.col("count").cast("long").alias("trade_count"), F.col("flags").bitwiseOR(F.when(F.col("side") == 0, 1).otherwise(0)).cast("int").alias("flags"), "ts_ms")
+
+
 def write_trades(df: DataFrame, path: str) -> None:
     """One folder for each symbol and day; a written day is replaced whole."""
     df.repartition(*KEYS).sortWithinPartitions("trade_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(path)
 
 
+def write_bars(bars: DataFrame, path: str) -> None:
+    """One folder for each symbol and day, in bar order; a written day is replaced whole."""
+    bars.repartition(*KEYS).sortWithinPartitions(*KEYS, "bar_no").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(path)
+
+
+def read_bars(spark: SparkSession, path: str, symbols=None, years=None, months=None) -> DataFrame:
+    return read_trades(spark, path, symbols, years, months)
+
+
+def write_features(sig: DataFrame, path: str, columns=("symbol", "trade_date", "trade_id", "alpha")) -> None:
+    """Keeps the alpha column (or ``columns``) of a tick panel, by symbol and day."""
+    write_days = sig.select(*columns).repartition(*KEYS).sortWithinPartitions("trade_id")
+    write_days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(path)
+
+
 def read_trades(spark: SparkSession, path: str, symbols=None, years=None, months=None) -> DataFrame:
     """Partition-pruned; ``months`` [(year, month)] win over ``years``."""
     df = spark.read.parquet(path)
@@ -114,12 +188,14 @@ def day_manifest(trades: DataFrame) -> DataFrame:
     return trades.groupBy(*KEYS).agg(F.count("*").alias("row_count"), F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"), F.sum(part).alias("checksum"))
 
 
-def verify_days(trades: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Days whose rows do not agree with the manifest, and prices or quantities off the 1e8 scale's tick."""
+def verify_days(trades: DataFrame, manifest: DataFrame, tick: int = 1) -> DataFrame:
+    """Days whose rows do not agree with the manifest, with off_tick: how many prices are no multiple of ``tick`` (in units of
+    1e-8) or not above 0. Days with such prices are listed too."""
     now = day_manifest(trades)
     names = ["row_count", "min_ts", "max_ts", "checksum"]
-    j = now.select(*KEYS, *[F.col(c).alias(f"{c}_now") for c in names]).join(manifest, KEYS, "full_outer")
-    bad = F.lit(False)
+    off = trades.groupBy(*KEYS).agg(F.count_if((F.col("px") % tick != 0) | (F.col("px") <= 0)).alias("off_tick"))
+    j = now.select(*KEYS, *[F.col(c).alias(f"{c}_now") for c in names]).join(manifest, KEYS, "full_outer").join(off, KEYS, "left").withColumn("off_tick", F.coalesce("off_tick", F.lit(0)))
+    bad = F.col("off_tick") > 0
     for c in names:
         bad = bad | ~F.col(c).eqNullSafe(F.col(f"{c}_now"))
     return j.where(bad)

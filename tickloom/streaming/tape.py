@@ -7,8 +7,6 @@ dropped once the watermark is KEEP_MS past the day's last row. Rows of a day mus
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.shared import fresh_path
 from tickloom.sources.tape import TAPE_COLUMNS
 
 KEEP_MS = 2 * 86_400_000
@@ -31,8 +30,7 @@ def stream_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run(stream: DataFrame) -> DataFrame:
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tickloom-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
@@ -64,7 +62,7 @@ def by_day(trades: DataFrame, schema: str, state_schema: str, first: tuple, step
 
 def _g_inf(f, state):
     last, *sums = state
-    x, q = f["px"].to_numpy() / 1e8, f["qty"].to_numpy() / 1e8
+    x, q = f["px"].to_numpy() / 1e8, np.where(f["flags"].to_numpy() & 1, -1.0, 1.0) * f["qty"].to_numpy() / 1e8
     dx = np.diff(x, prepend=np.nan if last is None else last)
     ok = ~np.isnan(dx)
     d, w = np.where(ok, dx, 0.0), np.where(ok, q, 0.0)
@@ -75,23 +73,31 @@ def _g_inf(f, state):
 
 
 def rolling_g_inf(trades: DataFrame) -> DataFrame:
-    """Running Cov(price change, quantity) / Var(quantity); null while that variance is 0."""
+    """Running Cov(price change, signed quantity) / Var(signed quantity); null while that variance is 0."""
     out = by_day(trades, "trade_id long, g_inf double", "px double, n double, sx double, sq double, sxq double, sqq double", (None, 0.0, 0.0, 0.0, 0.0, 0.0), _g_inf)
     return out.withColumn("g_inf", F.nanvl("g_inf", F.lit(None).cast("double")))
 
 
-def _hawkes(f, state):
-    last, buys, sells = state
-    h = f["ts_ms"].to_numpy() / 3_600_000.0
-    base = h[0] if last is None else last
-    grow, sell = np.exp(BETA * (h - base)), (f["flags"].to_numpy() & 1) == 1
-    b = (np.cumsum(np.where(sell, 0, ALPHA * grow)) + buys) / grow
-    s = (np.cumsum(np.where(sell, ALPHA * grow, 0)) + sells) / grow
-    return {"trade_id": f["trade_id"].to_numpy(), "buys": b, "sells": s}, (float(h[-1]), float(b[-1]), float(s[-1]))
+def _hawkes(alpha: float, beta: float):
+    def step(f, state):
+        last, b, s = state
+        t, sell = beta * f["ts_ms"].to_numpy() / 1000.0, (f["flags"].to_numpy() & 1) == 1
+        last, at = t[0] if last is None else last, 0
+        buys, sells = np.empty(len(t)), np.empty(len(t))
+        while at < len(t):  # rescaled before an exponential grows too large
+            end = max(at + 1, int(np.searchsorted(t, t[at] + 30.0, "right")))
+            grow, decay = np.exp(t[at:end] - t[at]), np.exp(min(0.0, last - t[at]))
+            buys[at:end] = (b * decay + np.cumsum(np.where(sell[at:end], 0.0, alpha * grow))) / grow
+            sells[at:end] = (s * decay + np.cumsum(np.where(sell[at:end], alpha * grow, 0.0))) / grow
+            b, s, last, at = float(buys[end - 1]), float(sells[end - 1]), float(t[end - 1]), end
+        return {"trade_id": f["trade_id"].to_numpy(), "buys": buys, "sells": sells}, (last, b, s)
+
+    return step
 
 
-def hawkes(trades: DataFrame) -> DataFrame:
-    return by_day(trades, "trade_id long, buys double, sells double", "hours double, buys double, sells double", (None, 0.0, 0.0), _hawkes)
+def hawkes(trades: DataFrame, alpha: float = ALPHA, beta: float = BETA / 3600) -> DataFrame:
+    """Intensities that jump by ``alpha`` at a trade of their side and decay by ``beta`` a second."""
+    return by_day(trades, "trade_id long, buys double, sells double", "scaled_time double, buys double, sells double", (None, 0.0, 0.0), _hawkes(alpha, beta))
 
 
 def _rolling(f, state):
