@@ -186,6 +186,45 @@ def test_leaks_that_many_rows_hold(spark):
     assert {r["doc_id"] for r in leaks(copies, bench).collect()} == set(range(120))
 
 
+def test_leaks_recall_on_edited_items(spark):
+    """Items with a fifth of their words removed, replaced or swapped with the next; recall against what was planted."""
+    from tickloom.llm.leaks import leaks
+
+    r, rows, want = random.Random(12), [], set()
+    words = [f"{a}{b}" for a in "ba ce di fo gu ha je ki lo mu ne po".split() for b in "ran tel sim bor dul vag wen xi yor zat".split()] + WORDS
+    say = lambda n: [r.choice(words) for _ in range(n)]
+    items = [say(r.randint(18, 60)) for _ in range(60)]
+    for k, item in enumerate(items):
+        for kind in range(3):
+            w, m = list(item), len(item) // 5
+            for i in sorted(r.sample(range(len(w) - 1), m), reverse=True):
+                if kind == 0:
+                    del w[i]
+                elif kind == 1:
+                    w[i] = r.choice(words)
+                else:
+                    w[i], w[i + 1] = w[i + 1], w[i]
+            want.add((3 * k + kind, k))
+            rows.append((3 * k + kind, " ".join(say(r.randint(20, 60)) + w + say(r.randint(20, 60)))))
+    rows += [(1000 + i, " ".join(say(150))) for i in range(200)]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    for kind in range(3):
+        part = {p for p in want if p[0] % 3 == kind}
+        assert len(part & got) >= 0.9 * len(part), kind
+    assert got <= want
+
+
+def test_leak_stage_judges_rows_by_their_text(spark, tmp_path):
+    from tickloom.llm.leaks import leak_stage
+
+    item = prose(77, 40)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    bad, rows = prose(5, 60) + " " + item, [(None, prose(8, 90), 1), (7, prose(9, 90), 2)]
+    docs = spark.createDataFrame([(None, bad, 3), (7, bad, 4), *rows, (8, None, 5), (9, "", 6)], "doc_id long, text string, _key int")
+    assert sorted(x["_key"] for x in leak_stage(spark, docs, str(tmp_path)).collect()) == [1, 2, 5, 6]
+
+
 def test_secret_spans():
     from tickloom.llm.secrets import base_spans, written_spans
 
