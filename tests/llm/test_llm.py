@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -255,6 +256,64 @@ def test_secret_threshold_keeps_recall_and_long_tokens_are_read_whole():
     assert scan_texts(Marked(), [f"x {path} y", "onecaseonlyword"]) == [[(2, 2 + len(path), 3)], []]
 
 
+def test_secret_network_finds_shapes_it_was_not_trained_on():
+    from tickloom.llm.secrets import RECALL, learn, scan_texts
+
+    r, letters = random.Random(6), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    vowels = lambda n: "".join(r.choice("bcdfglmnprstv") + r.choice("aeiou") for _ in range(n))
+    text = lambda: " ".join(vowels(r.randint(1, 8)) for _ in range(120))
+    net = learn([text() + (" password: " + "".join(r.choices(letters, k=20)) if i % 5 == 0 else "") for i in range(400)])
+    assert net.recall >= RECALL - 0.002 and net.precision > 0.95
+    shapes = [lambda: "ghp_" + "".join(r.choices(letters, k=36)), lambda: "xoxb-" + "".join(r.choices("0123456789", k=12)) + "-" + "".join(r.choices(letters, k=24)), lambda: "AIza" + "".join(r.choices(letters + "-_", k=35))]
+    for shape in shapes:
+        rows = [(f"{text()} it is ", shape(), f" and {text()}") for _ in range(60)]
+        found = scan_texts(net, ["".join(x) for x in rows])
+        assert sum(any(k == 3 and s <= len(a) and len(a) + len(b) <= e for s, e, k in f) for (a, b, _), f in zip(rows, found)) >= 54
+    clean = [f"{text()} {vowels(5)}_{vowels(4)}_{vowels(3)} /{vowels(4)}/{vowels(6)}/{vowels(3)} 2024-01-02T10:20:30 {text()}" for _ in range(100)]
+    assert sum(bool(f) for f in scan_texts(net, clean)) <= 3
+
+
+def test_secret_query_equals_plain_matching(spark, docs, empty, tmp_path):
+    """Every base column against a plain search, and the model's spans only beside them."""
+    import re
+
+    from tickloom.llm import secrets
+
+    rows, r = [], random.Random(9)
+    for i in range(60):
+        parts = [prose(i, 20), f"API-Key='{'aB3' * r.randint(1, 6)}' token : {'x' * r.randint(5, 12)}", "AKIA" + "Q7" * r.randint(4, 12), "0f" * r.randint(10, 30), "é\U0001f600", prose(i + 100, 20)]
+        r.shuffle(parts)
+        rows.append((i, " ".join(parts)))
+    rows += [(60, None), (60, ""), (None, "secret=abcdefgh")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def plain(t):
+        out = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 8]
+        out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        return [x[2] for x in sorted(out)]
+
+    got = secrets.op9(spark, str(tmp_path)).collect()
+    want = sorted((str(i), hashlib.sha256(",".join(plain(t or "")).encode()).hexdigest()) for i, t in rows)
+    assert sorted((str(x["doc_id"]), x["base_sha256"]) for x in got) == want
+    by = {str(i): plain(t or "") for i, t in rows if i != 60}
+    for x in got:
+        spans = [s for s in x["spans"].split(",") if s and not s.startswith("model")]
+        assert len(spans) == x["n_assign"] + x["n_access"] + x["n_hex"]
+        if x["doc_id"] != 60:
+            assert spans == by[str(x["doc_id"])]
+
+
+def test_secret_stage_keeps_all_rows_and_columns(spark, docs):
+    from tickloom.llm.secrets import MASK, secret_stage
+
+    rows = [(1, "password=hunter2hunter2 x", 25, "a", "b"), (None, None, None, None, "c"), (1, "clean text", 10, "d", "e")]
+    out = secret_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string, _spans string"), "").collect()
+    assert sorted(x["_spans"] for x in out) == ["b", "c", "e"]
+    one = next(x for x in out if x["_spans"] == "b")
+    assert one["text"] == f"{MASK} x" and one["n_chars"] == len(one["text"]) and one["spans"] == "a"
+
+
 def test_secrets_on_edges(docs, empty):
     from tickloom.llm.secrets import find_secrets
 
@@ -263,6 +322,33 @@ def test_secrets_on_edges(docs, empty):
     assert find_secrets(empty).count() == 0
 
 
+def test_language_where_nothing_can_be_learned(spark, docs, empty):
+    from pyspark.sql import functions as F
+
+    from tickloom.llm.langid import identify, language_stage
+
+    assert identify(empty).count() == 0 and language_stage(spark, empty, "").count() == 0
+    got = identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert len(got) == 10 and {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
+    clash = docs.withColumns({"score": F.lit("s"), "lang_pred": F.lit(7), "_score": F.lit(1), "coverage": F.lit(0)})
+    kept = language_stage(spark, clash, "")
+    assert kept.columns == clash.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 2, 3, 4, 8, 9]
+
+
+def test_language_held_out_accuracy_and_foreign_texts(spark):
+    from tickloom.llm.langid import identify, language_stage
+
+    r = random.Random(3)
+    parts = {"aa": "ka to mi su ren dal".split(), "bb": "öl fæ jør nyt ski ved".split(), "cc": "che gli sta puo zza qua".split()}
+    rows = [(i, " ".join("".join(r.choice(parts[k]) for _ in range(r.randint(1, 4))) for _ in range(40)), k) for i in range(450) for k in [("aa", "bb", "cc")[i % 3]]]
+    docs = spark.createDataFrame(rows + [(1000, "Это совсем другой язык и другие буквы", None), (1001, "漢字仮名交じり文です", None)], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in identify(docs).collect()}
+    held = [(i, k) for i, _, k in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(got[i]["lang_pred"] == k for i, k in held) >= 0.98 * len(held)
+    kept = {x["doc_id"] for x in language_stage(spark, docs, "").collect()}
+    assert kept == {i for i, _, _ in rows}
+
+
 def test_language(spark, docs):
     from tickloom.llm.langid import identify
 

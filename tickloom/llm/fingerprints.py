@@ -20,8 +20,9 @@ from . import common
 from .hashing import hashed_words
 
 TERMS, SAMPLES, SEED = 1 << 16, 64, 17
-#: Rows that one range of neighbouring ids is meant to hold, and the most ranges.
-RANGE_ROWS, MAX_RANGES = 5000, 4000
+#: Rows that one range of neighbouring ids is meant to hold, the most ranges (a task streams its range, however many rows that
+#: has), and sampled ids for each.
+RANGE_ROWS, MAX_RANGES, RANGE_SAMPLE = 2500, 100_000, 20
 _TABLES: list[np.ndarray] = []
 
 
@@ -69,10 +70,13 @@ def fingerprints(texts) -> list[np.ndarray]:
 
 
 def _ranges(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds that cut the ids into ranges of like size, and each range's first id (a few thousand numbers at most)."""
+    """Bounds that cut the ids into ranges of like size, from a bounded sample of the ids, and each range's first id."""
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
-    n = min(MAX_RANGES, max(1, ids.count() // RANGE_ROWS))
-    bounds = np.unique(np.array(ids.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n), np.float64)) if n > 1 else np.empty(0)
+    rows = ids.count()
+    n = min(MAX_RANGES, max(1, rows // RANGE_ROWS))
+    share = min(1.0, RANGE_SAMPLE * n / max(rows, 1))
+    drawn = ids.where(F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(1_000_000)) < int(share * 1e6)).distinct().toPandas()["id"].to_numpy() if n > 1 else np.empty(0, np.int64)
+    bounds = np.unique(np.sort(drawn)[np.linspace(0, len(drawn), n, endpoint=False).astype(np.int64)[1:]]) if len(drawn) else np.empty(0, np.int64)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low: dict[int, int] = {}
@@ -92,7 +96,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
 
     The next document is that of the next higher doc_id (after the last: the first; a lone row is its own next); rows that
     repeat a doc_id follow one another by text. Null texts count as empty, null doc_ids come first. Texts are shuffled
-    once, by ranges of ids; the first rows of a range go to the range before it too.
+    once, by ranges of ids; the first rows of a range go to the range before it too. An empty table gives no rows.
     """
     bounds, first = _ranges(docs)
     before = {int(first[i, 1]): int(first[i - 1, 0]) for i in range(len(first))}  # the first of all follows the last range

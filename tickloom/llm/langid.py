@@ -2,13 +2,14 @@
 
 A text's letters, lower-cased, with each run of other characters as one space, give its blended spectrum: the
 set of its 1- to 4-grams. The kernel of two texts is the number of n-grams that both have (presence, not
-counts), over the geometric mean of their own numbers; n-grams count that at least two landmarks have (hashed
-to 20 bits). Nystroem: landmarks l give the features k(x, l) K_ll^(-1/2); kernel ridge regression, one language
-against the rest, is solved on these. A batch of texts is scored by three matrix products.
+counts), over the geometric mean of their own numbers; n-grams count that two landmarks have, or one of
+a language with FEW landmarks (hashed to 20 bits), however many these are. Nystroem: landmarks l give the features k(x, l) K_ll^(-1/2); kernel ridge regression, one
+language against the rest, is solved on these. A batch of texts is scored by matrix products.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +22,10 @@ from . import common
 
 MAX_N = 4
 HASH_BITS = 20
-#: The bounds of the labelled sample, the landmarks and the languages.
-TRAIN_PER_LANG, LANDMARKS_PER_LANG, MAX_LANGS, MAX_VOCABULARY = 250, 32, 200, 12288
+#: The bounds of the labelled sample: rows of a language and in all, landmarks of a language and in all, and languages; of more
+#: labels than that the most frequent are learned.
+TRAIN_PER_LANG, TRAIN, LANDMARKS_PER_LANG, LANDMARKS, MAX_LANGS = 250, 50_000, 32, 1024, 1000
+FEW = 8
 RIDGE = 1e-2
 SHARPNESS = 6.0
 _WEIGHTS = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
@@ -63,63 +66,83 @@ def grams(text: str | None):
 
 @dataclass
 class LanguageModel:
-    langs: list[str]
-    slots: np.ndarray  # of a hash code; 0 if no landmark pair has it
-    landmarks: np.ndarray  # vocabulary x landmarks, normalised presence
+    langs: list[str]  # none, if there was nothing to learn from
+    slots: np.ndarray  # of a hash code; 0 if no two landmarks have it
+    landmarks: np.ndarray  # a row of bits, one for each landmark, for each slot
+    sizes: np.ndarray  # n-grams of each landmark
     whiten: np.ndarray
     ridge: np.ndarray
+    least_coverage: float = 0.0
 
-    def presence(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """0/1 rows over the vocabulary, and whether a text has a letter."""
-        flags, any_letter = np.zeros((len(texts), len(self.landmarks) + 1), np.float32), np.zeros(len(texts), bool)
+    def kernel(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """k(text, landmark), and the share of a text's n-grams (by place) that landmarks have; -1 without a letter."""
+        k, cover = np.zeros((len(texts), len(self.sizes)), np.float32), np.full(len(texts), -1.0)
+        seen = np.zeros(len(self.landmarks), bool)
         for i, t in enumerate(texts):
+            known = total = 0
             for codes in grams(t):
-                flags[i][self.slots[codes]] = 1
-                any_letter[i] = True
-        return flags[:, 1:], any_letter
-
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        norm = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        return ((x @ self.landmarks) / norm) @ self.whiten @ self.ridge
-
-    def predict(self, texts) -> tuple[list[str], np.ndarray]:
-        x, any_letter = self.presence(texts)
-        m = SHARPNESS * self.margins(x)
+                slot = self.slots[codes]
+                seen[slot] = True
+                known, total = known + int(np.count_nonzero(slot)), total + len(slot)
+            if total:
+                seen[0] = False
+                own = np.flatnonzero(seen)
+                seen[own] = False
+                cover[i] = known / total
+                if len(own):
+                    shared = np.zeros(len(self.sizes), np.int64)
+                    for lo in range(0, len(own), 8192):
+                        shared += np.unpackbits(self.landmarks[own[lo : lo + 8192]], axis=1, count=len(self.sizes)).sum(axis=0, dtype=np.int64)
+                    k[i] = shared / np.sqrt(len(own) * np.maximum(self.sizes, 1.0))
+        return k, cover
+
+    def predict(self, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and coverage of each text."""
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        k, cover = self.kernel(texts)
+        m = SHARPNESS * (k @ self.whiten @ self.ridge)
         e = np.exp(m - m.max(axis=1, keepdims=True))
         best, top = m.argmax(axis=1), (e / e.sum(axis=1, keepdims=True)).max(axis=1)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, any_letter)], np.where(any_letter, top, 0.0).astype(float)
+        letters = cover >= 0
+        return [self.langs[b] if ok else "und" for b, ok in zip(best, letters)], np.where(letters, top, 0.0).astype(float), np.maximum(cover, 0.0)
 
 
 def fit(rows: list[tuple[str, str]]) -> LanguageModel:
-    """From (lang, text) rows; the first LANDMARKS_PER_LANG rows of each language are its landmarks."""
+    """From (lang, text) rows; the first rows of each language are its landmarks. Without a row with a letter nothing is learned."""
     rows = [(lang, t) for lang, t in rows if len(points(t or ""))]
     if not rows:
-        raise ValueError("no labelled text with a letter")
+        return LanguageModel([], np.zeros(1, np.int32), np.zeros((1, 1), np.uint8), np.empty(0), np.empty(0), np.empty(0))
     langs = sorted({lang for lang, _ in rows})
-    marks = [t for lang in langs for t in [t for l, t in rows if l == lang][:LANDMARKS_PER_LANG]]
+    each = max(1, min(LANDMARKS_PER_LANG, LANDMARKS // len(langs)))
+    marks = [t for lang in langs for t in [t for l, t in rows if l == lang][:each]]
+    codes_of = [np.unique(np.concatenate(list(grams(t)))) for t in marks]
     count = np.zeros(1 << HASH_BITS, np.int32)
-    for t in marks:
-        count[np.unique(np.concatenate(list(grams(t))))] += 1
-    codes = np.flatnonzero(count >= min(2, len(marks)))
-    if len(codes) > MAX_VOCABULARY:
-        codes = np.sort(codes[np.argsort(-count[codes], kind="stable")[:MAX_VOCABULARY]])
+    of_lang = Counter(lang for lang, _ in rows)
+    few = {lang for lang in langs if min(each, of_lang[lang]) < FEW}
+    for c, lang in zip(codes_of, [lang for lang in langs for _ in range(min(each, of_lang[lang]))]):
+        count[c] += 2 if lang in few else 1
+    codes = np.flatnonzero(count >= 2)
     slots = np.zeros(1 << HASH_BITS, np.int32)
     slots[codes] = np.arange(1, len(codes) + 1)
-    model = LanguageModel(langs, slots, np.empty((len(codes), 0), np.float32), np.empty(0), np.empty(0))
-    own = model.presence(marks)[0]
-    own /= np.sqrt(np.maximum(own.sum(axis=1, keepdims=True), 1))
-    model.landmarks = np.ascontiguousarray(own.T)
-    value, vector = np.linalg.eigh((own @ own.T).astype(float))
+    bits = np.zeros((len(codes) + 1, len(marks)), np.uint8)
+    for j, c in enumerate(codes_of):
+        bits[slots[c], j] = 1
+    bits[0] = 0
+    sizes = bits.sum(axis=0).astype(float)
+    model = LanguageModel(langs, slots, np.packbits(bits, axis=1), sizes, np.empty(0), np.empty(0))
+    del bits
+    own = model.kernel(marks)[0].astype(float)
+    value, vector = np.linalg.eigh((own + own.T) / 2)
     good = value > 1e-6 * value.max()
     model.whiten = (vector[:, good] / np.sqrt(value[good])).astype(np.float32)
-    features = []
-    for at in range(0, len(rows), 256):
-        x = model.presence([t for _, t in rows[at : at + 256]])[0]
-        features.append(((x @ model.landmarks) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))) @ model.whiten)
-    f = np.concatenate(features).astype(float)
+    k, cover = model.kernel([t for _, t in rows])
+    f = (k @ model.whiten).astype(float)
     y = np.where(np.array([[lang == l for l in langs] for lang, _ in rows]), 1.0, -1.0)
-    weight = np.array([len(rows) / (len(langs) * sum(l == lang for l, _ in rows)) for lang, _ in rows])[:, None]
+    weight = np.array([len(rows) / (len(langs) * n) for n in (sum(l == lang for l, _ in rows) for lang in langs)])[[langs.index(lang) for lang, _ in rows]][:, None]
     model.ridge = np.linalg.solve((f * weight).T @ f + RIDGE * np.eye(f.shape[1]), (f * weight).T @ y).astype(np.float32)
+    rest = cover[len(marks) :] if len(rows) > 2 * len(marks) else cover
+    model.least_coverage = 0.5 * float(np.quantile(rest, 0.01))
     return model
 
 
@@ -128,36 +151,36 @@ def held_out():
 
 
 def labelled_sample(docs: DataFrame, label: str = "lang", each: int = TRAIN_PER_LANG) -> list[tuple[str, str]]:
-    """At most ``each`` rows of each label, chosen by a hash of doc_id; never rows of the held-out fold."""
-    rows = docs.where(~held_out() & F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", label, "text")
-    count = rows.groupBy(label).count()
-    if count.count() > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} labels")
+    """At most ``each`` rows of each label and TRAIN in all, chosen by a hash of doc_id; never rows of the held-out fold."""
+    rows = docs.where(~held_out() & F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(label).alias("_label"), "text")
+    count = rows.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(MAX_LANGS)
+    each = max(1, min(each, TRAIN // max(1, count.count())))
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) / 1e6
-    some = rows.join(F.broadcast(count), label).where(draw * F.col("count") <= 3 * each)
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id")
-    return [(r[0], r[1]) for r in some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).orderBy(label, "r").select(label, "text").toLocalIterator()]
+    some = rows.join(F.broadcast(count), "_label").where(draw * F.col("count") <= 3 * each)
+    order = Window.partitionBy("_label").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id")
+    return [(r[0], r[1]) for r in some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).orderBy("_label", "r").select("_label", "text").toLocalIterator()]
 
 
-def classify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns with lang_pred and score, one row for each input row; narrow, no shuffle."""
+def classify(docs: DataFrame, model: LanguageModel, keep: list[str], names=("lang_pred", "score", "coverage")) -> DataFrame:
+    """The ``keep`` columns with language, score and coverage under ``names``, one row for each input row; narrow, no shuffle."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double").add(names[2], "double")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for batch in frames:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                lang, score = m.predict(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+                lang, score, cover = m.predict(part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cover, pa.float64())], schema.names)
 
-    return docs.select("text", *[F.col(c).alias(f"_{c}") for c in keep]).mapInArrow(run, schema)
+    return docs.select("text", *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(keep)]).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """lang_pred (`und` for null texts and texts without a letter, score 0) and score of every whole text."""
-    return classify(docs, fit(labelled_sample(docs)), keep or ["doc_id"])
+def identify(docs: DataFrame, keep: list[str] | None = None, names=("lang_pred", "score", "coverage")) -> DataFrame:
+    """lang_pred, score and coverage of every whole text. `und` with score 0 for null texts, texts without a letter, and all
+    texts if no labelled row has a letter; an empty table gives no rows, repeated rows give a row each."""
+    return classify(docs, fit(labelled_sample(docs)), keep or ["doc_id"], names)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
@@ -165,12 +188,14 @@ def op10(spark, sf_dir: str) -> DataFrame:
     return identify(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-#: Texts whose best language has less than this are rejected; far below what any prose of a learned language gets.
-REJECT_BELOW = 0.3
-
-
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts that no learned language claims; the rest is unchanged."""
+    """Rejects texts without a letter and texts of which learned languages know too few n-grams: half of what all but a
+    hundredth of the labelled texts have. The rest is unchanged, with all its columns, whatever their names; where nothing
+    can be learned, all texts with a letter stay."""
     columns = docs.columns
-    scored = identify(docs, columns)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT_BELOW)).select(*columns)
+    model = fit(labelled_sample(docs))
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    names = [common.spare_name(docs, n) for n in ("lang_pred", "score", "coverage")]
+    scored = classify(docs, model, columns, names)
+    return scored.where((F.col(names[0]) != "und") & (F.col(names[2]) >= model.least_coverage)).select(*[F.col(f"`{c}`") for c in columns])

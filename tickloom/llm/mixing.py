@@ -94,41 +94,49 @@ def period(targets: DataFrame, total: int | None = None) -> DataFrame:
     return slots.withColumn("turn", (F.row_number().over(Window.partitionBy("source").orderBy("at")) - 1).cast("long"))
 
 
-def mix(docs: DataFrame, targets: DataFrame | None = None, total: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` with chars_before (in their source's order), block_no, slot, release and deadline.
+PLACE = ("chars_before", "block_no", "slot", "release", "deadline")
+
+
+def mix(docs: DataFrame, targets: DataFrame | None = None, total: int | None = None, block_chars: int = BLOCK_CHARS, chars: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with chars_before (in their source's order), block_no, slot, release and deadline; where ``docs`` has a column
+    of such a name it stays, and the new one gets an underscore before its name.
 
     Reading by (slot, chars_before) gives the mix. A null source is the source ''; null and empty texts count
-    one character; repeated rows are placed one after the other; a source missing in ``targets`` raises no error
-    but gets null slots. A text longer than a block uses up the following block numbers too.
-    A source's order is cut into 4,096 hash ranges, whose sums are added up first: no task holds a whole source.
+    one character (``chars`` names a column with the lengths, if there is one); repeated rows are placed one after the other; a
+    source missing in ``targets`` raises no error but gets null slots. A text longer than a block uses up the following block
+    numbers too. A source's order is cut into 4,096 hash ranges, whose sums are added up first: no task holds a whole source.
     """
+    t = "_"
+    while any(c.lower().startswith(t) for c in docs.columns):
+        t += "_"
+    name = {c: common.spare_name(docs, c) for c in PLACE}
+    length = F.col(chars) if chars else F.coalesce(F.length("text"), F.lit(0))
     hashed = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.withColumns({"_source": F.coalesce("source", F.lit("")), "_order": hashed, "_chars": F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long") if "text" in docs.columns else F.col("_chars")})
-    rows = rows.withColumn("_part", F.substring("_order", 1, 3))
-    sums = rows.groupBy("_source", "_part").agg(F.sum("_chars").alias("_sum"))
-    before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_source", "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_source", "_part").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside", F.coalesce(F.sum("_chars").over(inside), F.lit(0))).join(offsets, ["_source", "_part"])
-    rows = rows.withColumn("chars_before", F.col("_offset") + F.col("_inside")).withColumn("block_no", F.floor(F.col("chars_before") / block_chars))
+    rows = docs.withColumns({f"{t}source": F.coalesce("source", F.lit("")), f"{t}order": hashed, f"{t}chars": F.greatest(length, F.lit(1)).cast("long")})
+    rows = rows.withColumn(f"{t}part", F.substring(f"{t}order", 1, 3))
+    keys = [f"{t}source", f"{t}part"]
+    sums = rows.groupBy(*keys).agg(F.sum(f"{t}chars").alias(f"{t}sum"))
+    before = Window.partitionBy(f"{t}source").orderBy(f"{t}part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, F.coalesce(F.sum(f"{t}sum").over(before), F.lit(0)).alias(f"{t}offset"))
+    inside = Window.partitionBy(*keys).orderBy(f"{t}order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(f"{t}inside", F.coalesce(F.sum(f"{t}chars").over(inside), F.lit(0))).join(offsets, keys)
+    rows = rows.withColumn(name["chars_before"], F.col(f"{t}offset") + F.col(f"{t}inside")).withColumn(name["block_no"], F.floor(F.col(name["chars_before"]) / block_chars))
     targets = targets if targets is not None else sqrt_targets(docs, total)
     total = total or targets.agg(F.sum("share")).first()[0] or TOTAL
     plan = period(targets, total)
     small = F.broadcast if total <= common.BROADCAST_ROWS else lambda x: x
-    plan = plan.select(F.col("source").alias("_source"), F.col("share").alias("_share"), F.col("turn").alias("_turn"), F.col("at").alias("_at"))
-    share = plan.groupBy("_source").agg(F.max("_share").alias("_s"))
-    rows = rows.join(small(share), "_source", "left").withColumn("_turn", F.pmod("block_no", "_s")).join(small(plan), ["_source", "_turn"], "left")
-    return rows.withColumns({
-        "slot": F.floor(F.col("block_no") / F.col("_s")) * total + F.col("_at"),
-        "release": F.floor(F.col("block_no") * total / F.col("_s")),
-        "deadline": F.ceil((F.col("block_no") + 1) * total / F.col("_s")),
-    }).drop("_source", "_order", "_chars", "_part", "_inside", "_offset", "_s", "_share", "_turn", "_at")
+    plan = plan.select(*[F.col(c).alias(f"{t}{c}") for c in ("source", "share", "turn", "at")])
+    share = plan.groupBy(f"{t}source").agg(F.max(f"{t}share").alias(f"{t}s"))
+    block, s = F.col(name["block_no"]), F.col(f"{t}s")
+    rows = rows.join(small(share), f"{t}source", "left").withColumn(f"{t}turn", F.pmod(block, s)).join(small(plan), [f"{t}source", f"{t}turn"], "left")
+    rows = rows.withColumns({name["slot"]: F.floor(block / s) * total + F.col(f"{t}at"), name["release"]: F.floor(block * total / s), name["deadline"]: F.ceil((block + 1) * total / s)})
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *name.values())
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     slim = docs.select("doc_id", "source", F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long").alias("_chars"))
-    return mix(slim, sqrt_targets(docs)).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "chars_before", "block_no", "slot", "release", "deadline")
+    return mix(slim, sqrt_targets(docs), chars="_chars").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "chars_before", "block_no", "slot", "release", "deadline")
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

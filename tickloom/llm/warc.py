@@ -15,14 +15,14 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 END = "\r\n\r\n"
-#: Smallest payload for which equal ones become revisits, and bytes of payload in one archive file.
-LEAST_BYTES, FILE_BYTES = 0, 16 << 20
+#: Smallest payload for which equal ones become revisits; bytes of payload in one archive file: usual and most.
+LEAST_BYTES, FILE_BYTES, MOST_BYTES = 0, 16 << 20, 1 << 29
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -38,13 +38,25 @@ def record(kind: str, record_id: str, uri: str, block: str, **more) -> str:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """page_id, url, html ('' for null), a row number, and the row that keeps an equal payload (the largest page_id).
+    """page_id, row, url, html ('' for null), bytes, and keeper: the row that keeps an equal payload (the largest page_id).
 
-    Rows that repeat a page_id are captures of their own; a null page_id comes out as null."""
+    ``row`` names a capture by its content, so that it stays the same when a task runs again: a hash of id, address and payload, and
+    a number among rows that are equal in all three. Rows that repeat a page_id are captures of their own; a null page_id comes out
+    as null."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_id"), F.monotonically_increasing_id().alias("row"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("key"), F.octet_length(html).alias("bytes"))
-    kept = rows.where(F.col("bytes") >= LEAST_BYTES).groupBy("key").agg(F.max(F.struct(F.expr("try_cast(page_id as long)").alias("n"), "row")).alias("keeper"), F.count("*").alias("copies")).where("copies > 1").select("key", F.concat_ws(":", F.col("keeper.row"), F.coalesce(F.col("keeper.n").cast("string"), F.lit(""))).alias("keeper"))
-    return rows.join(kept, "key", "left")
+    rows = pages.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("key"), F.octet_length(html).alias("bytes"))
+    rows = rows.withColumn("rid", F.xxhash64("page_id", "url", "key"))
+    again = common.written(rows.groupBy("rid").count().where("count > 1").select("rid"), "repeated")
+    rows = rows.withColumn("copy", F.lit(0))
+    few = again.count()
+    if few:
+        again = F.broadcast(again) if few <= common.BROADCAST_ROWS else again
+        copy = F.row_number().over(Window.partitionBy("rid").orderBy("page_id"))
+        rows = rows.join(again, "rid", "left_anti").unionByName(rows.join(again, "rid", "left_semi").withColumn("copy", copy))
+    rows = rows.withColumn("row", F.concat_ws(".", F.hex("rid"), F.col("copy").cast("string")))
+    best = F.max(F.struct(F.expr("try_cast(page_id as long)").alias("n"), "row", "page_id")).alias("keeper")
+    kept = rows.where(F.col("bytes") >= LEAST_BYTES).groupBy("key").agg(best, F.count("*").alias("copies")).where("copies > 1").select("key", F.concat_ws(":", "keeper.row", "keeper.page_id").alias("keeper"))
+    return rows.drop("rid", "copy").join(kept, "key", "left")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -66,8 +78,10 @@ def write_archives(pages: DataFrame, path: str) -> None:
                 out.append(record("metadata", f"metadata:{n}", uri, f"payloadBytes: {len(html.encode())}\r\npageId: {n}\r\n", WARC_Concurrent_To=f"<urn:{here}>", Content_Type="application/warc-fields"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    rows = captures(pages)
-    rows.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 30_000).text(path)
+    size = pages.select(F.octet_length("html").alias("n")).agg(F.avg("n"), F.max("n")).first()
+    # three records a page; by the mean page a file has FILE_BYTES, and however large its pages are no more than MOST_BYTES
+    pages_each = max(1, min(10_000, int(FILE_BYTES / max(size[0] or 1, 1)), int(MOST_BYTES / max(size[1] or 1, 1))))
+    captures(pages).mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * pages_each).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict, bytes]]:
