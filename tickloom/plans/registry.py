@@ -9,7 +9,7 @@ from tickloom.operators import rolling, scorecard
 from tickloom.sources.tape import tape
 from tickloom.streaming import tape as streaming
 
-from . import kernels, metrics, oracles, panels, signals, sources  # noqa: F401  (panels adds its plans to those of signals)
+from . import kernels, metrics, oracles, panels, panels_more, signals, sources  # noqa: F401  (the panels add their plans to those of signals)
 
 THRESHOLD, SHARDS = 1.0, 4
 
