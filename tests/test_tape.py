@@ -60,19 +60,6 @@ def test_scorecard_of_a_known_sequence(spark):
     assert (c["max_consecutive_wins"], c["max_consecutive_losses"]) == (1, 1)
 
 
-def test_chunks_with_halo_give_the_whole_result(spark):
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    from tickloom.operators.rolling import chunk_halo
-
-    rows = spark.range(1, 301).select(F.lit("a").alias("symbol"), F.col("id").alias("rn"), (F.col("id") * 7919 % 101).alias("x"))
-    whole = {r["rn"]: r["s"] for r in rows.withColumn("s", F.sum("x").over(Window.partitionBy("symbol").orderBy("rn").rowsBetween(-19, 0))).collect()}
-    for size in (7, 64):
-        cut = chunk_halo(rows, size, 19, ["symbol"], "rn").withColumn("s", F.sum("x").over(Window.partitionBy("symbol", "chunk").orderBy("rn").rowsBetween(-19, 0))).where("own")
-        assert {r["rn"]: r["s"] for r in cut.collect()} == whole
-
-
 @pytest.mark.parametrize("name", ["seq1_delta_bars", "seq4_backtest", "sc_scorecard", "ms8_vpin", "pp8_ols", "win12_k5_regime", "rg5_regime_cube"])
 def test_against_duckdb(spark, name):
     duckdb = pytest.importorskip("duckdb")
