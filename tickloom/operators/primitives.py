@@ -249,3 +249,57 @@ def pairs_within(points: DataFrame, columns: list[str], r: float, key: str = "id
 def correlation_dimension(points: DataFrame, columns: list[str], r: float, key: str = "id") -> DataFrame:
     """(pairs): how many pairs are within ``r``."""
     return pairs_within(points, columns, r, key).agg(F.count("*").alias("pairs"))
+
+
+def bartlett_weights(h: int) -> list[float]:
+    return [1 - k / (h + 1) for k in range(1, h + 1)]
+
+
+def parzen_weights(h: int) -> list[float]:
+    """Of lags 1 to h, over a span of h + 1."""
+    x = [k / (h + 1) for k in range(1, h + 1)]
+    return [1 - 6 * v**2 + 6 * v**3 if v <= 0.5 else 2 * (1 - v) ** 3 for v in x]
+
+
+def realized_kernel(ticks: DataFrame, weights: list[float]) -> DataFrame:
+    """(symbol, rk): the sum of squared returns and twice the weighted sums of products of returns 1, 2, ... rows apart."""
+    d = _later(ticks, {f"_r{k}": ("r", -k) for k in range(1, len(weights) + 1)})
+    r = F.col("r")
+    total = F.sum(r * r) + sum(F.coalesce(F.sum(r * F.col(f"_r{k}")), F.lit(0.0)) * (2 * w) for k, w in enumerate(weights, 1))
+    return d.groupBy("symbol").agg(total.alias("rk"))
+
+
+def fano_factor(ticks: DataFrame, window: int = 100) -> DataFrame:
+    """(symbol, fano): the mean over whole blocks of ``window`` trades of variance over mean of the child trade counts."""
+    b = ticks.groupBy("symbol", F.floor((F.col("i") - 1) / window).alias("b")).agg(F.count("*").alias("n"), (F.var_samp("trade_count") / F.avg("trade_count")).alias("f"))
+    return b.where(F.col("n") == window).groupBy("symbol").agg(F.avg("f").alias("fano"))
+
+
+def burstiness(ticks: DataFrame, lookback: int = 100) -> DataFrame:
+    """Adds burst, the largest child trade count of the last ``lookback`` trades."""
+    return in_chunks(ticks, lambda d, w: d.withColumn("burst", F.max("trade_count").over(w.rowsBetween(1 - lookback, 0))), lookback)
+
+
+def _from_end(ticks: DataFrame) -> DataFrame:
+    """Adds _k, how many rows of the symbol come after this one."""
+    last = ticks.groupBy("symbol").agg(F.max("i").alias("_n"))
+    return ticks.join(F.broadcast(last), "symbol").withColumn("_k", F.col("_n") - F.col("i"))
+
+
+def fractional_weights(spark, d: float, n: int) -> DataFrame:
+    """(k, w) for k from 0 to n - 1: w_0 = 1, w_k = -w_(k-1) (d - k + 1) / k."""
+    w = [1.0]
+    for k in range(1, n):
+        w.append(-w[-1] * (d - k + 1) / k)
+    return spark.createDataFrame(list(enumerate(w)), "k long, w double")
+
+
+def farima_forecast(ticks: DataFrame, d: float = 0.4, terms: int = 500) -> DataFrame:
+    """(symbol, forecast): the sum of w_k v_(k+1 from the end) for k from 1 to terms - 1, of the symbol's last trades."""
+    tail = _from_end(ticks).where(F.col("_k").between(1, terms - 1))
+    return tail.join(F.broadcast(fractional_weights(ticks.sparkSession, d, terms)), F.col("_k") == F.col("k")).groupBy("symbol").agg(F.sum(F.col("w") * F.col("v")).alias("forecast"))
+
+
+def propagator_response(ticks: DataFrame, gamma: float = 0.5) -> DataFrame:
+    """(symbol, response): the sum over all trades but the last of v / (rows from there to the end)^gamma."""
+    return _from_end(ticks).where("_k > 0").groupBy("symbol").agg(F.sum(F.col("v") / F.pow(F.col("_k") + 1, F.lit(gamma))).alias("response"))

@@ -167,3 +167,17 @@ _points = lambda t: t.groupBy("symbol", "trade_date").agg(F.stddev_samp("x").ali
 _POINTS = "pt AS (SELECT symbol || '|' || trade_date::VARCHAR AS id, stddev_samp(x) * 10 AS a, avg(v) AS b FROM f GROUP BY symbol, trade_date)"
 query("join6_pairs_within", f"{_POINTS} SELECT l.id AS id_a, r.id AS id_b FROM pt l JOIN pt r ON l.id < r.id WHERE (l.a - r.a) * (l.a - r.a) + (l.b - r.b) * (l.b - r.b) < 0.01")(lambda t: P.pairs_within(_points(t).where("a is not null"), ["a", "b"], 0.1))
 query("ms28_correlation_dimension", f"{_POINTS} SELECT count(*) AS pairs FROM pt l JOIN pt r ON l.id < r.id WHERE (l.a - r.a) * (l.a - r.a) + (l.b - r.b) * (l.b - r.b) < 0.01")(lambda t: P.correlation_dimension(_points(t).where("a is not null"), ["a", "b"], 0.1))
+
+# features over days, and signals with parameters
+query("win1_log_return", "SELECT symbol, trade_id, round(r, 6) AS r FROM f WHERE i > 1")(lambda t: t.where("i > 1").select("symbol", "trade_id", "r"))
+query("win2_duration", "SELECT symbol, trade_id, round(dt, 6) AS dt FROM f WHERE i > 1")(lambda t: t.where("i > 1").select("symbol", "trade_id", "dt"))
+query("win3_trade_speed", "SELECT symbol, trade_id, round(v / (sqrt(dt) + 0.001), 6) AS spec, round(v / sqrt(greatest(dt, 0.001)), 6) AS online FROM f WHERE i > 1")(lambda t: t.where("i > 1").select("symbol", "trade_id", F.col("spd").alias("spec"), F.col("spd_online").alias("online")))
+query("win4_flow_toxicity", "SELECT symbol, trade_id, round(tox, 6) AS tox FROM f WHERE i > 1")(lambda t: t.where("i > 1").select("symbol", "trade_id", "tox"))
+_KERNEL = lambda w: "SELECT symbol, round((sum(r * r) + " + " + ".join(f"2 * {v!r}::DOUBLE * coalesce(sum(r * r{k}), 0)" for k, v in enumerate(w, 1)) + ") * 1e3, 6) AS rk FROM (SELECT symbol, r, " + ", ".join(f"lag(r, {k}) OVER s AS r{k}" for k in range(1, len(w) + 1)) + " FROM f WINDOW s AS (PARTITION BY symbol ORDER BY i)) GROUP BY symbol"
+for _n, _w5 in (("ms7_realized_kernel", [5 / 6, 4 / 6, 3 / 6, 2 / 6, 1 / 6]), ("ms24_parzen_kernel", [1 - 6 / 36 + 6 / 216, 1 - 6 / 9 + 6 / 27, 1 - 6 / 4 + 6 / 8, 2 / 27, 2 / 216])):
+    query(_n, _KERNEL(_w5))(lambda t, w=P.bartlett_weights if _n.startswith("ms7") else P.parzen_weights: P.realized_kernel(t, w(5)).withColumn("rk", F.col("rk") * 1e3))
+query("ms10_fano_blocks", "b AS (SELECT symbol, (i - 1) // 100 AS b, var_samp(trade_count) / avg(trade_count) AS f FROM f GROUP BY 1, 2 HAVING count(*) = 100) SELECT symbol, round(avg(f), 6) AS fano FROM b GROUP BY symbol")(P.fano_factor)
+query("ms38_burstiness", "SELECT symbol, trade_id, max(trade_count) OVER (PARTITION BY symbol ORDER BY i ROWS 99 PRECEDING) AS burst FROM f")(lambda t: P.burstiness(t).select("symbol", "trade_id", "burst"))
+query("ms11_farima_ms23_weights", """e AS (SELECT symbol, v, max(i) OVER (PARTITION BY symbol) - i AS k FROM f), fw AS (SELECT k, list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(1, k + 1), lambda j: (-(0.4 - j + 1) / j)::DOUBLE)), lambda a, b: a * b) AS w FROM (SELECT unnest(range(1, 500)) AS k))
+  SELECT symbol, round(sum(w * v), 6) AS forecast FROM e JOIN fw ON e.k = fw.k GROUP BY symbol""")(P.farima_forecast)
+query("ms12_propagator", "e AS (SELECT symbol, v, max(i) OVER (PARTITION BY symbol) - i AS k FROM f) SELECT symbol, round(sum(v / sqrt(k + 1)), 6) AS response FROM e WHERE k > 0 GROUP BY symbol")(P.propagator_response)

@@ -11,10 +11,6 @@ PLANS["src9_days_to_ingest"] = (lambda d: "SELECT days.symbol, CAST(days.k AS IN
 PLANS["src10_ingest_status"] = (lambda d: """SELECT status, count(*) AS days FROM (SELECT CASE WHEN h.k % 2 = 0 THEN 'skip' WHEN h.k IS NULL THEN 'missing' WHEN low <= 0 OR least < 0 THEN 'error' ELSE 'ok' END AS status
   FROM days LEFT JOIN have h ON days.symbol = h.symbol AND days.k = h.k) t GROUP BY status""", CALENDAR)
 
-# fractional differencing: weight of lag k is -w(k-1) (d - k + 1) / k, as a running product
-FRACTIONAL, TERMS = 0.4, 500
-PLANS["ms11_farima_ms23_weights"] = (lambda d: f"""SELECT symbol, trade_date, count(*) AS terms, round(sum(-{FRACTIONAL} * exp(lw) * v), 6) AS forecast FROM (SELECT *, sum(CASE WHEN k > 1 THEN ln((k - 1 - {FRACTIONAL}) / k) ELSE 0.0 END) OVER (PARTITION BY symbol, trade_date ORDER BY k) AS lw
-  FROM (SELECT symbol, trade_date, v, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY trade_id DESC) - 1 AS k FROM panel) a) b WHERE k BETWEEN 1 AND {TERMS - 1} GROUP BY symbol, trade_date""", PANEL)
 PLANS["ms13_propagator_signal"] = (lambda d: """SELECT symbol, trade_date, round(actual - model, 6) AS resid, CAST(CASE WHEN abs(actual - model) > 2 THEN -sign(actual - model) ELSE 0 END AS INTEGER) AS signal
   FROM (SELECT symbol, trade_date, max_by(x, i) - min_by(x, i) AS actual, sum(CASE WHEN k > 1 THEN v / sqrt(k) ELSE 0.0 END) AS model FROM (SELECT *, count(*) OVER (PARTITION BY symbol, trade_date) - i + 1 AS k FROM panel) a GROUP BY symbol, trade_date) b""", PANEL)
 

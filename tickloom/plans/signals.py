@@ -84,10 +84,6 @@ PLANS["src5_day_manifest"] = (lambda d: "SELECT symbol, trade_date, count(*) AS
 PLANS["src6_available_days"] = (lambda d: "SELECT DISTINCT trade_date FROM tape", "")
 PLANS["src7_recent_months"] = (lambda d: "SELECT DISTINCT year(trade_date) AS y, month(trade_date) AS m FROM tape ORDER BY y DESC, m DESC LIMIT 6", "")
 # window features
-row_level("win1_log_return", where="i > 1", r="r")
-row_level("win2_duration", where="i > 1", dt="dt")
-row_level("win3_trade_speed", where="i > 1", spec="v / (sqrt(dt) + 0.001)", online="v / sqrt(greatest(dt, 0.001))")
-row_level("win4_flow_toxicity", where="i > 1", tox="tox")
 row_level("win5_rolling_sum", ofi="ofi", mean="ofi / least(i, 8)")
 
 
@@ -111,15 +107,8 @@ BLOCKS = lambda d: PANEL + f", blk AS (SELECT symbol, trade_date, {d.div('i - 1'
 by_symbol("ex3_kyle_lambda", "blk2", "n = 10 AND dp IS NOT NULL", needs=BLOCKS, kyle_lambda="regr_slope(dp, bq)")
 
 
-@plan("ms7_realized_kernel")
-def _(d):
-    lags = ", ".join(f"sum(r * l{h}) AS g{h}" for h in range(1, 6))
-    return f"SELECT symbol, round(g0 + {' + '.join(f'2 * (1 - {h} / 6.0) * g{h}' for h in range(1, 6))}, 6) AS rk FROM (SELECT symbol, sum(r * r) AS g0, {lags} FROM (SELECT symbol, r, {', '.join(f'lag(r, {h}) OVER ({D}) AS l{h}' for h in range(1, 6))} FROM panel) a GROUP BY symbol) b"
-
-
 by_symbol("ms9_duration_dispersion", where="dt IS NOT NULL", dispersion="stddev_samp(dt) / avg(dt)")
 by_symbol("ms10_fano_factor", fano="var_samp(trade_count) / avg(trade_count)")
-PLANS["ms12_propagator"] = (lambda d: f"SELECT symbol, trade_date, round(sum(CASE WHEN i < n THEN v / pow(n - i + 1, 0.5) END), 6) AS response FROM (SELECT *, count(*) OVER (PARTITION BY symbol, trade_date) AS n FROM panel) a GROUP BY 1, 2", PANEL)
 PLANS["ms17_iceberg"] = (lambda d: "SELECT symbol, trade_id, round(trade_count * (1 - least(abs(dx) / (q * sd), 1.0)), 6) AS score FROM (SELECT *, stddev_samp(dx) OVER (PARTITION BY symbol, trade_date) AS sd FROM panel) a WHERE dx IS NOT NULL AND sd > 0", PANEL)
 PLANS["ms19_rolling_g_inf"] = (lambda d: f"SELECT symbol, trade_id, round(covar_samp(dx, v) OVER ({D} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / var_samp(v) OVER ({D} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS g FROM panel WHERE i > 1", PANEL)
 row_level("ms21_duration_adj_return", where="i > 1", a="CASE WHEN dt > 0 THEN r / sqrt(dt) ELSE 0 END")
@@ -141,7 +130,6 @@ by_symbol("ms33_concavity", where="dx IS NOT NULL", index="avg(abs(dx) / sqrt(q)
 by_symbol("ms35_realized_skew_kurt", where="r IS NOT NULL", skew="avg(pow(r, 3)) / pow(avg(r * r), 1.5)", kurt="avg(pow(r, 4)) / pow(avg(r * r), 2)")
 PLANS["ms36_leverage_effect"] = (lambda d: f"SELECT symbol, round(corr(r, f), 6) AS rho FROM (SELECT symbol, r, pow(lead(r) OVER ({D}), 2) AS f FROM panel WHERE r IS NOT NULL) a GROUP BY symbol", PANEL)
 by_symbol("ms37_vsi", vsi="abs(sum(v)) / sum(q)", keys="symbol, trade_date")
-PLANS["ms38_burstiness"] = (lambda d: f"SELECT symbol, trade_id, max(trade_count) OVER ({D} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS burst FROM panel", PANEL)
 row_level("ms39_effective_spread", where="i > 1", spread="2 * abs(dx) / q")
 PLANS["ms40_toxicity_count"] = (lambda d: "SELECT symbol, trade_date, b, round(abs(bq) * n * tc / sum(n * tc) OVER (PARTITION BY symbol, trade_date), 6) AS toxicity FROM blk", BLOCKS)
 by_symbol("ms42_max_staleness", stale="max(dt)")
@@ -197,9 +185,11 @@ def text(name: str, d) -> str:
     return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\de])", r"\1e0", body)  # doubles, not decimals
 
 
-def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        body = text(name, Spark).replace("{", "{{").replace("}", "}}").replace("FROM tape", "FROM {tape}")
-        return spark.sql(body, tape=tape(spark, sf_dir))
+def over(trades: DataFrame, name: str) -> DataFrame:
+    """The plan ``name`` over any trades table (the columns of a tape)."""
+    body = text(name, Spark).replace("{", "{{").replace("}", "}}").replace("FROM tape", "FROM {tape}")
+    return trades.sparkSession.sql(body, tape=trades)
+
 
-    return run
+def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: over(tape(spark, sf_dir), name)
