@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.shared import fresh_path, shared_dir  # noqa: F401
+
 #: Ids of at most this many rows may be broadcast (16 bytes a row); above, Spark's shuffled join is used.
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where nobody named one (single-machine tests) a local folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` to the shared folder and reads it back."""
     spark = df.sparkSession
@@ -47,6 +28,13 @@ def row_key():
     return F.xxhash64(F.col("doc_id").cast("long").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text"))
 
 
+def slices(frames, rows: int = 1000):
+    """The batches in parts of some rows, so that a task holds few texts at a time as Python objects."""
+    for batch in frames:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def only_ids(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``big`` whose key is in ``ids`` (a written table); ids are broadcast only up to BROADCAST_ROWS."""
     small = ids.count() <= BROADCAST_ROWS

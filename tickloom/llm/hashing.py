@@ -55,7 +55,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((run[end] - run[start]) * _powers(_P_INV, len(a))[start]), start, end
 
 
-def batches(texts, limit: int = 1 << 20):
+def batches(texts, limit: int = 1 << 18):
     """Groups of consecutive texts of about ``limit`` bytes: (first index, list of UTF-8 byte strings)."""
     group, size, first = [], 0, 0
     for i, t in enumerate(texts):

@@ -166,15 +166,16 @@ def classify(docs: DataFrame, model: LanguageModel, keep: list[str], names=("lan
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double").add(names[2], "double")
 
+    others = [c for c in keep if c != "text"]
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        for batch in frames:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                lang, score, cover = m.predict(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cover, pa.float64())], schema.names)
+        for part in common.slices(frames, 128):
+            lang, score, cover = m.predict(part.column(0).to_pylist())
+            own = dict(zip(["text", *others], part.columns))
+            yield pa.RecordBatch.from_arrays([*(own[c] for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cover, pa.float64())], schema.names)
 
-    return docs.select("text", *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(keep)]).mapInArrow(run, schema)
+    return docs.select("text", *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(others)]).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, keep: list[str] | None = None, names=("lang_pred", "score", "coverage")) -> DataFrame:

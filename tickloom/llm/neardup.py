@@ -37,7 +37,7 @@ LEADERS, HUBS = 16, 1
 #: Members of a large bucket's largest component that the bucket's members of other components meet.
 COMPONENT_HUBS = 4
 #: Texts compared with one hub in one task; sets that a task brings together before the shuffle.
-HUB_SHARE, BLOCK = 256, 16384
+HUB_SHARE, BLOCK = 256, 8192
 MEMBER, LEADER, PAIR, CROWD = 0, 1, 2, 3
 
 _RNG = np.random.default_rng(7)
@@ -60,7 +60,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, row_key, n_shingles, a 128-bit hash of the set, and the signature, one row for each input row."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
+        for batch in common.slices(frames):
             n, digest, sig = [], [], []
             for words in hashed_words(batch.column(2).to_pylist()):
                 s = shingles(words, k)
@@ -191,8 +191,8 @@ def near_signatures(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _set_of(texts, k: int) -> list[np.ndarray]:
-    return [shingles(w, k) for w in hashed_words(texts)]
+def _set_of(texts, k: int) -> Iterator[np.ndarray]:
+    return (shingles(w, k) for w in hashed_words(texts))
 
 
 def similar(x: int, y: int, common_size: int, percent: int) -> bool:
@@ -234,7 +234,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
 def _shingle_rows(docs: DataFrame, k: int) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
+        for batch in common.slices(frames):
             ids, comps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, s in enumerate(_set_of(batch.column(2).to_pylist(), k)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[i])), pa.array(np.full(len(s), comps[i])), pa.array(np.full(len(s), len(s), np.int32)), pa.array(s.view(np.int64))], ["id", "component", "n", "shingle"])
