@@ -303,3 +303,19 @@ def farima_forecast(ticks: DataFrame, d: float = 0.4, terms: int = 500) -> DataF
 def propagator_response(ticks: DataFrame, gamma: float = 0.5) -> DataFrame:
     """(symbol, response): the sum over all trades but the last of v / (rows from there to the end)^gamma."""
     return _from_end(ticks).where("_k > 0").groupBy("symbol").agg(F.sum(F.col("v") / F.pow(F.col("_k") + 1, F.lit(gamma))).alias("response"))
+
+
+def lagged_correlations(rows: DataFrame, x: str, y: str, lags: list[int]) -> DataFrame:
+    """(symbol, lag, rho): correlation of x with y ``lag`` rows before; one pass for all lags."""
+    d = _later(rows, {f"_y{j}": (y, -k) for j, k in enumerate(lags)})
+    g = d.groupBy("symbol").agg(*[F.corr(x, f"_y{j}").alias(f"_c{j}") for j in range(len(lags))])
+    return g.select("symbol", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_c{j}").alias("rho")) for j, k in enumerate(lags)])).alias("_m")).select("symbol", "_m.lag", "_m.rho")
+
+
+def rough_volatility(ticks: DataFrame, q: float = 2.0, lags=(1, 2, 4, 8, 16), floor: float = 1e-6) -> DataFrame:
+    """(symbol, h): slope of ln E|difference of ln(floor + |r|)|^q on ln lag, over q; one pass for all lags."""
+    d = ticks.withColumn("_v", F.log(F.abs("r") + floor))
+    d = _later(d, {f"_v{k}": ("_v", -k) for k in lags})
+    move = lambda k: F.abs(F.col("_v") - F.col(f"_v{k}"))
+    d = d.groupBy("symbol").agg(*[F.log(F.avg(F.when(move(k) > 0, F.pow(move(k), F.lit(q))))).alias(f"_m{k}") for k in lags])
+    return d.select("symbol", (slope([(F.col(f"_m{k}"), float(np.log(k))) for k in lags]) / q).alias("h"))

@@ -102,3 +102,10 @@ query("rb7_neighbourhood", f"""WITH RECURSIVE {sims(GRID)}, g AS (SELECT symbol,
   SELECT symbol, count(*) AS num_tried_params, count(*) FILTER (abs(m) * sqrt(n) / sd > 1.96) AS num_significant_params, round(avg((near - m) / sd), 6) AS param_neighborhood_stability_score FROM h GROUP BY symbol""", _bars)(lambda b: C.neighbourhood(B.sweep(b, _grid(b))))
 query("tc4_turnover_elasticity", f"WITH RECURSIVE {sims(GRID)}, g AS (SELECT symbol, param_id, count(*) AS n, sum(net_pnl_bps) AS p FROM sim GROUP BY 1, 2) SELECT symbol, round(regr_slope(p, n), 4) AS turnover_elasticity_of_performance FROM g GROUP BY symbol", _bars, 4)(
     lambda b: B.sweep(b, _grid(b)).groupBy("symbol", "param_id").agg(F.count("*").alias("n"), F.sum("net_pnl_bps").alias("p")).groupBy("symbol").agg(F.regr_slope("p", "n").alias("turnover_elasticity_of_performance")))
+
+_lags = lambda ks: "(" + " UNION ALL ".join(f"SELECT symbol, {k} AS lag, corr(s, y) AS rho FROM (SELECT symbol, s, lag(rf, {k}) OVER (PARTITION BY symbol ORDER BY i) AS y FROM sig) a{k + 9} GROUP BY symbol" for k in ks) + ")"
+query("ts3_cross_corr_peak_lag", _panel(f"SELECT symbol, max_by(lag, rho)::INTEGER AS peak_lag, round(max(rho), 6) AS rho FROM {_lags(range(-4, 5))} GROUP BY symbol"))(
+    lambda d: P.lagged_correlations(d, "s", "rf", list(range(-4, 5))).groupBy("symbol").agg(F.max_by("lag", "rho").alias("peak_lag"), F.max("rho").alias("rho")))
+query("sd3_acf", _panel("SELECT symbol, k::INTEGER AS lag_rows, round(corr(s, y), 6) AS acf FROM (SELECT symbol, k, s, lag(s, k::INTEGER) OVER (PARTITION BY symbol, k ORDER BY i) AS y FROM sig, (SELECT unnest([1, 2, 4, 8]) AS k)) GROUP BY 1, 2"))(
+    lambda d: P.lagged_correlations(d, "s", "s", [1, 2, 4, 8]).select("symbol", F.col("lag").alias("lag_rows"), F.col("rho").alias("acf")))
+query("ms47_rough_vol_h", f"WITH {BASE}, v AS (SELECT symbol, i, ln(1e-6 + abs(r)) AS v FROM f), m AS (SELECT symbol, k, abs(v - lag(v, k::INTEGER) OVER (PARTITION BY symbol, k ORDER BY i)) AS y FROM v, (SELECT unnest([1, 2, 4, 8, 16]) AS k)), e AS (SELECT symbol, k, ln(avg(y * y)) AS l FROM m WHERE y > 0 GROUP BY 1, 2) SELECT symbol, round(regr_slope(l, ln(k)) / 2, 6) AS h FROM e GROUP BY symbol", features)(P.rough_volatility)

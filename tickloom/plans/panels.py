@@ -50,7 +50,6 @@ PLANS["pp11_fama_macbeth"] = (lambda d: f"SELECT count(*) AS sections, round(avg
 PLANS["pp14_mutual_information"] = (lambda d: """SELECT symbol, round(sum(n / t * ln(n * t / (na * nb))), 6) AS mutual_information FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY symbol) AS DOUBLE) AS t, CAST(sum(n) OVER (PARTITION BY symbol, a) AS DOUBLE) AS na, CAST(sum(n) OVER (PARTITION BY symbol, b) AS DOUBLE) AS nb
   FROM (SELECT symbol, sign(s) AS a, sign(rf) AS b, CAST(count(*) AS DOUBLE) AS n FROM sig GROUP BY 1, 2, 3) c) e GROUP BY symbol""", PANEL)
 PLANS["ts2_ic_decay"] = (lambda d: f"SELECT symbol, round(max(CASE WHEN horizon = 8 THEN ic END) / max(CASE WHEN horizon = 2 THEN ic END), 4) AS ic_decay_ratio, round(-ln(2.0) / regr_slope(ln(abs(ic)), horizon), 4) AS ic_half_life FROM ({PLANS['ts1_ic_by_horizon'][0](d).replace('round(corr(s, y), 6)', 'corr(s, y)')}) t GROUP BY symbol", PANEL)
-PLANS["ts3_cross_corr_peak_lag"] = (lambda d: "SELECT symbol, max_by(k, rho) AS peak_lag, round(max(rho), 6) AS rho FROM (" + " UNION ALL ".join(f"SELECT symbol, {k} AS k, corr(s, y) AS rho FROM (SELECT symbol, s, lag(rf, {k}) OVER ({D}) AS y FROM sig) a{k + 4} GROUP BY symbol" for k in range(-4, 5)) + ") t GROUP BY symbol", PANEL)
 # costs and the book
 TURNED = PANEL + f", turned AS (SELECT *, sign(s) AS pos, abs(sign(s) - coalesce(lag(sign(s)) OVER ({D}), 0)) AS moved, lag(s) OVER ({D}) AS s1 FROM sig)"
 by_symbol("tc2_turnover", "turned", needs=TURNED, portfolio_turnover_per_bar="avg(moved)", portfolio_turnover_daily="sum(moved) / count(DISTINCT trade_date)", turnover_pct_of_adv="100 * sum(moved * q) / sum(q)", avg_trade_size_shares="sum(moved * q) / sum(CASE WHEN moved > 0 THEN 1 END)", avg_trade_size_notional="sum(moved * q * x) / sum(CASE WHEN moved > 0 THEN 1 END)")

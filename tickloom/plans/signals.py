@@ -118,14 +118,6 @@ PLANS["ms25_hurst_rs"] = (RS("r"), PANEL)
 PLANS["ms46_long_memory"] = (lambda d: f"SELECT symbol, trade_date, round(hurst - 0.5, 6) AS d FROM ({RS('sign')(d)}) z", PANEL)
 
 
-def _slopes(expr: str, q: float) -> Callable:
-    lags = [1, 2, 4, 8, 16]
-    return lambda d: "SELECT symbol, " + f"regr_slope(l, t) / {q} AS h FROM (" + " UNION ALL ".join(f"SELECT symbol, ln({float(k)}) AS t, ln(avg(pow(abs(y), {q}))) AS l FROM (SELECT symbol, {expr} - lag({expr}, {k}) OVER ({D}) AS y FROM panel) a{k} WHERE y <> 0 GROUP BY symbol" for k in lags) + ") u GROUP BY symbol"
-
-
-PLANS["ms47_rough_vol_h"] = (lambda d: f"SELECT symbol, round(h, 6) AS h FROM ({_slopes('ln(1e-6 + abs(r))', 2.0)(d)}) a", PANEL)
-
-
 by_symbol("ms33_concavity", where="dx IS NOT NULL", index="avg(abs(dx) / sqrt(q))")
 by_symbol("ms35_realized_skew_kurt", where="r IS NOT NULL", skew="avg(pow(r, 3)) / pow(avg(r * r), 1.5)", kurt="avg(pow(r, 4)) / pow(avg(r * r), 2)")
 PLANS["ms36_leverage_effect"] = (lambda d: f"SELECT symbol, round(corr(r, f), 6) AS rho FROM (SELECT symbol, r, pow(lead(r) OVER ({D}), 2) AS f FROM panel WHERE r IS NOT NULL) a GROUP BY symbol", PANEL)
@@ -143,7 +135,6 @@ PLANS["dq3_outliers"] = (lambda d: "SELECT symbol, round(avg(CASE WHEN abs(r - m
 PLANS["dq5_realized_vol"] = (lambda d: f"SELECT symbol, round(sqrt(sum(lr * lr)), 6) AS realized_vol FROM (SELECT symbol, ln(c / lag(c) OVER (PARTITION BY symbol ORDER BY g)) AS lr FROM (SELECT symbol, {d.div('ts_ms', 3600000)} AS g, max_by(x, trade_id) AS c FROM panel GROUP BY 1, 2) a) b GROUP BY symbol", PANEL)
 by_symbol("sd1_signal_distribution", "sig", signal_mean="avg(s)", signal_std="stddev_samp(s)", signal_median=lambda d: d.pct("s", 0.5), signal_pct_1=lambda d: d.pct("s", 0.01), signal_pct_99=lambda d: d.pct("s", 0.99), signal_iqr=lambda d: f"{d.pct('s', 0.75)} - {d.pct('s', 0.25)}")
 by_symbol("sd2_signal_shape", "sig", signal_skew=lambda d: d.skew("s"), signal_kurtosis=lambda d: d.kurt("s"), signal_jarque_bera_pvalue=lambda d: f"exp(-count(*) / 12.0 * (pow({d.skew('s')}, 2) + pow({d.kurt('s')}, 2) / 4))")
-PLANS["sd3_acf"] = (lambda d: " UNION ALL ".join(f"SELECT symbol, {k} AS lag_rows, round(corr(s, y), 6) AS acf FROM (SELECT symbol, s, lag(s, {k}) OVER ({D}) AS y FROM sig) a{k} GROUP BY symbol" for k in (1, 2, 4, 8)), PANEL)
 PLANS["sd4_variance_ratio"] = (lambda d: f"SELECT symbol, round(var_samp(d4) / (4 * var_samp(d1)), 6) AS variance_ratio FROM (SELECT symbol, s - lag(s) OVER ({D}) AS d1, s - lag(s, 4) OVER ({D}) AS d4 FROM sig) a GROUP BY symbol", PANEL)
 PLANS["sd5_entropy"] = (lambda d: "SELECT symbol, round(-sum(p * ln(p)), 6) AS entropy FROM (SELECT symbol, n / sum(n) OVER (PARTITION BY symbol) AS p FROM (SELECT symbol, floor(s * 20) AS b, CAST(count(*) AS DOUBLE) AS n FROM sig GROUP BY 1, 2) a) b GROUP BY symbol", PANEL)
 PLANS["sd7_sign_flips"] = (lambda d: f"SELECT symbol, round(avg(CASE WHEN sign(s) <> sign(y) THEN 1.0 ELSE 0.0 END), 6) AS flip_rate FROM (SELECT symbol, s, lag(s) OVER ({D}) AS y FROM sig) a WHERE y IS NOT NULL GROUP BY symbol", PANEL)
