@@ -153,6 +153,28 @@ def test_token_tree_follows_edits():
             assert tree.total == sum(map(count, SPLIT.findall(text)))
 
 
+def test_token_trees_kept_in_a_table(spark, tmp_path):
+    """Trees written, read and edited twice: sums as of a full encoding, and only the edits' surroundings read again."""
+    from pyspark.sql import functions as F
+
+    from tickloom.llm import tokens
+
+    rows = [(i, prose(i, 3000 if i % 2 else i)) for i in range(12)] + [(12, None), (12, "")]
+    tokens.token_trees(spark.createDataFrame(rows, "doc_id long, text string")).write.parquet(str(tmp_path / "a"))
+    edit = lambda a, b, new: F.array(F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(new).alias("new")))
+    tokens.edit_trees(spark.read.parquet(str(tmp_path / "a")), edit(5000, 5004, "don't stop")).write.parquet(str(tmp_path / "b"))
+    out = tokens.edit_trees(spark.read.parquet(str(tmp_path / "b")), edit(0, 3, "")).collect()
+    count = tokens.Counter(tokens.ranks())
+    assert len(out) == 14
+    for x in out:
+        pieces = tokens.SPLIT.findall(x["text"])
+        assert x["n_tokens"] == sum(map(count, pieces)) == sum(x["tokens"]) and sum(x["chars"]) == len(x["text"]) and sum(x["pieces"]) == len(pieces)
+        assert x["reencoded_pieces"] <= 3 * tokens.LEAF
+        t = dict(rows[:12]).get(x["doc_id"]) or ""
+        t = t[:5000] + "don't stop" + t[5004:]
+        assert x["text"] == t[3:]
+
+
 def test_token_counts_of_nulls(docs, empty):
     from tickloom.llm.tokens import count_edits, sample_edits
 

@@ -1,18 +1,17 @@
 """Token counts that follow edits.
 
-A text is cut into pre-tokens (byte-level BPE never merges across them). A segment tree over leaves of LEAF
-pre-tokens keeps the characters of each leaf and the token sums of all subtrees. An edit re-reads the text from the last
-leaf boundary that it cannot change (REACH characters of context) until a pre-token ends on an old leaf boundary
-behind the edit; from there on pre-tokens are the old ones, as the pattern looks ahead only. New leaves replace
-the touched ones and the sums above them are renewed.
+A text is cut into pre-tokens (byte-level BPE never merges across them). A segment tree over leaves of about LEAF
+pre-tokens keeps the characters, pre-tokens and tokens of all subtrees; its leaves can be kept in a table, so that later edits
+find them there. An edit looks its leaf up from the root and re-reads the text from the last leaf boundary that it cannot
+change (REACH characters of context) until a pre-token ends on an old leaf boundary behind the edit; from there on pre-tokens
+are the old ones, as the pattern looks ahead only. The new pre-tokens take the place of the touched leaves and the sums above
+them are renewed; only where leaves would become too large or too small is the tree built anew from its leaves.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -54,80 +53,146 @@ class Counter:
 
 
 class TokenTree:
-    """Leaf sizes (characters, pre-tokens, tokens) with the token sums of all subtrees (level by level)."""
+    """Leaves (characters, pre-tokens, tokens) and the sums of all subtrees, level by level."""
 
     def __init__(self, chars: list[int], pieces: list[int], tokens: list[int]):
-        self.chars, self.pieces, self.levels = chars, pieces, [tokens]
-        while len(self.levels[-1]) > 1:
-            low = self.levels[-1]
-            self.levels.append([low[i] + (low[i + 1] if i + 1 < len(low) else 0) for i in range(0, len(low), 2)])
+        self.levels = [[list(chars), list(pieces), list(tokens)]]
+        while len(self.levels[-1][0]) > 1:
+            self.levels.append([[sum(c[i : i + 2]) for i in range(0, len(c), 2)] for c in self.levels[-1]])
 
     @classmethod
     def build(cls, text: str, count: Counter) -> TokenTree:
-        found = SPLIT.findall(text)
-        size = list(map(count, found))
-        cut = range(0, len(found), LEAF)
-        return cls([sum(map(len, found[i : i + LEAF])) for i in cut], [len(found[i : i + LEAF]) for i in cut], [sum(size[i : i + LEAF]) for i in cut])
+        return cls(*_leaves(SPLIT.findall(text), count, -1))
+
+    @property
+    def leaves(self) -> list[list[int]]:
+        return self.levels[0]
 
     @property
     def total(self) -> int:
-        return self.levels[-1][0] if self.levels[-1] else 0
+        return self.levels[-1][2][0] if self.levels[-1][2] else 0
+
+    @property
+    def n_pieces(self) -> int:
+        return self.levels[-1][1][0] if self.levels[-1][1] else 0
+
+    def find(self, at: int) -> tuple[int, int]:
+        """The leaf that holds a place in the text (the last one, if it is behind all), and where it starts; from the root."""
+        leaf = start = 0
+        for level in reversed(self.levels[:-1]):
+            chars = level[0]
+            leaf *= 2
+            if leaf + 1 < len(chars) and start + chars[leaf] <= at:
+                start += chars[leaf]
+                leaf += 1
+        return leaf, start
 
     def edit(self, text: str, start: int, end: int, new: str, count: Counter) -> tuple[str, int]:
         """Replaces text[start:end]; returns the new text and how many pre-tokens were encoded again."""
-        ends = list(accumulate(self.chars))
-        starts = [0, *ends]
-        first = max(0, bisect_right(starts, start - REACH) - 1)
+        chars = self.leaves[0]
         changed = text[:start] + new + text[end:]
-        shift = len(new) - (end - start)
-        at, fresh, last = starts[min(first, len(ends))], [], len(self.chars)
-        stop = bisect_left(ends, end)  # the first leaf boundary at or behind the edit
+        if not chars:
+            self.__init__(*_leaves(SPLIT.findall(changed), count, -1))
+            return changed, self.n_pieces
+        shift, behind = len(new) - (end - start), start + len(new)
+        first, at = self.find(max(0, start - REACH))
+        fresh, last, old_end = [], first, at + chars[first]
         for m in SPLIT.finditer(changed, at):
             fresh.append(m[0])
-            while stop < len(ends) and ends[stop] + shift < m.end():
-                stop += 1
-            if stop < len(ends) and ends[stop] >= end and ends[stop] + shift == m.end() and m.end() >= start + len(new):
-                last = stop + 1
+            while last < len(chars) and (old_end < end or old_end + shift < m.end()):
+                last += 1
+                old_end += chars[last] if last < len(chars) else 0
+            if m.end() >= behind and last < len(chars) and old_end + shift == m.end():
                 break
-        size = list(map(count, fresh))
-        cut = range(0, len(fresh), LEAF)
-        chars = [sum(map(len, fresh[i : i + LEAF])) for i in cut]
-        pieces = [len(fresh[i : i + LEAF]) for i in cut]
-        tokens = [sum(size[i : i + LEAF]) for i in cut]
-        if len(chars) == last - first:  # the shape stays: only the paths above the leaves change
-            self.chars[first:last], self.pieces[first:last], self.levels[0][first:last] = chars, pieces, tokens
+        last = min(last + 1, len(chars))
+        spots = last - first
+        if fresh and LEAF * spots <= 4 * len(fresh) and len(fresh) <= 2 * LEAF * spots:  # the shape stays
+            for column, values in zip(self.leaves, _leaves(fresh, count, spots)):
+                column[first:last] = values
             lo, hi = first, last
             for k in range(1, len(self.levels)):
                 lo, hi = lo // 2, (hi + 1) // 2
-                low = self.levels[k - 1]
-                for i in range(lo, hi):
-                    self.levels[k][i] = low[2 * i] + (low[2 * i + 1] if 2 * i + 1 < len(low) else 0)
+                for column, low in zip(self.levels[k], self.levels[k - 1]):
+                    column[lo:hi] = [sum(low[2 * i : 2 * i + 2]) for i in range(lo, hi)]
         else:
-            self.__init__([*self.chars[:first], *chars, *self.chars[last:]], [*self.pieces[:first], *pieces, *self.pieces[last:]], [*self.levels[0][:first], *tokens, *self.levels[0][last:]])
+            self.__init__(*(c[:first] + v + c[last:] for c, v in zip(self.leaves, _leaves(fresh, count, -1))))
         return changed, len(fresh)
 
 
+def _leaves(found: list[str], count: Counter, spots: int) -> list[list[int]]:
+    """Characters, pre-tokens and tokens of ``spots`` leaves of like size, or of leaves of LEAF pre-tokens (spots -1)."""
+    n = len(found)
+    cut = list(range(0, n, LEAF)) + [n] if spots < 0 else [n * i // spots for i in range(spots + 1)]
+    size = list(map(count, found))
+    return [[sum(map(len, found[a:b])) for a, b in zip(cut, cut[1:])], [b - a for a, b in zip(cut, cut[1:])], [sum(size[a:b]) for a, b in zip(cut, cut[1:])]]
+
+
+def _edited(tree: TokenTree, text: str, changes, count: Counter) -> tuple[str, int]:
+    again = 0
+    for c in changes or []:
+        s = min(max(c["start"] or 0, 0), len(text))
+        text, n = tree.edit(text, s, min(max(c["end"] or 0, s), len(text)), c["new"] or "", count)
+        again += n
+    return text, again
+
+
+TREE = "doc_id long, text string, chars array<int>, pieces array<int>, tokens array<int>, n_tokens long, reencoded_pieces long"
+
+
+def _tree_rows(ids, rows) -> pa.RecordBatch:
+    leaf = pa.list_(pa.int32())
+    cols = [pa.array([t for t, _, _ in rows], pa.string()), *(pa.array([tree.leaves[k] for _, tree, _ in rows], leaf) for k in range(3)), pa.array([tree.total for _, tree, _ in rows], pa.int64()), pa.array([n for _, _, n in rows], pa.int64())]
+    return pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "text", "chars", "pieces", "tokens", "n_tokens", "reencoded_pieces"])
+
+
+def token_trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """A table of trees (see TREE) to be written and edited later: one row for each row of ``docs``; null texts are empty. Narrow."""
+    shipped = docs.sparkSession.sparkContext.broadcast(ranks(vocabulary))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = Counter(shipped.value)
+        for part in common.slices(frames):
+            rows = [(t or "", TokenTree.build(t or "", count)) for t in part.column(1).to_pylist()]
+            yield _tree_rows(part.column(0), [(t, tree, tree.n_pieces) for t, tree in rows])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TREE)
+
+
+def edit_trees(trees: DataFrame, edits, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The trees after ``edits`` (see count_edits); reencoded_pieces says how many pre-tokens these edits read again. Narrow."""
+    shipped = trees.sparkSession.sparkContext.broadcast(ranks(vocabulary))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = Counter(shipped.value)
+        for part in common.slices(frames):
+            rows = []
+            for text, chars, pieces, tokens, changes in zip(*(c.to_pylist() for c in part.columns[1:])):
+                tree = TokenTree(chars, pieces, tokens)
+                text, again = _edited(tree, text, changes, count)
+                rows.append((text, tree, again))
+            yield _tree_rows(part.column(0), rows)
+
+    return trees.select("doc_id", "text", "chars", "pieces", "tokens", edits.alias("edits")).mapInArrow(run, TREE)
+
+
 def count_edits(docs: DataFrame, edits, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_pieces, n_tokens, edited_chars, edited_tokens, reencoded_pieces for each row.
 
     ``edits`` is a column of array<struct<start, end, new>> in code points, applied in order, each to the text as
-    the ones before it left it; spans beyond the text are cut to it, nulls are no edits. Null texts count as empty. Narrow.
+    the ones before it left it; spans beyond the text are cut to it, nulls are no edits. Null texts count as empty, repeated rows
+    give a row each, an empty table none; texts of any length are read whole. Narrow.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(ranks(vocabulary))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(shipped.value)
-        for batch in frames:
+        for batch in common.slices(frames):
             out: list[list[int]] = [[], [], [], [], []]
             for text, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                text, again = text or "", 0
-                tree = TokenTree.build(text, count)
-                out[0].append(sum(tree.pieces))
+                tree = TokenTree.build(text or "", count)
+                out[0].append(tree.n_pieces)
                 out[1].append(tree.total)
-                for c in changes or []:
-                    s = min(max(c["start"] or 0, 0), len(text))
-                    text, n = tree.edit(text, s, min(max(c["end"] or 0, s), len(text)), c["new"] or "", count)
-                    again += n
+                text, again = _edited(tree, text or "", changes, count)
                 for k, v in enumerate((len(text), tree.total, again)):
                     out[2 + k].append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out)], ["doc_id", "n_pieces", "n_tokens", "edited_chars", "edited_tokens", "reencoded_pieces"])
