@@ -127,6 +127,10 @@ def test_mix_serves_any_number_of_sources(spark):
     rows = spark.createDataFrame([(i, f"h{i % 500}", "x" * (40 if i % 500 else 400)) for i in range(2000)], "doc_id long, source string, text string")
     out = mix(rows, block_chars=100).collect()
     assert len(out) == 2000 and all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+    many = shares(spark.createDataFrame([(f"h{i}", 1.0 + i % 7) for i in range(700)], "source string, weight double"))
+    plan = {(r["source"], r["turn"]): (r["at"], r["share"]) for r in period(many).collect()}
+    slots = sum({s: n for (s, _), (_, n) in plan.items()}.values())
+    assert all(k * slots // n <= at < -(-(k + 1) * slots // n) for (_, k), (at, n) in plan.items()) and len(plan) == slots
     weights = spark.createDataFrame([("big", 179.0)] + [(f"s{i}", 1.0) for i in range(179)], "source string, weight double")
     got = {r["source"]: r["share"] for r in shares(weights).collect()}
     assert 0.44 < got["big"] / sum(got.values()) <= 0.5

@@ -13,15 +13,15 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Slots in one period for each SOURCES sources begun; shares are whole numbers of it, at least 1 for each source, which
-#: takes a tenth of the slots at most. The driver finds the same schedule where there are more than SOURCES.
-TOTAL, SOURCES = 360, 36
+#: takes a tenth of the slots at most. The fold's work grows with the square of the sources; the driver finds the same schedule
+#: with a heap where there are more than FOLDED.
+TOTAL, SOURCES, FOLDED = 360, 36, 600
 #: Characters in a block.
 BLOCK_CHARS = 65536
 SEED = "mix"
@@ -67,13 +67,13 @@ def period(targets: DataFrame, total: int | None = None) -> DataFrame:
     """(source, share, turn, at): the slot ``at`` of each source's turn-th block (from 0) within one period."""
     n, slots = targets.agg(F.count("*"), F.sum("share")).first()
     total = total or slots or TOTAL
-    if n > SOURCES:  # in the fold below each slot looks at all sources
+    if n > FOLDED:  # in the fold below each slot looks at all sources
         rows = sorted((r["source"], r["share"]) for r in targets.select("source", "share").toLocalIterator())
         pick, turn, turns = served([x for _, x in rows]), [], [0] * n
         for i in pick:
             turn.append(turns[i])
             turns[i] += 1
-        plan = pd.DataFrame({"source": [rows[i][0] for i in pick], "share": [rows[i][1] for i in pick], "at": range(len(pick)), "turn": turn})
+        plan = [(*rows[i], at, k) for at, (i, k) in enumerate(zip(pick, turn))]
         return targets.sparkSession.createDataFrame(plan, "source string, share int, at int, turn long")
     one = targets.agg(F.array_sort(F.collect_list(F.struct("source", "share"))).alias("s"))
     fold = f"""
