@@ -263,21 +263,23 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     return near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def _apart(crowd: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, key, component) of the members of large buckets that hold more than one component; found: (doc_id, component)."""
-    crowd = common.written(crowd.join(found.withColumnRenamed("doc_id", "id"), "id").select("id", "key", "component"), "crowd")
-    parts = crowd.groupBy("key", "component").agg(F.lit(1).alias("one"))  # a key's many members are one row before they meet
-    mixed = common.written(parts.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed")
-    return common.written(common.only_ids(crowd, mixed, "key"), "apart")
+def _met_largest(crowd: DataFrame) -> DataFrame:
+    """Pairs (a, b): b is a member of a bucket outside of its largest component, a one of COMPONENT_HUBS members of that.
+
+    A component's members of a bucket are one row (their number and the hubs) before they meet the other components'."""
+    part = F.pmod(F.xxhash64("id"), F.lit(COMPONENT_HUBS))
+    parts = crowd.groupBy("key", "component").agg(F.count("*").alias("n"), F.array_compact(F.array(*[F.min(F.when(part == c, F.col("id"))) for c in range(COMPONENT_HUBS)])).alias("hubs"))
+    largest = parts.groupBy("key").agg(F.max(F.struct("n", "component", "hubs")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    hubs = common.written(largest.select("key", F.col("m.component").alias("of"), F.col("m.hubs").alias("hubs")), "hubs")
+    outside = crowd.join(hubs, "key").where("component <> of").select("id", "hubs").distinct()
+    return outside.select(F.explode("hubs").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _components_met(apart: DataFrame) -> DataFrame:
-    """Pairs (a, b): b is a member of a bucket outside of its largest component, a one of COMPONENT_HUBS members of that."""
-    parts = apart.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("of"))
-    hubs = apart.join(largest, "key").where("component = of").groupBy("key", "of", F.pmod(F.xxhash64("id"), F.lit(COMPONENT_HUBS)).alias("part")).agg(F.min("id").alias("a"))
-    hubs = common.written(hubs.select("key", "of", "a"), "hubs")
-    return apart.join(hubs, "key").where("component <> of").select("a", F.col("id").alias("b")).distinct()
+def _apart(crowd: DataFrame) -> DataFrame:
+    """(id, component) of the members of large buckets that hold more than one component."""
+    parts = crowd.groupBy("key", "component").agg(F.lit(1).alias("one"))  # a key's many members are one row before they meet
+    mixed = common.written(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "mixed")
+    return common.written(common.only_ids(crowd, mixed, "key").select("id", "component").distinct(), "apart")
 
 
 def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -315,13 +317,16 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     met = index.repartition("key").sortWithinPartitions("key", F.desc("kind"), "id").mapInArrow(_bucket_pairs, "a long, b long, crowded boolean").distinct()
     met = common.written(met, "met")
     found = _merged(reps.select("doc_id", F.col("doc_id").alias("component")), confirmed(met.where("not crowded and a <> b").select("a", "b")))
-    crowd = met.where("crowded").select(F.col("a").alias("id"), F.col("b").alias("key"))
-    apart = _apart(crowd, found)
-    if not apart.isEmpty():
-        found = _merged(found, confirmed(common.written(_components_met(apart), "met")))
-        rest = _apart(crowd, found)
+    members = met.where("crowded").select(F.col("a").alias("id"), F.col("b").alias("key"))
+
+    def crowd() -> DataFrame:
+        return common.written(members.join(found.withColumnRenamed("doc_id", "id"), "id").select("id", "key", "component"), "crowd")
+
+    if not members.isEmpty():
+        found = _merged(found, confirmed(common.written(_met_largest(crowd()), "met")))
+        rest = _apart(crowd())
         if not rest.isEmpty():
-            near = common.written(prefix_pairs(rest.select("id", "component").distinct(), texts, k, percent), "near")
+            near = common.written(prefix_pairs(rest, texts, k, percent), "near")
             found = _merged(found, common.written(verified(near, texts, k, percent), "links"))
     return sets, common.written(reps.select("doc_id", "set_hash", "best", "first_id").join(found, "doc_id").drop("doc_id"), "classes")
 
