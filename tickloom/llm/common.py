@@ -28,6 +28,12 @@ def row_key():
     return F.xxhash64(F.col("doc_id").cast("long").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text"))
 
 
+def row_keys():
+    """Two such numbers, k1 and k2: 128 bits, so that no two of 10^12 different rows agree."""
+    parts = [F.col("doc_id").cast("long").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text")]
+    return F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")
+
+
 def slices(frames, rows: int = 1000):
     """The batches in parts of some rows, so that a task holds few texts at a time as Python objects."""
     for batch in frames:
