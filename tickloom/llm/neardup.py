@@ -275,11 +275,11 @@ def _met_largest(crowd: DataFrame) -> DataFrame:
     return outside.select(F.explode("hubs").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _apart(crowd: DataFrame) -> DataFrame:
-    """(id, component) of the members of large buckets that hold more than one component."""
+def _open(crowd: DataFrame) -> DataFrame:
+    """The rows (id, key, component) of large buckets that hold more than one component."""
     parts = crowd.groupBy("key", "component").agg(F.lit(1).alias("one"))  # a key's many members are one row before they meet
     mixed = common.written(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "mixed")
-    return common.written(common.only_ids(crowd, mixed, "key").select("id", "component").distinct(), "apart")
+    return common.written(common.only_ids(crowd, mixed, "key"), "open")
 
 
 def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -319,15 +319,19 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     found = _merged(reps.select("doc_id", F.col("doc_id").alias("component")), confirmed(met.where("not crowded and a <> b").select("a", "b")))
     members = met.where("crowded").select(F.col("a").alias("id"), F.col("b").alias("key"))
 
-    def crowd() -> DataFrame:
-        return common.written(members.join(found.withColumnRenamed("doc_id", "id"), "id").select("id", "key", "component"), "crowd")
+    def crowd(members: DataFrame) -> DataFrame:
+        return members.join(found.withColumnRenamed("doc_id", "id"), "id").select("id", "key", "component")
 
     if not members.isEmpty():
-        found = _merged(found, confirmed(common.written(_met_largest(crowd()), "met")))
-        rest = _apart(crowd())
-        if not rest.isEmpty():
-            near = common.written(prefix_pairs(rest, texts, k, percent), "near")
-            found = _merged(found, common.written(verified(near, texts, k, percent), "links"))
+        open_ = _open(common.written(crowd(members), "crowd"))
+        if not open_.isEmpty():
+            found = _merged(found, confirmed(common.written(_met_largest(open_), "met")))
+            # components only grow: a bucket of one component stays so
+            rest = _open(common.written(crowd(open_.select("id", "key")), "crowd")).select("id", "component").distinct()
+            rest = common.written(rest, "apart")
+            if not rest.isEmpty():
+                near = common.written(prefix_pairs(rest, texts, k, percent), "near")
+                found = _merged(found, common.written(verified(near, texts, k, percent), "links"))
     return sets, common.written(reps.select("doc_id", "set_hash", "best", "first_id").join(found, "doc_id").drop("doc_id"), "classes")
 
 
