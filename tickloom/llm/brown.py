@@ -8,8 +8,7 @@ texts; the driver holds a unit's counts by class and moves one unit after anothe
 
 Transitions are smoothed after Witten and Bell; a word's probability in its class is (count - d) / tokens of the class, with
 Ney's d = n1 / (n1 + 2 n2), and what is taken off goes to unseen words of the class. Counts of all training words stand in a table.
-The FREQUENT most frequent go to all tasks; no other word has more than one of FREQUENT + 1 parts of all tokens, and those are
-joined with the table.
+Up to FREQUENT of the most frequent go to all tasks; all others, which are rarer than each of these, are joined with the table.
 """
 
 from __future__ import annotations
@@ -112,13 +111,21 @@ class Units:
         return np.where(known, self.unit[at], self.clustered + ending), np.where(known, self.n[at], 0)
 
 
-def frequent_units(counts: DataFrame, clustered: int = CLUSTERED, frequent: int = FREQUENT) -> Units:
-    """At most ``frequent`` rows come to the driver (20 bytes each)."""
-    top = counts.orderBy(F.desc("n"), "h").limit(frequent).toPandas()
-    h, n, ending = (top[c].to_numpy() for c in ("h", "n", "ending"))
+def frequent_units(counts: DataFrame, clustered: int = CLUSTERED, frequent: int = FREQUENT) -> tuple[Units, np.ndarray, np.ndarray]:
+    """The units, and the counts and endings of those words that are one each (the first ``clustered`` by count and hash).
+
+    At most ``frequent`` words come to the driver: all whose count is above a bound, which a histogram of the counts gives."""
+    bin_ = F.floor(F.log2("n") * 256)
+    sizes = sorted(((r["bin"], r["words"]) for r in counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    held = np.cumsum([k for _, k in sizes]) <= frequent
+    top = counts.where(bin_ >= sizes[int(held.sum()) - 1][0]) if held.any() else counts.where("false")
+    top = top.select("h", "n", "ending").toArrow()
+    h, n, ending = (top.column(c).to_numpy() for c in ("h", "n", "ending"))
+    order = np.lexsort((h, -n))
+    h, n, ending = h[order], n[order], ending[order]
     unit = np.where(np.arange(len(h)) < clustered, np.arange(len(h)), clustered + ending).astype(np.int64)
     order = np.argsort(h)
-    return Units(h[order].astype(np.int64), n[order].astype(np.int64), unit[order], clustered)
+    return Units(h[order], n[order], unit[order], clustered), n[:clustered], ending[:clustered]
 
 
 def sequence(units: Units, h: np.ndarray, ending: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -232,14 +239,13 @@ def learn(docs: DataFrame, classes: int = CLASSES, clustered: int = CLUSTERED, f
     counts = common.written(count_words(texts), "counts")
     endings = counts.groupBy("ending").agg(F.count("*").alias("types"), F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum((F.col("n") == 2).cast("long")).alias("twice")).toPandas()
     rows = texts.count()
-    units = frequent_units(counts, clustered, frequent)
+    units, own, own_ending = frequent_units(counts, clustered, frequent)
     weight, types = np.zeros(units.size), np.zeros(units.size)
     at = clustered + endings["ending"].to_numpy(np.int64)
     weight[at], types[at] = endings["n"], endings["types"]
-    own = counts.orderBy(F.desc("n"), "h").limit(clustered).select("ending", "n").toPandas()
-    np.subtract.at(weight, clustered + own["ending"].to_numpy(np.int64), own["n"])
-    np.subtract.at(types, clustered + own["ending"].to_numpy(np.int64), 1)
-    weight[: len(own)], types[: len(own)] = own["n"], 1
+    np.subtract.at(weight, clustered + own_ending, own)
+    np.subtract.at(types, clustered + own_ending, 1)
+    weight[: len(own)], types[: len(own)] = own, 1
     weight[-1] = types[-1] = rows
     once, twice = int(endings["once"].sum()), int(endings["twice"].sum())
     of = start_classes(units, weight, classes)
