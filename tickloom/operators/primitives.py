@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_bins, exact_quantiles
 from .ticks import in_chunks, indexed
 
 
@@ -167,7 +168,7 @@ def meta_acceleration(ticks: DataFrame, column: str = "x") -> DataFrame:
 def resilience(ticks: DataFrame, theta: float = 0.5, share: float = 0.95) -> DataFrame:
     """(symbol, trade_date, trade_id, steps): of returns beyond the symbol's ``share`` quantile of |r|, how many trades until the
     price is within theta of the move from where it was; -1 if it never is on that day. A search in doubling steps."""
-    cut = ticks.where("r is not null").groupBy("symbol").agg(F.percentile(F.abs("r"), share).alias("cut"))
+    cut = exact_quantiles(ticks, ["symbol"], F.abs("r"), cut=share).drop("n")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("i", kind="stable")
@@ -185,21 +186,26 @@ def resilience(ticks: DataFrame, theta: float = 0.5, share: float = 0.95) -> Dat
             steps.append(found)
         return pd.DataFrame({"symbol": f["symbol"].iat[0], "trade_date": f["trade_date"].iat[0], "trade_id": f["trade_id"].to_numpy()[shocks], "steps": np.array(steps, np.int32)})
 
-    slim = ticks.select("symbol", "trade_date", "trade_id", "i", "p", "r").join(F.broadcast(cut), "symbol")
+    slim = ticks.select("symbol", "trade_date", "trade_id", "i", "p", "r").join(cut, "symbol")
     return slim.groupBy("symbol", "trade_date").applyInPandas(run, "symbol string, trade_date date, trade_id long, steps int")
 
 
-def volume_bars(ticks: DataFrame, size: int | None = None, n_buckets: int | None = None) -> DataFrame:
-    """(symbol, bucket, vol, net, vwap, close): equal-volume buckets (``size`` in units of 1e-8, or the symbol's volume in ``n_buckets``);
-    a trade over a boundary is split. A whole symbol's buckets run over its days."""
+def _volume_place(ticks: DataFrame, size: int | None, n_buckets: int | None) -> DataFrame:
+    """The rows with _hi, the symbol's volume up to and with the trade, and _u, a bucket's, in whole units of 1e-8."""
     day = ticks.groupBy("symbol", "trade_date").agg(F.sum("qty").alias("_d"))
     run = Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
     day = day.select("symbol", "trade_date", F.coalesce(F.sum("_d").over(run), F.lit(0)).alias("_base"), F.sum("_d").over(Window.partitionBy("symbol")).alias("_all"))
     inside = F.sum("qty").over(Window.partitionBy("symbol", "trade_date").orderBy("trade_id").rowsBetween(Window.unboundedPreceding, 0))
     d = ticks.withColumn("_hi", inside).join(day, ["symbol", "trade_date"]).withColumn("_hi", F.col("_hi") + F.col("_base"))
-    # bounds in whole units: bucket b ends at floor((b + 1) * all / n)
     unit = F.lit(size).cast("long") if size else F.greatest(F.ceil(F.col("_all") / n_buckets), F.lit(1))
-    d = d.withColumns({"_lo": F.col("_hi") - F.col("qty"), "_u": unit}).where("qty > 0")
+    return d.withColumn("_u", unit).drop("_base", "_all")
+
+
+def volume_bars(ticks: DataFrame, size: int | None = None, n_buckets: int | None = None) -> DataFrame:
+    """(symbol, bucket, vol, net, vwap, close): equal-volume buckets (``size`` in units of 1e-8, or the symbol's volume in ``n_buckets``);
+    a trade over a boundary is split. A whole symbol's buckets run over its days."""
+    d = _volume_place(ticks, size, n_buckets)
+    d = d.withColumn("_lo", F.col("_hi") - F.col("qty")).where("qty > 0")
     d = d.withColumn("bucket", F.explode(F.sequence(F.expr("_lo div _u"), F.expr("(_hi - 1) div _u"))))
     part = F.least(F.col("_hi"), (F.col("bucket") + 1) * F.col("_u")) - F.greatest(F.col("_lo"), F.col("bucket") * F.col("_u"))
     d = d.withColumn("_part", part)
@@ -210,6 +216,15 @@ def vpin(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.avg(F.abs("net") / F.col("vol")).alias("vpin"))
 
 
+def rolling_vpin(ticks: DataFrame, size: int | None = None, n_buckets: int | None = None, window: int = 10) -> DataFrame:
+    """The trades with vpin: the mean |net| / volume of the last ``window`` volume buckets (fewer at the beginning) that were full when
+    the trade came or that it filled; null before the first."""
+    bars = volume_bars(ticks, size, n_buckets)
+    w = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(1 - window, 0)
+    per = bars.select("symbol", F.col("bucket").alias("_full"), F.avg(F.abs("net") / F.col("vol")).over(w).alias("vpin"))
+    return _volume_place(ticks, size, n_buckets).withColumn("_full", F.expr("_hi div _u") - 1).join(per, ["symbol", "_full"], "left").drop("_full", "_hi", "_u")
+
+
 def hill_index(ticks: DataFrame, tail: float = 0.05) -> DataFrame:
     """(symbol, hill) of the k = floor(n * tail) largest |r| > 0 against the next one. The cut is narrowed by an approximate
     quantile, so that only the tail is sorted."""
@@ -222,9 +237,15 @@ def hill_index(ticks: DataFrame, tail: float = 0.05) -> DataFrame:
     return g.where("k > 0").select("symbol", (1.0 / (F.col("s") / F.col("k") - F.col("yk"))).alias("hill"))
 
 
-def transfer_entropy(ticks: DataFrame, x: str = "v", y: str = "r") -> DataFrame:
-    """(symbol, te): H(y' | y) - H(y' | y, x) of the signs of two columns; counted by group before any join."""
-    d = in_chunks(ticks.where(f"{y} is not null and {x} is not null"), lambda d, w: d.withColumns({"x0": F.signum(x), "y0": F.signum(y), "y1": F.lead(F.signum(y)).over(w)}), 0, 1).where("y1 is not null")
+def transfer_entropy(ticks: DataFrame, x: str = "v", y: str = "r", bins: int | None = None) -> DataFrame:
+    """(symbol, te): H(y' | y) - H(y' | y, x) of the signs of two columns, or of their quantile ``bins`` (exact, by symbol; equal values
+    in one bin); counted by group before any join."""
+    d = ticks.where(f"{y} is not null and {x} is not null")
+    if bins:
+        d = exact_bins(exact_bins(d.select("symbol", "i", x, y), ["symbol"], x, bins, "x0"), ["symbol"], y, bins, "y0")
+    else:
+        d = d.withColumns({"x0": F.signum(x), "y0": F.signum(y)})
+    d = in_chunks(d, lambda d, w: d.withColumn("y1", F.lead("y0").over(w)), 0, 1).where("y1 is not null")
     c = d.groupBy("symbol", "y1", "y0", "x0").agg(F.count("*").cast("double").alias("n"))
     over = lambda *k: F.sum("n").over(Window.partitionBy("symbol", *k))
     c = c.withColumns({"t": over(), "a": over("y0", "x0"), "b": over("y1", "y0"), "c": over("y0")})

@@ -43,7 +43,7 @@ by_symbol("tc3_expected_cost", "quotes", needs=QUOTES, expected_transaction_cost
 FACTORS = PNL + """, mk AS (SELECT trade_date AS d2, avg(r) * 1e4 AS market, stddev_samp(r) * 1e4 AS volatility FROM panel GROUP BY trade_date),
 factors AS (SELECT *, -sum(market) OVER (ORDER BY d2 ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS cheap, avg(volatility) OVER (ORDER BY d2 ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS vix FROM mk)"""
 by_symbol("or1_value_and_vix", "pnl JOIN factors ON trade_date = d2", needs=FACTORS, corr_with_value_factor="corr(p, cheap)", corr_with_vix="corr(p, vix)")
-by_symbol("ma1_pressure", "(SELECT symbol, s, CASE WHEN dt > 0 THEN 1 / dt END AS speed, ofi / (1 + trade_count) AS pressure, abs(ofi) AS imbalance FROM sig) a", corr_with_trade_intensity="corr(s, speed)", corr_with_meta_order_pressure="corr(s, pressure)", corr_with_vpin="corr(s, imbalance)")
+by_symbol("ma1_pressure", "(SELECT symbol, s, CASE WHEN dt > 0 THEN 1 / dt END AS speed, ofi / (1 + trade_count) AS pressure FROM sig) a", corr_with_trade_intensity="corr(s, speed)", corr_with_meta_order_pressure="corr(s, pressure)")
 # regimes
 LIQUID = REGIME + ", liq AS (SELECT symbol AS s3, trade_date AS d3, ntile(3) OVER (PARTITION BY symbol ORDER BY sum(q), trade_date) AS liq3 FROM panel GROUP BY symbol, trade_date), lreg AS (SELECT * FROM sig JOIN liq ON symbol = s3 AND trade_date = d3)"
 by_symbol("rg1_liquidity", "lreg", needs=LIQUID, ic_low_liquidity="corr(CASE WHEN liq3 = 1 THEN s END, rf)", ic_mid_liquidity="corr(CASE WHEN liq3 = 2 THEN s END, rf)", ic_high_liquidity="corr(CASE WHEN liq3 = 3 THEN s END, rf)")
@@ -54,7 +54,7 @@ by_symbol("rg3_named_times", "(SELECT symbol, s, rf, ts_ms % 86400000 AS t FROM
 # returns
 by_symbol("rt1_net_daily", "(SELECT symbol, trade_date, sum(pos * rf) * 1e4 - 5 * sum(moved) AS p FROM turned GROUP BY 1, 2) a", needs=TURNED, net_mean_return_bps_daily="avg(p)")
 PLANS["rt2_benchmark_ir"] = (lambda d: "SELECT symbol, round(avg(p - b) / stddev_samp(p - b), 6) AS information_ratio_vs_benchmark FROM pnl JOIN (SELECT trade_date AS d2, avg(r) * 1e4 AS b FROM panel GROUP BY 1) k ON trade_date = d2 GROUP BY symbol", PNL)
-PLANS["rt3_drawdown_days"] = (lambda d: """SELECT symbol, max(k) AS max_drawdown_duration_bars, round(100 * max(dd) / 10000.0, 6) AS max_drawdown_pct FROM (SELECT symbol, dd, CASE WHEN dd > 0 THEN row_number() OVER (PARTITION BY symbol, isl ORDER BY trade_date) - CASE WHEN isl > 0 THEN 1 ELSE 0 END ELSE 0 END AS k
+PLANS["rt3_drawdown_days"] = (lambda d: """SELECT symbol, max(k) AS max_drawdown_duration_bars, round(100 * max(dd) / 10000.0, 6) AS max_drawdown_pct, round(100 * avg(dd) / 10000.0, 6) AS avg_drawdown_pct FROM (SELECT symbol, dd, CASE WHEN dd > 0 THEN row_number() OVER (PARTITION BY symbol, isl ORDER BY trade_date) - CASE WHEN isl > 0 THEN 1 ELSE 0 END ELSE 0 END AS k
   FROM (SELECT *, sum(CASE WHEN dd > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM drawn) a) b GROUP BY symbol""", DRAWN)
 PLANS["rt4_var_es_99"] = (lambda d: "SELECT symbol, round(max(v), 6) AS var_99_daily, round(avg(CASE WHEN p <= v THEN p END), 6) AS es_99_daily FROM pnl JOIN (SELECT symbol AS s2, " + d.pct("p", 0.01) + " AS v FROM pnl GROUP BY symbol) k ON symbol = s2 GROUP BY symbol", PNL)
 PLANS["rt4_cdar_99"] = (lambda d: f"SELECT symbol, round(avg(CASE WHEN dd >= v THEN dd END), 6) AS cdar_99_daily FROM drawn JOIN (SELECT symbol AS s2, {d.pct('dd', 0.99)} AS v FROM drawn GROUP BY symbol) k ON symbol = s2 GROUP BY symbol", DRAWN)

@@ -9,7 +9,7 @@ from tickloom.operators import rolling, scorecard
 from tickloom.sources.tape import tape
 from tickloom.streaming import tape as streaming
 
-from . import kernels, metrics, oracles, panels, panels_more, signals, sources  # noqa: F401  (the panels add their plans to those of signals)
+from . import kernels, metrics, oracles, panels, panels_more, selected, signals, sources  # noqa: F401  (the panels add their plans to those of signals)
 
 THRESHOLD, SHARDS = 1.0, 4
 
@@ -65,6 +65,6 @@ QUERIES = {
     "str3_stream_delta_bars": _stream(lambda t: streaming.delta_bars(t, THRESHOLD)),
     "str4_stream_rolling_window": _stream(streaming.rolling_window),
     "str5_stream_clock_bars": _stream(streaming.clock_bars),
-} | {n: signals.query(n) for n in signals.PLANS} | kernels.QUERIES | metrics.QUERIES | sources.QUERIES
+} | {n: signals.query(n) for n in signals.PLANS} | kernels.QUERIES | metrics.QUERIES | sources.QUERIES | selected.QUERIES
 
 ORACLES = oracles.CORE | oracles.STREAMS | {n: signals.text(n, signals.Duck).replace("AS STRING", "AS VARCHAR") for n in signals.PLANS} | kernels.ORACLES | metrics.ORACLES | sources.ORACLES

@@ -76,7 +76,9 @@ D = "PARTITION BY symbol, trade_date ORDER BY trade_id"
 # scalars
 row_level("prj4_unscale", price="px / 1e8", quantity="qty / 1e8")
 row_level("prj6_sign", sign="sign")
-row_level("prj7_last_trade_id", last_id="first_id + trade_count - 1")
+#: Fixed value: the largest count that the old row layout holds; a larger one was cut to it.
+MOST_COUNT = 65535
+PLANS["prj7_last_trade_id"] = (lambda d: f"SELECT symbol, trade_id, CAST(first_id + trade_count - 1 AS DOUBLE) AS last_id, trade_count >= {MOST_COUNT} AS clamped FROM panel", PANEL)
 row_level("prj8_signed_volume", signed="sv / 1e8")
 PLANS["prj9_trade_day"] = (lambda d: "SELECT symbol, CAST(trade_date AS STRING) AS trade_day, count(*) AS n FROM tape GROUP BY symbol, trade_date", "")
 PLANS["prj10_day_range"] = (lambda d: "SELECT symbol, count(*) AS n FROM tape WHERE trade_date >= DATE '2024-01-05' AND trade_date < DATE '2024-01-15' GROUP BY symbol", "")
@@ -168,19 +170,29 @@ by_symbol("dq4_quotes", "quotes", needs=QUOTES, pct_crossed_markets="avg(CASE WH
 by_symbol("ex2_spreads", "quotes", "xf IS NOT NULL", needs=QUOTES, avg_effective_spread_bps="avg(2 * sign * (x - (bid + ask) / 2) / x * 1e4)", avg_realized_spread_bps="avg(2 * sign * (x - xf) / x * 1e4)")
 
 
-def text(name: str, d) -> str:
-    f, needs = PLANS[name]
+def composed(body: str, needs, d) -> str:
+    """``body`` with the relations that it needs before it."""
     needs = needs["spark" if d is Spark else "duck"] if isinstance(needs, dict) else needs(d) if callable(needs) else needs
     parts = [p for p in ([TAPE_DUCK] if d is Duck else []) + [needs.strip().strip(",")] if p]
-    body = (f"WITH {', '.join(parts)} " if parts else "") + f(d)
-    return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\de])", r"\1e0", body)  # doubles, not decimals
+    return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\de])", r"\1e0", (f"WITH {', '.join(parts)} " if parts else "") + body)  # doubles, not decimals
 
 
-def over(trades: DataFrame, name: str) -> DataFrame:
-    """The plan ``name`` over any trades table (the columns of a tape)."""
-    body = text(name, Spark).replace("{", "{{").replace("}", "}}").replace("FROM tape", "FROM {tape}")
+def text(name: str, d) -> str:
+    f, needs = PLANS[name]
+    return composed(f(d), needs, d)
+
+
+def relation(trades: DataFrame, body: str, needs=PANEL) -> DataFrame:
+    """A query on the relations of ``needs`` over any trades table (the columns of a tape)."""
+    body = composed(body, needs, Spark).replace("{", "{{").replace("}", "}}").replace("FROM tape", "FROM {tape}")
     return trades.sparkSession.sql(body, tape=trades)
 
 
+def over(trades: DataFrame, name: str) -> DataFrame:
+    """The plan ``name`` over any trades table."""
+    f, needs = PLANS[name]
+    return relation(trades, f(Spark), needs)
+
+
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: over(tape(spark, sf_dir), name)

@@ -128,6 +128,32 @@ def _(spark, sf_dir):
     return streaming.run(S.stream_trades(spark, path, t.schema)).select(*TRADES.split(", "))
 
 
+@query("src14_ingest_replayed", "SELECT symbol, trade_date, count(*) AS row_count, min(ts_ms) AS min_ts, max(ts_ms) AS max_ts, sum(('0x' || substr(md5(concat_ws(',', trade_id, px, qty, first_id, trade_count, flags, ts_ms)), 1, 8))::BIGINT)::BIGINT AS checksum, count(*) AS stored FROM tape GROUP BY 1, 2")
+def _(spark, sf_dir):
+    """Half of the rows, then all of them, then all once more under another checkpoint."""
+    t = S.tape(spark, sf_dir)
+    arrived, path, manifest = (fresh_path(spark, n) for n in ("arrived", "trades", "manifest"))
+    for part, checkpoint in ((t.where("trade_id % 2 = 0"), "a"), (t.where("trade_id % 2 = 1"), "a"), (None, "b")):
+        if part is not None:
+            part.coalesce(2).write.mode("append").parquet(arrived)
+        S.ingest_stream(S.stream_trades(spark, arrived, t.schema), path, manifest, f"{path}-{checkpoint}").awaitTermination()
+    stored = spark.read.parquet(path).groupBy("symbol", "trade_date").agg(F.count("*").alias("stored"))
+    return spark.read.parquet(manifest).join(stored, ["symbol", "trade_date"]).select("symbol", "trade_date", "row_count", "min_ts", "max_ts", "checksum", "stored")
+
+
+@query("src1_mixed_headers", f"SELECT {TRADES} FROM tape")
+def _(spark, sf_dir):
+    """Files of three headers in one path: in order, in another order under other spellings, and named by nothing but their places."""
+    path = fresh_path(spark, "csv")
+    d = raw(spark, sf_dir).where("price <> 'nan' and price <> 'inf' and agg_trade_id <> 'x1' and (last_trade_id <> '0' or first_trade_id = '0')").drop("trade_date")
+    kind = F.pmod(F.xxhash64("agg_trade_id"), F.lit(3))
+    other = ["price", "is_buyer_maker", "agg_trade_id", "transact_time", "quantity", "last_trade_id", "first_trade_id"]
+    for k, part in enumerate((d, d.select("symbol", *[F.col(c).alias(c.replace("_", "").upper()) for c in other]), d.select("symbol", *[F.col(c).alias(f"x{i}") for i, c in enumerate(S.RAW_NAMES)]))):
+        made = part.where(kind == k) if k == 0 else part.withColumn("_k", F.pmod(F.xxhash64("AGGTRADEID" if k == 1 else "x0"), F.lit(3))).where(f"_k = {k}").drop("_k")
+        made.write.mode("append").partitionBy("symbol").option("header", True).csv(path)
+    return S.read_agg_trades_csv(spark, path)
+
+
 @query("src15_upgrade_agg2", f"SELECT {TRADES.replace('trade_count', 'least(trade_count, 65535) AS trade_count')} FROM tape")
 def _(spark, sf_dir):
     t = S.tape(spark, sf_dir)

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import datetime
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.shared import written
+
 SCALE = 100_000_000
 MAX_COUNT = 2**32 - 1
 KEYS = ["symbol", "trade_date"]
@@ -38,11 +47,35 @@ def normalised(columns: list[str]) -> dict[str, str]:
     return out
 
 
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header): the first line of each file; files are read as lines, and only those that begin one are looked at."""
+
+    def first(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in frames:
+            files = b.column(0).to_numpy(zero_copy_only=False)
+            new = np.flatnonzero(np.r_[files[0] != last, files[1:] != files[:-1]]) if len(files) else []
+            last = files[-1] if len(files) else last
+            yield b.take(pa.array(new, pa.int64()))
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("header"))
+    return lines.where("at = 0").select("file", "header").mapInArrow(first, "file string, header string")
+
+
 def read_agg_trades_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
-    """CSV files with one header; without ``symbol`` the path has it (symbol=...)."""
-    raw = spark.read.option("header", True).csv(path)
-    names = normalised([c for c in raw.columns if symbol or c != "symbol"])
-    kept = [F.col(f"`{c}`").alias(n) for n, c in names.items()]
+    """CSV files, each read by its own header (columns may stand in another order or have other names in each); without ``symbol``
+    the path has it (symbol=...). The different headers come to the driver, not the files' names."""
+    heads = written(file_headers(spark, path), "headers")
+    kinds = [r["header"] for r in heads.select("header").distinct().orderBy("header").collect()]
+    named = [next(csv.reader([k])) for k in kinds]
+    width = max(map(len, named), default=len(RAW_NAMES))
+    raw = spark.read.option("header", True).schema(", ".join(f"c{k} string" for k in range(width))).csv(path)
+    places = [{n: columns.index(c) for n, c in normalised(columns).items()} for columns in named] or [dict(zip(RAW_NAMES, range(width)))]
+    if len(kinds) > 1:
+        kind = F.coalesce(*[F.when(F.col("header") == k, i) for i, k in enumerate(kinds)])
+        raw = raw.withColumn("_file", F.col("_metadata.file_path")).join(heads.select(F.col("file").alias("_file"), kind.alias("_kind")), "_file")
+    cell = lambda n: F.coalesce(*[F.when(F.col("_kind") == i, F.col(f"c{at[n]}")) for i, at in enumerate(places)]) if len(kinds) > 1 else F.col(f"c{places[0][n]}")
+    kept = [cell(n).alias(n) for n in RAW_NAMES]
     return parse_trades(raw.select(*kept) if symbol else raw.select("symbol", *kept), symbol)
 
 
@@ -203,3 +236,40 @@ def verify_days(trades: DataFrame, manifest: DataFrame, tick: int = 1) -> DataFr
 
 def stream_trades(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path)
+
+
+def day_calendar(spark: SparkSession, start: str = "2020-01-01", end: str | None = None) -> DataFrame:
+    """(trade_date): every day from ``start`` to ``end`` (yesterday, UTC, if not given), both included; none if it lies before."""
+    first = datetime.date.fromisoformat(start)
+    last = datetime.date.fromisoformat(end) if end else datetime.datetime.now(datetime.timezone.utc).date() - datetime.timedelta(days=1)
+    return spark.range(max(0, (last - first).days + 1)).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("trade_date"))
+
+
+def merge_days(batch: DataFrame, path: str, manifest: str) -> None:
+    """Brings the batch's days up to date: a day is its stored rows and the batch's, of a trade id the batch's row (of several, the
+    last by all columns); the day's files and its manifest row are replaced. So a batch that comes twice changes nothing."""
+    spark = batch.sparkSession
+    rows = batch.withColumn("_new", F.lit(1))
+    days = written(batch.select(*KEYS).distinct(), "days")
+    stored = _stored(spark, path)
+    if stored is not None:
+        rows = rows.unionByName(stored.join(days, KEYS, "left_semi").withColumn("_new", F.lit(0)).select(*rows.columns))
+    values = [c for c in batch.columns if c not in (*KEYS, "trade_id")]
+    one = rows.groupBy(*KEYS, "trade_id").agg(F.max(F.struct("_new", *values)).alias("v"))
+    merged = written(one.select(*[F.col(f"v.{c}").alias(c) if c in values else F.col(c) for c in batch.columns]), "merged")
+    write_trades(merged, path)
+    day_manifest(merged).repartition(*KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(manifest)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def ingest_stream(trades: DataFrame, path: str, manifest: str, checkpoint: str):
+    """Starts a query that takes in what has arrived, batch by batch, and ends; it goes on from ``checkpoint`` when started again."""
+    return trades.writeStream.foreachBatch(lambda batch, _: merge_days(batch, path, manifest)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
