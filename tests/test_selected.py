@@ -193,3 +193,49 @@ def test_calendar_ends(spark):
     assert [str(r[0]) for r in day_calendar(spark, "2024-02-28", "2024-03-01").collect()] == ["2024-02-28", "2024-02-29", "2024-03-01"]
     assert day_calendar(spark, "2024-02-28", "2024-02-27").count() == 0
     assert day_calendar(spark).agg(F.max("trade_date")).first()[0] == datetime.datetime.now(datetime.timezone.utc).date() - datetime.timedelta(days=1)
+
+
+def _trades(n, seed, days=1, big=0.01):
+    r = random.Random(seed)
+    return [("s" if i % 3 else "t", datetime.date(2024, 1, 1 + i * days // n), i, 10**10 + r.randint(-40, 40) * 10**7, r.randint(1, 300) * 10**6 if r.random() > big else 40 * 10**8, i, 1, int(r.random() < 0.55), 1_704_067_200_000 + i * 1000) for i in range(n)]
+
+
+TAPE = "symbol string, trade_date date, trade_id long, px long, qty long, first_id long, trade_count long, flags int, ts_ms long"
+
+
+@pytest.mark.parametrize("threshold", [1.0, 30.0])
+def test_bars_of_a_day_in_ranges_equal_those_of_the_whole(spark, threshold):
+    from tickloom.operators import bars, chunked_bars
+
+    t = spark.createDataFrame(_trades(2500, 1) + [("one", datetime.date(2024, 1, 1), 1, 5, 10**12, 1, 1, 0, 1)], TAPE)
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    want = rows(bars.delta_bars(t, threshold))
+    got = rows(chunked_bars.delta_bars(t, threshold, 50))  # some 50 ranges
+    assert len(want) > 20 and len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-12)
+    assert chunked_bars.delta_bars(t.where("false"), threshold).count() == 0
+
+
+def test_a_stream_in_any_order_restarted_and_its_late_rows(spark, tmp_path):
+    """Two runs from one checkpoint; a row in front of the watermark's place is dropped, all others count in order of time."""
+    from tickloom.streaming import tape as S
+
+    rows = _trades(200, 2)
+    r, source = random.Random(3), str(tmp_path / "in")
+    late = ("s", datetime.date(2024, 1, 1), 10**6, 1, 1, 1, 1, 0, rows[0][8])
+    end = ("end", datetime.date(2024, 1, 1), 10**7, 1, 1, 1, 1, 0, rows[-1][8] + 10**6)
+    parts = [rows[20:120], rows[:20] + rows[120:150], rows[150:] + [late], [end]]
+    got = None
+    for k, part in enumerate(parts):
+        r.shuffle(part)
+        spark.createDataFrame(part, TAPE).coalesce(1).write.mode("append").parquet(source)
+        if k in (1, 3):
+            stream = spark.readStream.schema(TAPE).option("maxFilesPerTrigger", 1).parquet(source).withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", "120 seconds")
+            got = S.run(S.rolling_window(stream, keeper=S.in_order), str(tmp_path / "out"))
+    got = {x["trade_id"]: x["mean"] for x in got.collect()}
+    assert set(got) == {x[2] for x in rows}
+    for symbol in "st":
+        q = [x[4] / 1e8 for x in rows if x[0] == symbol]
+        for i, x in enumerate(x for x in rows if x[0] == symbol):
+            assert got[x[2]] == pytest.approx(np.mean(q[max(0, i - 7) : i + 1])), x[2]

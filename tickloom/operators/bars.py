@@ -3,10 +3,11 @@ one group a symbol and day (bars) or a symbol and shard (backtest)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,16 +140,30 @@ def sweep(bars: DataFrame, grid: DataFrame, signal: Callable[[], Column] = absor
 
 
 def cash_position_ledger(ticks: DataFrame, cash: float = 100_000.0) -> DataFrame:
-    """Buy one at sig 1 with enough cash, sell one at sig -1 with a position; final value of each (symbol, trade_date)."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("i", kind="stable")
-        money, pos, p = cash, 0, 0.0
-        for p, s in zip(f["price"].tolist(), f["sig"].tolist()):
-            if s == 1 and money > p:
-                pos, money = pos + 1, money - p
-            elif s == -1 and pos > 0:
-                pos, money = pos - 1, money + p
-        return pd.DataFrame({"symbol": [f["symbol"].iat[0]], "trade_date": [f["trade_date"].iat[0]], "final_value": [money + pos * p]})
-
-    return ticks.groupBy("symbol", "trade_date").applyInPandas(run, "symbol string, trade_date date, final_value double")
+    """Buy one at sig 1 with enough cash, sell one at sig -1 with a position; final value of each (symbol, trade_date).
+
+    What a tick does depends on all before it, so a day is one walk; its ticks are streamed in order and no task holds them."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, money, pos, p, done = None, cash, 0, 0.0, []
+        for b in frames:
+            for now, p_now, s in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if now != key:
+                    if key is not None:
+                        done.append((*key, money + pos * p))
+                    key, money, pos = now, cash, 0
+                p = p_now
+                if s == 1 and money > p:
+                    pos, money = pos + 1, money - p
+                elif s == -1 and pos > 0:
+                    pos, money = pos - 1, money + p
+            yield rows(done)
+            done = []
+        yield rows(done if key is None else [(*key, money + pos * p)])
+
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*done) if done else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.date32(), pa.float64()))], ["symbol", "trade_date", "final_value"])
+
+    sorted_ = ticks.repartition("symbol", "trade_date").sortWithinPartitions("symbol", "trade_date", "i")
+    return sorted_.select("symbol", "trade_date", F.col("price").cast("double"), "sig").mapInArrow(run, "symbol string, trade_date date, final_value double")

@@ -90,3 +90,8 @@ SELECT symbol, trade_date, trade_id, round(m, 6) AS mean, round(CASE WHEN sd > 1
     "str5_stream_clock_bars": f"""WITH {TAPE_DUCK}, t AS (SELECT *, ts_ms - ts_ms % 3600000 AS start_ms, max(ts_ms) OVER () - 60000 AS mark FROM tape)
 SELECT symbol, start_ms, {R(open='min_by(px, trade_id) / 1e8', high='max(px) / 1e8', low='min(px) / 1e8', close='max_by(px, trade_id) / 1e8', vol='sum(qty) / 1e8')} FROM t WHERE start_ms + 3600000 <= mark GROUP BY 1, 2""",
 }
+CORE["seq1_delta_bars_in_ranges"] = CORE["seq1_delta_bars"]
+
+#: Rows in any order, in the order of time: those that the last watermark (a day behind the last trade) has passed.
+_PASSED = "tape AS (SELECT * FROM (SELECT *, max(ts_ms) OVER () - 86400000 AS mark FROM tape0) WHERE ts_ms < mark)"
+STREAMS |= {f"str{k}_stream_any_order": STREAMS[n].replace("tape AS (SELECT event_type", "tape0 AS (SELECT event_type", 1).replace("epoch_us(ts) // 1000 AS ts_ms FROM events)", f"epoch_us(ts) // 1000 AS ts_ms FROM events), {_PASSED}", 1) for k, n in ((1, "str1_stream_rolling_g_inf"), (2, "str2_stream_hawkes"), (3, "str3_stream_delta_bars"), (4, "str4_stream_rolling_window"))}

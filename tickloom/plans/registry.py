@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
-from tickloom.operators import rolling, scorecard
+from tickloom.operators import chunked_bars, rolling, scorecard
 from tickloom.sources.tape import tape
 from tickloom.streaming import tape as streaming
 
@@ -50,8 +50,13 @@ def _stream(operator):
     return lambda s, d: _round(streaming.run(operator(streaming.stream_tape(s, d))))
 
 
+def _any_order(operator):
+    return lambda s, d: _round(streaming.shuffled_arrivals(s, d, lambda t: operator(t, keeper=streaming.in_order)))
+
+
 QUERIES = {
     "seq1_delta_bars": lambda s, d: _round(_bars(s, d)),
+    "seq1_delta_bars_in_ranges": lambda s, d: _round(chunked_bars.delta_bars(tape(s, d), THRESHOLD, 2_000)),
     "prj11_absorption_signal": lambda s, d: _bars(s, d).select("symbol", "trade_date", "bar_no", B.absorption_signal().alias("signal")),
     "seq5_assign_shards": lambda s, d: _sharded(s, d).select("symbol", "trade_date", "shard_id").distinct(),
     "seq4_backtest": lambda s, d: _round(_sim(s, d)),
@@ -65,6 +70,10 @@ QUERIES = {
     "str3_stream_delta_bars": _stream(lambda t: streaming.delta_bars(t, THRESHOLD)),
     "str4_stream_rolling_window": _stream(streaming.rolling_window),
     "str5_stream_clock_bars": _stream(streaming.clock_bars),
+    "str1_stream_any_order": _any_order(streaming.rolling_g_inf),
+    "str2_stream_any_order": _any_order(streaming.hawkes),
+    "str3_stream_any_order": _any_order(lambda t, keeper: streaming.delta_bars(t, THRESHOLD, keeper)),
+    "str4_stream_any_order": _any_order(streaming.rolling_window),
 } | {n: signals.query(n) for n in signals.PLANS} | kernels.QUERIES | metrics.QUERIES | sources.QUERIES | selected.QUERIES
 
 ORACLES = oracles.CORE | oracles.STREAMS | {n: signals.text(n, signals.Duck).replace("AS STRING", "AS VARCHAR") for n in signals.PLANS} | kernels.ORACLES | metrics.ORACLES | sources.ORACLES

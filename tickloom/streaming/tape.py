@@ -1,8 +1,9 @@
 """The tape as a stream: clock bars under a watermark, and state kept for each symbol-day.
 
 A stateful step gets one symbol-day's new rows in trade order and the state its last rows left; the state of a day is
-dropped once the watermark is KEEP_MS past the day's last row. Rows of a day must arrive in trade order over batches
-(within a batch any order will do). ``run`` drains a stream into the shared folder and reads the rows back.
+dropped once the watermark is KEEP_MS past the day's last row. With ``by_day`` rows of a day must arrive in trade order over
+batches (within a batch any order will do) and come out at once; with ``in_order`` they may come in any order until the watermark
+has passed them, and come out then. ``run`` drains a stream into the shared folder and reads the rows back.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from tickloom.shared import fresh_path
 from tickloom.sources.tape import TAPE_COLUMNS
@@ -28,9 +30,27 @@ def stream_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr(*TAPE_COLUMNS).withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", "1 minute")
 
 
-def run(stream: DataFrame) -> DataFrame:
+def shuffled_arrivals(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame], DataFrame], files: int = 4, late_ms: int = 86_400_000) -> DataFrame:
+    """The operator's rows over the tape that arrives in ``files`` files, each trade up to ``late_ms`` after its time (by its id); the
+    query is stopped after half of the files and started again from its checkpoint."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*TAPE_COLUMNS)
+    arrival = F.col("ts_ms") + F.pmod(F.col("trade_id") * 7_919_117, F.lit(late_ms))
+    lo, hi = rows.agg(F.min(arrival), F.max(arrival)).first()
+    file = F.least(F.floor((arrival - lo) * files / (hi - lo + 1)), F.lit(files - 1))
+    source, path = fresh_path(spark, "arrivals"), fresh_path(spark, "stream")
+    out = None
+    for k in range(files):
+        rows.where(file == k).coalesce(1).write.mode("append").parquet(source)
+        if k + 1 in (files // 2, files):
+            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source).withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", f"{late_ms} milliseconds")
+            out = run(operator(stream), path)
+    return out
+
+
+def run(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """Drains what has arrived into ``path`` (a new one, if not given), going on from the checkpoint there, and reads all rows back."""
     spark = stream.sparkSession
-    path = fresh_path(spark, "stream")
+    path = path or fresh_path(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
@@ -60,6 +80,72 @@ def by_day(trades: DataFrame, schema: str, state_schema: str, first: tuple, step
     return columns.groupBy("symbol", "trade_date").applyInPandasWithState(run_group, f"symbol string, trade_date date, {schema}", state_schema, "append", "EventTimeTimeout")
 
 
+#: Columns of a row that waits for the watermark.
+_HELD = ["trade_id", "px", "qty", "flags", "ts_ms"]
+
+
+class InOrder(StatefulProcessor):
+    """Steps through a symbol-day's rows in the order of time and trade id, whatever order they come in.
+
+    A row waits in a list until the watermark has passed it; a timer stands at the first one that waits. Rows that come after the
+    watermark are dropped by Spark. The day's state goes once nothing has waited for KEEP_MS.
+    """
+
+    def __init__(self, columns: list[str], state_schema: str, first: tuple, step: Callable):
+        self.columns, self.state_schema, self.first, self.step = columns, state_schema, first, step
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.state_schema)
+        self.held = handle.getListState("held", "trade_id long, px long, qty long, flags int, ts_ms long")
+
+    def _alarm(self, at: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        f = pd.concat(list(rows))
+        new = [tuple(map(int, r)) for r in f[_HELD].itertuples(index=False)]
+        earlier = [r[4] for r in self.held.get()] if self.held.exists() else []
+        self.held.appendList(new)
+        self._alarm(min(earlier + [r[4] for r in new]) + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = list(self.held.get()) if self.held.exists() else []
+        ready = sorted((r for r in held if r[4] < mark), key=lambda r: (r[4], r[0]))
+        waits = [r for r in held if r[4] >= mark]
+        if not ready and not waits:
+            self.state.clear()
+            self.held.clear()
+            return iter([])
+        if waits:
+            self.held.put(waits)
+        else:
+            self.held.clear()
+        self._alarm(min(r[4] for r in waits) + 1 if waits else ready[-1][4] + KEEP_MS)
+        if not ready:
+            return iter([])
+        out, new = self.step(pd.DataFrame(ready, columns=_HELD), self.state.get() if self.state.exists() else self.first)
+        self.state.update(tuple(new))
+        return iter([pd.DataFrame({"symbol": key[0], "trade_date": key[1], **out})[self.columns]])
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(trades: DataFrame, schema: str, state_schema: str, first: tuple, step: Callable) -> DataFrame:
+    """As ``by_day``, for rows in any order that come before the watermark has passed them; rows come out once it has."""
+    spark = trades.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    whole = f"symbol string, trade_date date, {schema}"
+    names = [c.split()[0] for c in whole.split(", ")]
+    columns = trades.select("symbol", "trade_date", *_HELD, "ts")
+    return columns.groupBy("symbol", "trade_date").transformWithStateInPandas(InOrder(names, state_schema, first, step), whole, "append", "eventTime")
+
+
 def _g_inf(f, state):
     last, *sums = state
     x, q = f["px"].to_numpy() / 1e8, np.where(f["flags"].to_numpy() & 1, -1.0, 1.0) * f["qty"].to_numpy() / 1e8
@@ -72,9 +158,10 @@ def _g_inf(f, state):
     return {"trade_id": f["trade_id"].to_numpy(), "g_inf": g}, (float(x[-1]), *(float(c[-1]) for c in (n, sx, sq, sxq, sqq)))
 
 
-def rolling_g_inf(trades: DataFrame) -> DataFrame:
-    """Running Cov(price change, signed quantity) / Var(signed quantity); null while that variance is 0."""
-    out = by_day(trades, "trade_id long, g_inf double", "px double, n double, sx double, sq double, sxq double, sqq double", (None, 0.0, 0.0, 0.0, 0.0, 0.0), _g_inf)
+def rolling_g_inf(trades: DataFrame, keeper: Callable = by_day) -> DataFrame:
+    """Running Cov(price change, signed quantity) / Var(signed quantity); null while that variance is 0. ``keeper`` is ``by_day``
+    or ``in_order``, here and below."""
+    out = keeper(trades, "trade_id long, g_inf double", "px double, n double, sx double, sq double, sxq double, sqq double", (None, 0.0, 0.0, 0.0, 0.0, 0.0), _g_inf)
     return out.withColumn("g_inf", F.nanvl("g_inf", F.lit(None).cast("double")))
 
 
@@ -95,9 +182,9 @@ def _hawkes(alpha: float, beta: float):
     return step
 
 
-def hawkes(trades: DataFrame, alpha: float = ALPHA, beta: float = BETA / 3600) -> DataFrame:
+def hawkes(trades: DataFrame, alpha: float = ALPHA, beta: float = BETA / 3600, keeper: Callable = by_day) -> DataFrame:
     """Intensities that jump by ``alpha`` at a trade of their side and decay by ``beta`` a second."""
-    return by_day(trades, "trade_id long, buys double, sells double", "scaled_time double, buys double, sells double", (None, 0.0, 0.0), _hawkes(alpha, beta))
+    return keeper(trades, "trade_id long, buys double, sells double", "scaled_time double, buys double, sells double", (None, 0.0, 0.0), _hawkes(alpha, beta))
 
 
 def _rolling(f, state):
@@ -109,9 +196,9 @@ def _rolling(f, state):
     return {"trade_id": f["trade_id"].to_numpy(), "mean": mean.to_numpy()[len(ring) :], "z": z[len(ring) :]}, (x.to_list()[-WINDOW + 1 :],)
 
 
-def rolling_window(trades: DataFrame) -> DataFrame:
+def rolling_window(trades: DataFrame, keeper: Callable = by_day) -> DataFrame:
     """Mean and z-score (population) of the quantity over the last WINDOW rows; z is 0 without variance."""
-    return by_day(trades, "trade_id long, mean double, z double", "ring array<double>", ([],), _rolling)
+    return keeper(trades, "trade_id long, mean double, z double", "ring array<double>", ([],), _rolling)
 
 
 _BAR = ("bar_no", "ts_start", "ts_end", "open", "high", "low", "close", "vol", "delta", "eff", "impact")
@@ -136,8 +223,8 @@ def _delta_bars(target: int):
     return step
 
 
-def delta_bars(trades: DataFrame, threshold: float = 50.0) -> DataFrame:
+def delta_bars(trades: DataFrame, threshold: float = 50.0, keeper: Callable = by_day) -> DataFrame:
     """As the batch operator; the open bar waits in the state, and bars never cross a day."""
     schema = "bar_no int, ts_start long, ts_end long, open double, high double, low double, close double, vol double, delta double, eff double, impact double"
     state = ", ".join(f"{n} long" for n in ("bar", "open_", "t0", "o", "h", "l", "c", "vol", "net", "path"))
-    return by_day(trades, schema, state, (0,) * 10, _delta_bars(round(threshold * 1e8)))
+    return keeper(trades, schema, state, (0,) * 10, _delta_bars(round(threshold * 1e8)))
