@@ -239,3 +239,18 @@ def test_a_stream_in_any_order_restarted_and_its_late_rows(spark, tmp_path):
         q = [x[4] / 1e8 for x in rows if x[0] == symbol]
         for i, x in enumerate(x for x in rows if x[0] == symbol):
             assert got[x[2]] == pytest.approx(np.mean(q[max(0, i - 7) : i + 1])), x[2]
+
+
+def test_interval_sums_equal_a_range_join(spark):
+    from tickloom.operators.orders import interval_sums, slippage_curve
+
+    r = random.Random(9)
+    points = [(r.choice("ab"), r.randrange(0, 900_000), float(r.randrange(1, 9))) for _ in range(400)] + [("a", 60_000, 5.0), ("a", 119_999, 7.0)]
+    spans = [("a", 60_000, 119_999), ("a", 60_000, 60_000), ("b", 0, 900_000), ("b", 0, 900_000), ("c", 0, 9), ("a", 9, 3), ("a", None, 3), (None, 1, 3)] + [("b", s := r.randrange(900_000), s + r.randrange(400_000)) for _ in range(40)]
+    got = interval_sums(spark.createDataFrame(spans, "symbol string, start long, stop long"), spark.createDataFrame(points, "symbol string, ts_ms long, q double"), {"q": F.col("q"), "n": F.lit(1)}).collect()
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    want = [(k, a, b, sum(q for s, t, q in points if s == k and a <= t <= b) if k and a is not None else 0, sum(s == k and a <= t <= b for s, t, _ in points) if k and a is not None else 0) for k, a, b in spans]
+    assert sorted(map(tuple, ((x["symbol"], x["start"], x["stop"], x["q"], x["n"]) for x in got)), key=lambda x: str(key(x))) == sorted(want, key=lambda x: str(key(x)))
+    orders = spark.createDataFrame([("s", 1, 100.0, 100.0 + k / 100, float(k), 100.0) for k in range(1, 11)] + [("s", 1, 100.0, None, 0.0, 5.0)], "symbol string, side int, decision double, fill_px double, filled double, volume double")
+    curve = {x["participation_bin"]: (x["n"], round(x["slippage_bps"], 6)) for x in slippage_curve(orders, 2).collect()}
+    assert curve == {0: (5, 3.0), 1: (5, 8.0)}
