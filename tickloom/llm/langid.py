@@ -22,9 +22,9 @@ from . import common
 
 MAX_N = 4
 HASH_BITS = 20
-#: The bounds of the labelled sample: rows of a language and in all, landmarks of a language and in all, and languages; of more
-#: labels than that the most frequent are learned.
-TRAIN_PER_LANG, TRAIN, LANDMARKS_PER_LANG, LANDMARKS, MAX_LANGS = 250, 50_000, 32, 1024, 1000
+#: The bounds of the labelled sample: rows of a language and in all, landmarks of a language and in all. Every language has a row at
+#: least, as long as there are no more of them than rows in all; where there are more than landmarks, the most frequent have one.
+TRAIN_PER_LANG, TRAIN, LANDMARKS_PER_LANG, LANDMARKS = 250, 50_000, 32, 1024
 FEW = 8
 RIDGE = 1e-2
 SHARPNESS = 6.0
@@ -113,14 +113,19 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
     rows = [(lang, t) for lang, t in rows if len(points(t or ""))]
     if not rows:
         return LanguageModel([], np.zeros(1, np.int32), np.zeros((1, 1), np.uint8), np.empty(0), np.empty(0), np.empty(0))
-    langs = sorted({lang for lang, _ in rows})
+    of_lang = Counter(lang for lang, _ in rows)
+    langs = sorted(of_lang)
     each = max(1, min(LANDMARKS_PER_LANG, LANDMARKS // len(langs)))
-    marks = [t for lang in langs for t in [t for l, t in rows if l == lang][:each]]
+    first: dict[str, list[str]] = {lang: [] for lang in langs}
+    for lang, t in rows:
+        if len(first[lang]) < each:
+            first[lang].append(t)
+    marked = langs if len(langs) <= LANDMARKS else sorted(sorted(langs, key=lambda lang: -of_lang[lang])[:LANDMARKS])
+    marks = [t for lang in marked for t in first[lang]]
     codes_of = [np.unique(np.concatenate(list(grams(t)))) for t in marks]
     count = np.zeros(1 << HASH_BITS, np.int32)
-    of_lang = Counter(lang for lang, _ in rows)
-    few = {lang for lang in langs if min(each, of_lang[lang]) < FEW}
-    for c, lang in zip(codes_of, [lang for lang in langs for _ in range(min(each, of_lang[lang]))]):
+    few = {lang for lang in marked if min(each, of_lang[lang]) < FEW}
+    for c, lang in zip(codes_of, [lang for lang in marked for _ in range(min(each, of_lang[lang]))]):
         count[c] += 2 if lang in few else 1
     codes = np.flatnonzero(count >= 2)
     slots = np.zeros(1 << HASH_BITS, np.int32)
@@ -138,9 +143,12 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
     model.whiten = (vector[:, good] / np.sqrt(value[good])).astype(np.float32)
     k, cover = model.kernel([t for _, t in rows])
     f = (k @ model.whiten).astype(float)
-    y = np.where(np.array([[lang == l for l in langs] for lang, _ in rows]), 1.0, -1.0)
-    weight = np.array([len(rows) / (len(langs) * n) for n in (sum(l == lang for l, _ in rows) for lang in langs)])[[langs.index(lang) for lang, _ in rows]][:, None]
-    model.ridge = np.linalg.solve((f * weight).T @ f + RIDGE * np.eye(f.shape[1]), (f * weight).T @ y).astype(np.float32)
+    place = {lang: j for j, lang in enumerate(langs)}
+    own_lang = np.array([place[lang] for lang, _ in rows])
+    weighted = f * (len(rows) / (len(langs) * np.array([of_lang[lang] for lang in langs])))[own_lang][:, None]
+    of_class = np.zeros((len(langs), f.shape[1]))
+    np.add.at(of_class, own_lang, weighted)  # against labels of 1 for the own language and -1 for all others
+    model.ridge = np.linalg.solve(weighted.T @ f + RIDGE * np.eye(f.shape[1]), 2 * of_class.T - weighted.sum(axis=0)[:, None]).astype(np.float32)
     rest = cover[len(marks) :] if len(rows) > 2 * len(marks) else cover
     model.least_coverage = 0.5 * float(np.quantile(rest, 0.01))
     return model
@@ -153,7 +161,7 @@ def held_out():
 def labelled_sample(docs: DataFrame, label: str = "lang", each: int = TRAIN_PER_LANG) -> list[tuple[str, str]]:
     """At most ``each`` rows of each label and TRAIN in all, chosen by a hash of doc_id; never rows of the held-out fold."""
     rows = docs.where(~held_out() & F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(label).alias("_label"), "text")
-    count = rows.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(MAX_LANGS)
+    count = rows.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(TRAIN)
     each = max(1, min(each, TRAIN // max(1, count.count())))
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) / 1e6
     some = rows.join(F.broadcast(count), "_label").where(draw * F.col("count") <= 3 * each)
@@ -164,7 +172,7 @@ def labelled_sample(docs: DataFrame, label: str = "lang", each: int = TRAIN_PER_
 def classify(docs: DataFrame, model: LanguageModel, keep: list[str], names=("lang_pred", "score", "coverage")) -> DataFrame:
     """The ``keep`` columns with language, score and coverage under ``names``, one row for each input row; narrow, no shuffle."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double").add(names[2], "double")
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(names[0], "string").add(names[1], "double").add(names[2], "double")
 
     others = [c for c in keep if c != "text"]
 

@@ -64,9 +64,12 @@ def served(share: list[int]) -> list[int]:
 
 
 def period(targets: DataFrame, total: int | None = None) -> DataFrame:
-    """(source, share, turn, at): the slot ``at`` of each source's turn-th block (from 0) within one period."""
+    """(source, share, turn, at): the slot ``at`` of each source's turn-th block (from 0) within one period. The shares must add up to
+    ``total``, if it is given: only then every slot has one block and every block its window."""
     n, slots = targets.agg(F.count("*"), F.sum("share")).first()
     total = total or slots or TOTAL
+    if n and total != slots:
+        raise ValueError(f"the shares add up to {slots}, not to the period of {total} slots")
     if n > FOLDED:  # in the fold below each slot looks at all sources
         rows = sorted((r["source"], r["share"]) for r in targets.select("source", "share").toLocalIterator())
         pick, turn, turns = served([x for _, x in rows]), [], [0] * n
