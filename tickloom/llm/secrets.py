@@ -3,8 +3,8 @@
 The patterns (see BASE) find the base spans. Candidates are all further tokens that could be a secret by
 their characters (CANDIDATE); the network reads each with its surroundings. It is trained on labelled findings of a bounded
 sample of the texts: tokens inside a base span, some with their key words blanked, and secrets of other shapes (see
-``made_secret``) set into the texts are positive; the texts' other tokens, and names, paths, numbers and ids made of their
-words, are negative. A fifth of the texts, with all that was set into them, is held out: on it scores are calibrated (Platt),
+``made_secret``) set into the texts are positive; the texts' other tokens, and names, constants, paths, addresses, sequences,
+numbers and ids (see ``made_name``) of their words and of made ones, are negative. A fifth of the texts, with all that was set into them, is held out: on it scores are calibrated (Platt),
 and the threshold is the highest one that keeps RECALL of its positives. A token longer than TOKEN is read in windows and
 has the score of the highest one.
 """
@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,12 @@ KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Tokens of a key's characters, and of other marks too if these do not stand at an end; shorter ones are no key by themselves.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-](?:[A-Za-z0-9+/_=-]|[!@#$%^&*~.:]+(?=[A-Za-z0-9+/_=-])){11,}")
 RECALL = 0.99
 #: Texts that are looked at for the sample, texts and tokens of it, and secrets and names set into each of its texts.
-POOL, TRAIN_TEXTS, TRAIN_TOKENS, SET_IN = 20_000, 2000, 12_000, 3
-LEFT, TOKEN, WIDTH, FILTERS, HIDDEN = 16, 40, 5, 24, 16
+POOL, TRAIN_TEXTS, TRAIN_TOKENS, SET_IN = 20_000, 2000, 20_000, 5
+LEFT, TOKEN, WIDTH, FILTERS, HIDDEN = 16, 40, 5, 24, 24
 SPAN = LEFT + TOKEN + 8
 MASK = "[REDACTED]"
 _CLASS = np.zeros(128, np.uint8)
@@ -73,13 +76,14 @@ def encode(text: str, start: int, end: int) -> np.ndarray:
 
 
 class CharNet:
-    """Embedding by position in the filter, convolution, ReLU, maximum over positions, one hidden layer, logit."""
+    """Embedding by position in the filter, convolution, ReLU, maximum over positions of the context before, the token and the context
+    after, mean over the token's own, one hidden layer, logit."""
 
     def __init__(self, seed: int = 1):
         r = np.random.default_rng(seed)
         self.k = (r.standard_normal((WIDTH, CLASSES, FILTERS)) * 0.3).astype(np.float32)
         self.kb = np.zeros(FILTERS, np.float32)
-        self.h = (r.standard_normal((3 * FILTERS, HIDDEN)) / np.sqrt(3 * FILTERS)).astype(np.float32)
+        self.h = (r.standard_normal((4 * FILTERS, HIDDEN)) / np.sqrt(4 * FILTERS)).astype(np.float32)
         self.hb = np.zeros(HIDDEN, np.float32)
         self.o = (r.standard_normal(HIDDEN) / np.sqrt(HIDDEN)).astype(np.float32)
         self.ob = np.zeros(1, np.float32)
@@ -92,17 +96,22 @@ class CharNet:
         z = self.kb + sum(self.k[j][x[:, j : j + n]] for j in range(WIDTH))
         # the context before, the token and the context after are pooled apart
         at = [z[:, a:b].argmax(axis=1) + a for a, b in self.parts]
-        pooled = np.concatenate([np.take_along_axis(z, i[:, None, :], 1)[:, 0] for i in at], axis=1)
+        a, b = self.parts[1]
+        own = (x[:, a + WIDTH // 2 : b + WIDTH // 2] != CLASSES - 1).astype(np.float32)
+        own /= np.maximum(own.sum(axis=1, keepdims=True), 1)
+        token = z[:, a:b]
+        mean = np.einsum("ij,ijk->ik", own, np.maximum(token, 0))
+        pooled = np.concatenate([*(np.take_along_axis(z, i[:, None, :], 1)[:, 0] for i in at), mean], axis=1)
         p = np.maximum(pooled, 0)
         u = p @ self.h + self.hb
         r = np.maximum(u, 0)
-        return r @ self.o + self.ob[0], (at, pooled, p, u, r)
+        return r @ self.o + self.ob[0], (at, pooled, p, u, r, own, token)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.concatenate([self.forward(x[i : i + 512])[0] for i in range(0, len(x), 512)]) if len(x) else np.empty(0)
         return 1 / (1 + np.exp(-(self.scale * z + self.shift)))
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.01, batch: int = 128, seed: int = 2):
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, rate: float = 0.01, batch: int = 128, seed: int = 2):
         names = ["k", "kb", "h", "hb", "o", "ob"]
         m = {n: np.zeros_like(getattr(self, n)) for n in names}
         v = {n: np.zeros_like(getattr(self, n)) for n in names}
@@ -113,18 +122,23 @@ class CharNet:
             for lo in range(0, len(x), batch):
                 i = order[lo : lo + batch]
                 xb = x[i]
-                z, (at, pooled, p, u, hid) = self.forward(xb)
+                z, (at, pooled, p, u, hid, own, token) = self.forward(xb)
                 d = ((1 / (1 + np.exp(-z)) - y[i]) * weight[i] / len(i)).astype(np.float32)
                 g = {"o": hid.T @ d, "ob": d.sum(keepdims=True)}
                 du = d[:, None] * self.o * (u > 0)
                 g["h"], g["hb"] = p.T @ du, du.sum(0)
                 dp = (du @ self.h.T) * (pooled > 0)
-                g["kb"] = sum(dp[:, s * FILTERS : (s + 1) * FILTERS].sum(0) for s in range(3))
+                every = own[:, :, None] * dp[:, None, 3 * FILTERS :] * (token > 0)
+                g["kb"] = sum(dp[:, s * FILTERS : (s + 1) * FILTERS].sum(0) for s in range(3)) + every.sum(axis=(0, 1))
                 g["k"] = np.zeros_like(self.k)
                 f = np.broadcast_to(np.arange(FILTERS), (len(i), FILTERS))
                 for s in range(3):
                     for j in range(WIDTH):
                         np.add.at(g["k"][j], (np.take_along_axis(xb, at[s] + j, 1), f), dp[:, s * FILTERS : (s + 1) * FILTERS])
+                first, flat = self.parts[1][0], every.reshape(-1, FILTERS)
+                for j in range(WIDTH):
+                    seen = xb[:, first + j : first + j + TOKEN].ravel()
+                    g["k"][j] += (np.arange(CLASSES)[:, None] == seen).astype(np.float32) @ flat
                 step += 1
                 for n in names:
                     m[n] = 0.9 * m[n] + 0.1 * g[n]
@@ -161,20 +175,38 @@ _BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def made_secret(r: np.random.Generator) -> str:
-    """A random key: letters and digits, base64, its URL form, hexadecimal in upper case, or one of these behind a short prefix."""
-    alphabet = (_BASE62, _BASE62 + "+/", _BASE62 + "-_", "0123456789ABCDEF", _BASE62[26:])[r.integers(5)]
-    body = "".join(alphabet[i] for i in r.integers(0, len(alphabet), int(r.integers(20, 72))))
-    if r.random() < 0.4:
-        body = "".join(_BASE62[i] for i in r.integers(26, 52, int(r.integers(2, 6)))) + ("_", "-", "_live_", "/")[r.integers(4)] + body
+    """A random key: letters and digits (short ones too), base64, its URL form, hexadecimal in upper case, a password with other marks, three
+    parts joined by points, or one of the first behind a short prefix."""
+    draw = lambda alphabet, n: "".join(alphabet[i] for i in r.integers(0, len(alphabet), n))
+    kind = r.integers(12)
+    if kind < 2:  # a password: some of each kind of character
+        parts = list(draw(_BASE62, int(r.integers(8, 18))) + draw("0123456789", 2) + draw("!@#$%^&*~", int(r.integers(1, 4))))
+        return draw(_BASE62, 1) + "".join(parts[i] for i in r.permutation(len(parts))) + draw(_BASE62, 1)
+    if kind == 2:
+        return ".".join("eyJ" * (k < 2) + draw(_BASE62 + "-_", int(n)) for k, n in enumerate(r.integers(12, 60, 3)))
+    alphabet = (_BASE62, _BASE62 + "+/", _BASE62 + "-_", "0123456789ABCDEF", _BASE62[26:], _BASE62, _BASE62[26:], _BASE62, _BASE62)[kind - 3]
+    body = draw(alphabet, int(r.integers(16, 26) if kind > 6 else r.integers(18, 72)))
+    if r.random() < 0.5:
+        body = "".join(draw(_BASE62[26:52], int(r.integers(2, 7)))) + ("_", "-", "_live_", "-", "-")[r.integers(5)] + body
     return body + "=" * int(r.integers(0, 3) if r.random() < 0.2 else 0)
 
 
+def spoken(r: np.random.Generator) -> str:
+    """A word that could be said, of all letters: consonants and vowels in turn, some of them doubled or in pairs."""
+    out, vowel = "", r.random() < 0.4
+    for _ in range(int(r.integers(2, 7))):
+        out += "aeiou"[r.integers(5)] if vowel else "bcdfghjklmnpqrstvwxyz"[r.integers(21)] + ("", "", "", "r", "l", "s", "t", "h")[r.integers(8)]
+        vowel = not vowel
+    return out
+
+
 def made_name(r: np.random.Generator, words: list[str]) -> str:
     """What looks like a key but is none: words joined as names, paths or slugs, numbers, dates, ids and rules."""
-    w = [words[i] for i in r.integers(0, len(words), 6)]
     n = int(r.integers(2, 6))
-    digits = lambda k: "".join(map(str, r.integers(0, 10, k)))
-    kind = r.integers(8)
+    w = [words[i] if r.random() < 0.5 else spoken(r) for i in r.integers(0, len(words), 6)]
+    draw = lambda alphabet, k: "".join(alphabet[i] for i in r.integers(0, len(alphabet), k))
+    digits = lambda k: draw("0123456789", k)
+    kind = r.integers(21)
     if kind < 3:
         return "_-/"[kind].join(w[:n])
     if kind == 3:
@@ -184,8 +216,31 @@ def made_name(r: np.random.Generator, words: list[str]) -> str:
     if kind == 5:
         return f"20{digits(2)}-{digits(2)}-{digits(2)}/{w[0]}-{digits(4)}"
     if kind == 6:
-        return "-".join("".join("0123456789abcdef"[i] for i in r.integers(0, 16, k)) for k in (8, 4, 4, 4, 12))
-    return "-=_"[r.integers(3)] * int(r.integers(12, 40))
+        return "-".join(draw("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))
+    if kind == 7:
+        return "-=_"[r.integers(3)] * int(r.integers(12, 40))
+    if kind < 10 or kind > 18:  # constants
+        return "_".join(w[: n + 1]).upper() + ("", "_" + digits(1), "_V" + digits(1))[r.integers(3)]
+    if kind == 10:  # sequences of a few letters
+        return draw(("ACGT", "acgt", "ACDEFGHIKLMNPQRSTVWY", "01", "xX.-")[r.integers(5)], int(r.integers(14, 80)))
+    if kind == 11:  # the alphabet, or a part of it, and counting
+        run = "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz0123456789"
+        at = int(r.integers(0, 26))
+        part = run[at : at + int(r.integers(12, 36))]
+        return (part, part.upper(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + part, "0123456789" * 2 + part)[r.integers(4)]
+    if kind == 12:  # addresses of media
+        return ("watch", "v", "id", "img", "video")[r.integers(5)] + ("/", "=", "/v=")[r.integers(3)] + draw(_BASE62 + "-_", 11)
+    if kind == 13:  # names of substances and their like: words with places
+        return "-".join([",".join(digits(1) for _ in range(int(r.integers(1, 4)))).replace(",", "-"), *[x.lower() + y.lower() for x, y in zip(w[:n], w[1:])]])
+    if kind == 14:  # camel case, a number behind
+        return w[0].lower() + "".join(x.capitalize() for x in w[1:n]) + ("", digits(1), digits(2))[r.integers(3)]
+    if kind == 15:
+        return f"{w[0].lower()}.{w[1].lower()}@{w[2].lower()}.{('com', 'org', 'de')[r.integers(3)]}"
+    if kind == 16:
+        return f"www.{w[0].lower()}.{('com', 'org', 'net')[r.integers(3)]}/{w[1].lower()}-{w[2].lower()}-{digits(int(r.integers(1, 7)))}"
+    if kind == 17:  # one long word
+        return w[0].capitalize() + "".join(x.lower() for x in w[1 : n + 1])
+    return f"{w[0]}-{w[1]}-{digits(4)}-{digits(2)}.{('jpg', 'html', 'pdf', 'csv')[r.integers(4)]}"
 
 
 def training_rows(texts: list[str], seed: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,8 +305,10 @@ def scan_texts(net: CharNet, texts) -> list[list[tuple[int, int, int]]]:
     for i, t in enumerate(texts):
         spans = base_spans(t)
         out.append(spans)
+        starts, reach = [a for a, _, _ in spans], list(accumulate((b for _, b, _ in spans), max))
         for s, e in candidates(t):
-            if not any(a < e and s < b for a, b, _ in spans):
+            before = bisect_left(starts, e)
+            if not before or reach[before - 1] <= s:  # no base span overlaps it
                 where.append((i, s, e))
                 first.append(len(rows))
                 rows += [encode(t, *w) for w in windows(s, e)]
