@@ -282,6 +282,19 @@ def _open(crowd: DataFrame) -> DataFrame:
     return common.written(common.only_ids(crowd, mixed, "key"), "open")
 
 
+def _still_open(open_: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, component) of ``open_``'s members after their components have grown (``found``), of those components that share a bucket with
+    another one. Members are few next to their places in buckets, and components next to members: only these are joined."""
+    members = common.written(open_.select("id", "component").distinct(), "members")
+    one = members.groupBy("component").agg(F.min("id").alias("doc_id"))
+    now = common.written(one.join(found.withColumnRenamed("component", "new"), "doc_id").select("component", "new"), "grown")
+    parts = open_.groupBy("key", "component").agg(F.lit(1).alias("one")).join(now, "component").groupBy("key", "new").agg(F.lit(1).alias("one"))
+    parts = common.written(parts.select("key", "new"), "parts")
+    mixed = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = common.written(parts.join(mixed, "key").select("new").distinct(), "shared")
+    return common.written(members.join(now, "component").join(shared, "new").select("id", F.col("new").alias("component")), "apart")
+
+
 def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
     """(doc_id, component) with the components that new links (a, b) join."""
     for side in "ab":
@@ -326,9 +339,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
         open_ = _open(common.written(crowd(members), "crowd"))
         if not open_.isEmpty():
             found = _merged(found, confirmed(common.written(_met_largest(open_), "met")))
-            # components only grow: a bucket of one component stays so
-            rest = _open(common.written(crowd(open_.select("id", "key")), "crowd")).select("id", "component").distinct()
-            rest = common.written(rest, "apart")
+            rest = _still_open(open_, found)
             if not rest.isEmpty():
                 near = common.written(prefix_pairs(rest, texts, k, percent), "near")
                 found = _merged(found, common.written(verified(near, texts, k, percent), "links"))
