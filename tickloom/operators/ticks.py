@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tickloom.shared import written
+
 #: Rows of a chunk, but no fewer than four times the rows around it.
 SIZE = 100_000
 BUCKET_MS = 3_600_000
@@ -147,20 +149,36 @@ def asof(left: DataFrame, right: DataFrame, on: str, values: list[str], keys: li
     kind = right.select(pack.alias("s")).schema["s"].dataType
     theirs = right.select(*keys, F.col(on).alias("_at"), F.col(tie).alias("_tie"), pack.alias("_v"), F.lit(1 if strict else 0).alias("_side"), F.lit(True).alias("_right"))
     both = mine.withColumns({"_tie": F.lit(None).cast(right.schema[tie].dataType), "_v": F.lit(None).cast(kind), "_right": F.lit(False)}).unionByName(theirs, allowMissingColumns=True)
-    both = both.withColumn("_b", F.floor(F.col("_at") / bucket_ms))
+    return _last_before(both, keys, left.columns, bucket_ms).select(*left.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
+def _last_before(both: DataFrame, keys: list[str], columns: list[str], bucket_ms: int) -> DataFrame:
+    """The rows that are not _right, with the _v of the last _right row by (_at, _side, _tie). The rows are written once, and read for the
+    buckets' ends and for the windows inside buckets."""
+    both = written(both.withColumn("_b", F.floor(F.col("_at") / bucket_ms)), "asof")
     last = both.groupBy(*keys, "_b").agg(F.max_by("_v", F.when(F.col("_right"), F.struct("_at", "_tie"))).alias("_last"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     carry = last.select(*keys, "_b", F.last("_last", ignorenulls=True).over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_v", F.last("_v", ignorenulls=True).over(inside)).where("not _right")
-    both = both.join(carry, [*keys, "_b"], "left").withColumn("_v", F.coalesce("_v", "_carry"))
-    return both.select(*left.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
+    return both.join(carry, [*keys, "_b"], "left").withColumn("_v", F.coalesce("_v", "_carry")).select(*columns, "_v")
+
+
+def ahead(ticks: DataFrame, horizons: list[int], value: str = "p") -> DataFrame:
+    """The rows once for each of ``horizons`` (ms), with _h, the horizon, and _v, the symbol's ``value`` in force that much later. Each row is
+    looked up and looks up others in one pass, however many horizons there are."""
+    looks = [F.struct((F.col("ts_ms") + h).alias("_at"), F.lit(1).alias("_side"), F.lit(h).cast("long").alias("_h"), F.lit(False).alias("_right")) for h in horizons]
+    own = F.struct(F.col("ts_ms").alias("_at"), F.lit(0).alias("_side"), F.lit(0).cast("long").alias("_h"), F.lit(True).alias("_right"))
+    rows = ticks.withColumn("_e", F.explode(F.array(own, *looks))).select("*", "_e.*").drop("_e")
+    right = F.col("_right")
+    columns = [F.when(~right, F.col(c)).alias(c) if c != "symbol" else F.col(c) for c in ticks.columns]
+    both = rows.select(*columns, "_at", "_side", "_h", "_right", F.when(right, F.col("trade_id")).alias("_tie"), F.when(right, F.struct(F.col(value).alias("x"))).alias("_v"))
+    return _last_before(both, ["symbol"], [*ticks.columns, "_h"], BUCKET_MS).withColumn("_v", F.col("_v.x"))
 
 
 def forward_price(ticks: DataFrame, horizon_ms: int = 500) -> DataFrame:
     """y: the price in force ``horizon_ms`` later, less the price now."""
-    prices = ticks.select("symbol", "ts_ms", "trade_id", F.col("p").alias("_p"))
-    return asof(ticks, prices, "ts_ms", ["_p"], ["symbol"], F.col("ts_ms") + horizon_ms).withColumn("y", F.col("_p") - F.col("p")).drop("_p")
+    return ahead(ticks, [horizon_ms]).withColumn("y", F.col("_v") - F.col("p")).drop("_v", "_h")
 
 
 def lead_lag(ticks: DataFrame, leader: DataFrame, width: int = 1024, weights=(0.4, 0.3, 0.2, 0.1)) -> DataFrame:

@@ -82,10 +82,8 @@ _JOINED = "t1m " + " ".join(f"JOIN t{n} USING (symbol)" for n in list(HORIZONS)[
 
 def term_structure(panel):
     """(symbol, ic_<horizon>...): correlation of the signal with the price move over each clock horizon."""
-    prices = panel.select("symbol", "ts_ms", "trade_id", "p")
-    for n, ms in HORIZONS.items():
-        panel = T.asof(panel, prices.withColumnRenamed("p", f"p_{n}"), "ts_ms", [f"p_{n}"], ["symbol"], F.col("ts_ms") + ms)
-    return panel.groupBy("symbol").agg(*[F.corr(F.col("s"), F.col(f"p_{n}") - F.col("p")).alias(f"ic_{n}") for n in HORIZONS])
+    d = T.ahead(panel.select("symbol", "ts_ms", "trade_id", "p", "s"), list(HORIZONS.values()))
+    return d.groupBy("symbol").agg(*[F.corr(F.when(F.col("_h") == ms, F.col("s")), F.col("_v") - F.col("p")).alias(f"ic_{n}") for n, ms in HORIZONS.items()])
 
 
 metrics.query("ts1_term_structure", _TERM.replace("FROM f GROUP BY 1, 2)", "FROM sig GROUP BY 1, 2)", 1) + " SELECT symbol, " + ", ".join(f"round(t{n}.ic, 6) AS ic_{n}" for n in HORIZONS) + f" FROM {_JOINED}")(term_structure)
