@@ -254,3 +254,27 @@ def test_interval_sums_equal_a_range_join(spark):
     orders = spark.createDataFrame([("s", 1, 100.0, 100.0 + k / 100, float(k), 100.0) for k in range(1, 11)] + [("s", 1, 100.0, None, 0.0, 5.0)], "symbol string, side int, decision double, fill_px double, filled double, volume double")
     curve = {x["participation_bin"]: (x["n"], round(x["slippage_bps"], 6)) for x in slippage_curve(orders, 2).collect()}
     assert curve == {0: (5, 3.0), 1: (5, 8.0)}
+
+
+def test_plans_take_other_parameters(spark):
+    from tickloom.plans import signals
+
+    t = spark.createDataFrame(_trades(400, 5, days=2, big=0.0), TAPE)
+    rows = {}
+    for x in sorted(t.collect(), key=lambda x: x["trade_id"]):
+        rows.setdefault((x["symbol"], x["trade_date"]), []).append(x)
+    for short, ahead in ((8, 4), (5, 2)):
+        pairs = {}
+        for (symbol, _), day in rows.items():
+            v = np.array([(1 - 2 * x["flags"]) * x["qty"] / 1e8 for x in day])
+            p = np.log([x["px"] for x in day])
+            for i in range(short, len(day) - ahead):  # as in the plan, the first window has a row before it
+                pairs.setdefault(symbol, []).append((v[i - short + 1 : i + 1].mean(), p[i + ahead] - p[i]))
+        got = {x["symbol"]: x["ic_pearson"] for x in signals.over(t, "pp1_ic_pearson", short=short, ahead=ahead).collect()}
+        for symbol, xy in pairs.items():
+            assert got[symbol] == pytest.approx(np.corrcoef(np.array(xy).T)[0, 1], abs=1e-5), (symbol, short)
+    bars = signals.over(t, "win21_volume_bars", bucket=10**9).toPandas()
+    assert bars.groupby(["symbol", "trade_date"])["vol"].sum().sum() == pytest.approx(sum(x["qty"] for day in rows.values() for x in day) / 1e8)
+    assert bars["vol"].max() == pytest.approx(10.0)
+    with pytest.raises(ValueError):
+        signals.over(t, "pp1_ic_pearson", width=3)

@@ -63,7 +63,7 @@ PLANS["rb1_ratios"] = (lambda d: f"SELECT symbol, round(o / i, 4) AS oos_to_is_i
 _PERIOD = lambda d, p: f"(SELECT symbol, {p} AS k, sum(p) AS total, avg(p) / stddev_samp(p) AS sharpe FROM (SELECT *, {d.div(d.day('trade_date'), 7)} AS week FROM pnl) w GROUP BY 1, 2)"
 PLANS["rb2_periods"] = (lambda d: f"SELECT y.symbol, yearly_positive_pct, quarterly_positive_pct, dispersion AS subsample_sharpe_dispersion FROM (SELECT symbol, round(100.0 * {share('total > 0')}, 6) AS yearly_positive_pct FROM {_PERIOD(d, 'year(trade_date)')} a GROUP BY 1) y JOIN (SELECT symbol, round(100.0 * {share('total > 0')}, 6) AS quarterly_positive_pct FROM {_PERIOD(d, 'year(trade_date) * 4 + quarter(trade_date)')} b GROUP BY 1) q ON y.symbol = q.symbol JOIN (SELECT symbol, round(stddev_samp(sharpe), 6) AS dispersion FROM {_PERIOD(d, 'week')} c GROUP BY 1) w ON y.symbol = w.symbol", PNL)
 by_symbol("ex2_adverse_selection", "(SELECT *, lead((bid + ask) / 2, 4) OVER (PARTITION BY symbol, trade_date ORDER BY trade_id) AS later FROM quotes) a", "later IS NOT NULL", needs=QUOTES, short_term_adverse_selection_bps="avg(2 * sign * (later - (bid + ask) / 2) / x * 1e4)")
-by_symbol("ex3_notional_impact", "(SELECT symbol, trade_date, b, min_by(x, i) AS x0, sum(sv * x) / 1e8 AS notional FROM (SELECT *, floor((i - 1) / 10) AS b FROM panel) p GROUP BY 1, 2, 3) k JOIN (SELECT symbol AS s2, trade_date AS d2, floor((i - 1) / 10) - 1 AS b2, min_by(x, i) AS x1 FROM panel GROUP BY 1, 2, 3) n ON symbol = s2 AND trade_date = d2 AND b = b2", price_impact_per_1m_notional_bps="regr_slope((x1 / x0 - 1) * 1e4, notional) * 1e6")
+by_symbol("ex3_notional_impact", "(SELECT symbol, trade_date, b, min_by(x, i) AS x0, sum(sv * x) / 1e8 AS notional FROM (SELECT *, floor((i - 1) / @block@) AS b FROM panel) p GROUP BY 1, 2, 3) k JOIN (SELECT symbol AS s2, trade_date AS d2, floor((i - 1) / @block@) - 1 AS b2, min_by(x, i) AS x1 FROM panel GROUP BY 1, 2, 3) n ON symbol = s2 AND trade_date = d2 AND b = b2", price_impact_per_1m_notional_bps="regr_slope((x1 / x0 - 1) * 1e4, notional) * 1e6")
 by_symbol("ex4_cancels", "met", needs=ORDERS, pct_canceled_before_fill="100.0 * avg(CASE WHEN fills = 0 AND order_id % 3 = 1 THEN 1.0 ELSE 0.0 END)")
 PLANS["bk1_benchmark"] = (lambda d: "SELECT symbol, round(regr_slope(p, b), 6) AS beta_to_benchmark FROM pnl JOIN (SELECT trade_date AS d2, avg(r) * 1e4 AS b FROM panel GROUP BY 1) k ON trade_date = d2 GROUP BY symbol", PNL)
 PLANS["bk2_marginal"] = (lambda d: f"SELECT symbol, round(sum(CASE WHEN all_p <= v THEN p END) / count(CASE WHEN all_p <= v THEN 1 END), 6) AS marginal_es, round(min_by(p, abs(all_p - v)), 6) AS marginal_var FROM book CROSS JOIN (SELECT {d.pct('all_p', 0.05)} AS v FROM (SELECT DISTINCT trade_date, all_p FROM book) u) k GROUP BY symbol", BOOK)

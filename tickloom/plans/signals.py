@@ -36,15 +36,18 @@ TAPE_DUCK = """tape AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS trade_d
   CAST(round((1000 + value) * 100) AS BIGINT) * 1000000 AS px, (CAST(json_extract(props, '$.k') AS BIGINT) + 1) * 1000000 AS qty,
   event_id * 10 AS first_id, 1 + event_id % 4 AS trade_count, CAST(CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS flags, epoch_us(ts) // 1000 AS ts_ms FROM events)"""
 
-W, L, SHORT, AHEAD = 16, 32, 8, 4
+#: What a plan's text leaves open, as @name@, and the values that the queries have: rows of the signal's window, rows ahead of its return,
+#: a volume bucket in units of 1e-8, trades of a block, a clock bucket in ms, every so many rows of a decimated series, the differences of a
+#: variance ratio, rows of a daily return correlation that count, bins of an entropy in units of the signal.
+PARAMETERS = {"short": 8, "ahead": 4, "bucket": 500_000_000, "block": 10, "clock_ms": 3_600_000, "step": 5, "lag": 4, "least": 5, "per_unit": 20}
 PANEL = f"""
 b0 AS (SELECT *, px / 1e8 AS x, qty / 1e8 AS q, CASE WHEN (flags & 1) = 1 THEN -1 ELSE 1 END AS sign FROM tape WHERE px > 0),
 b1 AS (SELECT *, qty * sign AS sv, row_number() OVER w AS i, lag(px) OVER w AS ppx, ln(x / lag(x) OVER w) AS r, x - lag(x) OVER w AS dx,
-  (ts_ms - lag(ts_ms) OVER w) / 1000.0 AS dtd, lag(sign) OVER w AS psign, lead(sign) OVER w AS nsign, lead(x, {AHEAD}) OVER w AS xf, sum(qty * sign) OVER (PARTITION BY symbol, trade_date ORDER BY trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cv,
+  (ts_ms - lag(ts_ms) OVER w) / 1000.0 AS dtd, lag(sign) OVER w AS psign, lead(sign) OVER w AS nsign, lead(x, @ahead@) OVER w AS xf, sum(qty * sign) OVER (PARTITION BY symbol, trade_date ORDER BY trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cv,
   sum(qty) OVER (PARTITION BY symbol, trade_date ORDER BY trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cq
   FROM b0 WINDOW w AS (PARTITION BY symbol, trade_date ORDER BY trade_id)),
-panel AS (SELECT *, CAST(dtd AS DOUBLE) AS dt, q * sign AS v, (CAST(cv AS DOUBLE) - coalesce(lag(CAST(cv AS DOUBLE), {SHORT}) OVER w, 0)) / 1e8 AS ofi, ln(xf / x) AS rf,
-  (CAST(cv AS DOUBLE) - lag(CAST(cv AS DOUBLE), {SHORT}) OVER w) / {SHORT}e8 AS s, abs(q * (sign - psign)) AS tox
+panel AS (SELECT *, CAST(dtd AS DOUBLE) AS dt, q * sign AS v, (CAST(cv AS DOUBLE) - coalesce(lag(CAST(cv AS DOUBLE), @short@) OVER w, 0)) / 1e8 AS ofi, ln(xf / x) AS rf,
+  (CAST(cv AS DOUBLE) - lag(CAST(cv AS DOUBLE), @short@) OVER w) / (@short@ * 1e8) AS s, abs(q * (sign - psign)) AS tox
   FROM b1 WINDOW w AS (PARTITION BY symbol, trade_date ORDER BY trade_id)),
 sig AS (SELECT * FROM panel WHERE s IS NOT NULL AND rf IS NOT NULL)"""
 
@@ -86,27 +89,26 @@ PLANS["src5_day_manifest"] = (lambda d: "SELECT symbol, trade_date, count(*) AS
 PLANS["src6_available_days"] = (lambda d: "SELECT DISTINCT trade_date FROM tape", "")
 PLANS["src7_recent_months"] = (lambda d: "SELECT DISTINCT year(trade_date) AS y, month(trade_date) AS m FROM tape ORDER BY y DESC, m DESC LIMIT 6", "")
 # window features
-row_level("win5_rolling_sum", ofi="ofi", mean="ofi / least(i, 8)")
+row_level("win5_rolling_sum", ofi="ofi", mean="ofi / least(i, @short@)")
 
 
 @plan("win20_clock_bars")
 def _(d):
-    return f"SELECT symbol, {d.div('ts_ms', 3600000)} AS bucket, round(min_by(x, trade_id), 6) AS o, round(max(x), 6) AS h, round(min(x), 6) AS l, round(max_by(x, trade_id), 6) AS c, round(CAST(sum(qty) AS DOUBLE) / 1e8, 6) AS vol FROM panel GROUP BY 1, 2"
+    return f"SELECT symbol, {d.div('ts_ms', '@clock_ms@')} AS bucket, round(min_by(x, trade_id), 6) AS o, round(max(x), 6) AS h, round(min(x), 6) AS l, round(max_by(x, trade_id), 6) AS c, round(CAST(sum(qty) AS DOUBLE) / 1e8, 6) AS vol FROM panel GROUP BY 1, 2"
 
 
-VB = 5 * 100_000_000
 VOLUME = lambda d: PANEL + f""",
 cut AS (SELECT *, CAST(cq AS BIGINT) AS hi, CAST(cq AS BIGINT) - qty AS lo FROM panel),
-piece AS (SELECT *, {d.series('bucket', 'b0', 'b1')} FROM (SELECT *, {d.div('lo', VB)} AS b0, {d.div('hi - 1', VB)} AS b1 FROM cut) z),
+piece AS (SELECT *, {d.series('bucket', 'b0', 'b1')} FROM (SELECT *, {d.div('lo', '@bucket@')} AS b0, {d.div('hi - 1', '@bucket@')} AS b1 FROM cut) z),
 vbar AS (SELECT symbol, trade_date, bucket, CAST(sum(part) AS DOUBLE) / 1e8 AS vol, CAST(sum(part * sign) AS DOUBLE) / 1e8 AS net, sum(x * part) / CAST(sum(part) AS DOUBLE) AS vwap, max_by(x, trade_id) AS c
-  FROM (SELECT *, least(hi, (bucket + 1) * {VB}) - greatest(lo, bucket * {VB}) AS part FROM piece) y GROUP BY symbol, trade_date, bucket)"""
+  FROM (SELECT *, least(hi, (bucket + 1) * @bucket@) - greatest(lo, bucket * @bucket@) AS part FROM piece) y GROUP BY symbol, trade_date, bucket)"""
 PLANS["win21_volume_bars"] = (lambda d: "SELECT symbol, trade_date, bucket, round(vol, 6) AS vol, round(net, 6) AS net, round(c, 6) AS c FROM vbar", VOLUME)
 PLANS["ms16_bucket_vwap"] = (lambda d: "SELECT symbol, trade_date, bucket, round(vwap, 6) AS vwap FROM vbar", VOLUME)
 PLANS["ms20_rv_volume_clock"] = (lambda d: "SELECT symbol, round(sum(pow(lr, 2)), 6) AS rv FROM (SELECT symbol, ln(c / lag(c) OVER (PARTITION BY symbol, trade_date ORDER BY bucket)) AS lr FROM vbar) y GROUP BY symbol", VOLUME)
 
 # microstructure signals
-BLOCKS = lambda d: PANEL + f", blk AS (SELECT symbol, trade_date, {d.div('i - 1', 10)} AS b, CAST(sum(sv) AS DOUBLE) / 1e8 AS bq, min_by(x, i) AS x0, count(*) AS n, avg(trade_count) AS tc FROM panel GROUP BY 1, 2, 3), blk2 AS (SELECT *, lead(x0) OVER (PARTITION BY symbol, trade_date ORDER BY b) - x0 AS dp FROM blk)"
-by_symbol("ex3_kyle_lambda", "blk2", "n = 10 AND dp IS NOT NULL", needs=BLOCKS, kyle_lambda="regr_slope(dp, bq)")
+BLOCKS = lambda d: PANEL + f", blk AS (SELECT symbol, trade_date, {d.div('i - 1', '@block@')} AS b, CAST(sum(sv) AS DOUBLE) / 1e8 AS bq, min_by(x, i) AS x0, count(*) AS n, avg(trade_count) AS tc FROM panel GROUP BY 1, 2, 3), blk2 AS (SELECT *, lead(x0) OVER (PARTITION BY symbol, trade_date ORDER BY b) - x0 AS dp FROM blk)"
+by_symbol("ex3_kyle_lambda", "blk2", "n = @block@ AND dp IS NOT NULL", needs=BLOCKS, kyle_lambda="regr_slope(dp, bq)")
 
 
 by_symbol("ms9_duration_dispersion", where="dt IS NOT NULL", dispersion="stddev_samp(dt) / avg(dt)")
@@ -134,18 +136,18 @@ PLANS["ms48_univ_y"] = (lambda d: "SELECT symbol, round(avg(i0 / (sd * sqrt(vol)
 by_symbol("dq1_counts", n_trades="count(*)", n_days="count(DISTINCT trade_date)")
 by_symbol("dq2_missing", pct_missing_prices="avg(CASE WHEN px IS NULL THEN 1.0 ELSE 0.0 END)", pct_nonmonotonic_timestamps="avg(CASE WHEN dt < 0 THEN 1.0 ELSE 0.0 END)")
 PLANS["dq3_outliers"] = (lambda d: "SELECT symbol, round(avg(CASE WHEN abs(r - m) > 3 * sd THEN 1.0 ELSE 0.0 END), 6) AS pct_return_outliers, round(avg(CASE WHEN q > p99 THEN 1.0 ELSE 0.0 END), 6) AS pct_volume_spikes FROM panel JOIN (SELECT symbol AS s2, avg(r) AS m, stddev_samp(r) AS sd, " + d.pct("q", 0.99) + " AS p99 FROM panel GROUP BY symbol) k ON symbol = s2 WHERE r IS NOT NULL GROUP BY symbol", PANEL)
-PLANS["dq5_realized_vol"] = (lambda d: f"SELECT symbol, round(sqrt(sum(lr * lr)), 6) AS realized_vol FROM (SELECT symbol, ln(c / lag(c) OVER (PARTITION BY symbol ORDER BY g)) AS lr FROM (SELECT symbol, {d.div('ts_ms', 3600000)} AS g, max_by(x, trade_id) AS c FROM panel GROUP BY 1, 2) a) b GROUP BY symbol", PANEL)
+PLANS["dq5_realized_vol"] = (lambda d: f"SELECT symbol, round(sqrt(sum(lr * lr)), 6) AS realized_vol FROM (SELECT symbol, ln(c / lag(c) OVER (PARTITION BY symbol ORDER BY g)) AS lr FROM (SELECT symbol, {d.div('ts_ms', '@clock_ms@')} AS g, max_by(x, trade_id) AS c FROM panel GROUP BY 1, 2) a) b GROUP BY symbol", PANEL)
 by_symbol("sd1_signal_distribution", "sig", signal_mean="avg(s)", signal_std="stddev_samp(s)", signal_median=lambda d: d.pct("s", 0.5), signal_pct_1=lambda d: d.pct("s", 0.01), signal_pct_99=lambda d: d.pct("s", 0.99), signal_iqr=lambda d: f"{d.pct('s', 0.75)} - {d.pct('s', 0.25)}")
 by_symbol("sd2_signal_shape", "sig", signal_skew=lambda d: d.skew("s"), signal_kurtosis=lambda d: d.kurt("s"), signal_jarque_bera_pvalue=lambda d: f"exp(-count(*) / 12.0 * (pow({d.skew('s')}, 2) + pow({d.kurt('s')}, 2) / 4))")
-PLANS["sd4_variance_ratio"] = (lambda d: f"SELECT symbol, round(var_samp(d4) / (4 * var_samp(d1)), 6) AS variance_ratio FROM (SELECT symbol, s - lag(s) OVER ({D}) AS d1, s - lag(s, 4) OVER ({D}) AS d4 FROM sig) a GROUP BY symbol", PANEL)
-PLANS["sd5_entropy"] = (lambda d: "SELECT symbol, round(-sum(p * ln(p)), 6) AS entropy FROM (SELECT symbol, n / sum(n) OVER (PARTITION BY symbol) AS p FROM (SELECT symbol, floor(s * 20) AS b, CAST(count(*) AS DOUBLE) AS n FROM sig GROUP BY 1, 2) a) b GROUP BY symbol", PANEL)
+PLANS["sd4_variance_ratio"] = (lambda d: f"SELECT symbol, round(var_samp(d4) / (@lag@ * var_samp(d1)), 6) AS variance_ratio FROM (SELECT symbol, s - lag(s) OVER ({D}) AS d1, s - lag(s, @lag@) OVER ({D}) AS d4 FROM sig) a GROUP BY symbol", PANEL)
+PLANS["sd5_entropy"] = (lambda d: "SELECT symbol, round(-sum(p * ln(p)), 6) AS entropy FROM (SELECT symbol, n / sum(n) OVER (PARTITION BY symbol) AS p FROM (SELECT symbol, floor(s * @per_unit@) AS b, CAST(count(*) AS DOUBLE) AS n FROM sig GROUP BY 1, 2) a) b GROUP BY symbol", PANEL)
 PLANS["sd7_sign_flips"] = (lambda d: f"SELECT symbol, round(avg(CASE WHEN sign(s) <> sign(y) THEN 1.0 ELSE 0.0 END), 6) AS flip_rate FROM (SELECT symbol, s, lag(s) OVER ({D}) AS y FROM sig) a WHERE y IS NOT NULL GROUP BY symbol", PANEL)
 # predictive power
 by_symbol("pp1_ic_pearson", "sig", ic_pearson="corr(s, rf)")
 RANKS = PANEL + ", rk AS (SELECT *, rank() OVER (PARTITION BY symbol, trade_date ORDER BY s) + (count(*) OVER (PARTITION BY symbol, trade_date, s) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY symbol, trade_date ORDER BY rf) + (count(*) OVER (PARTITION BY symbol, trade_date, rf) - 1) / 2.0 AS rr, ntile(10) OVER (PARTITION BY symbol, trade_date ORDER BY s, trade_id) AS dec, CASE WHEN rf > 0 THEN 1 ELSE 0 END AS up FROM sig)"
 by_symbol("pp1_ic_spearman", "rk", keys="symbol, trade_date", needs=RANKS, ic_spearman="corr(CAST(rs AS DOUBLE), CAST(rr AS DOUBLE))")
-by_symbol("pp3_ic_decimated", "sig", "i % 5 = 0", ic_decimated="corr(s, rf)")
-DAILY = PANEL + ", ic AS (SELECT symbol, trade_date, corr(s, rf) AS ic FROM sig GROUP BY 1, 2 HAVING count(*) > 5)"
+by_symbol("pp3_ic_decimated", "sig", "i % @step@ = 0", ic_decimated="corr(s, rf)")
+DAILY = PANEL + ", ic AS (SELECT symbol, trade_date, corr(s, rf) AS ic FROM sig GROUP BY 1, 2 HAVING count(*) > @least@)"
 by_symbol("pp4_ic_series", "ic", needs=DAILY, ic_volatility="stddev_samp(ic)", ic_information_ratio="avg(ic) / stddev_samp(ic)", pct_positive_ic="avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END)", ic_skewness=lambda d: d.skew("ic"), ic_kurtosis=lambda d: d.kurt("ic"))
 by_symbol("pp6_quantile_spread", "rk", needs=RANKS, decile_spread_top_bottom_bps="1e4 * (avg(CASE WHEN dec = 10 THEN rf END) - avg(CASE WHEN dec = 1 THEN rf END))", hit_rate_top_quantile="avg(CASE WHEN dec = 10 THEN CAST(up AS DOUBLE) END)")
 PLANS["pp7_monotonicity"] = (lambda d: "SELECT symbol, round(corr(CAST(dec AS DOUBLE), CAST(k AS DOUBLE)), 6) AS score FROM (SELECT symbol, dec, rank() OVER (PARTITION BY symbol ORDER BY m) AS k FROM (SELECT symbol, dec, avg(rf) AS m FROM rk GROUP BY 1, 2) a) b GROUP BY symbol", RANKS)
@@ -163,35 +165,40 @@ PNL = PANEL + ", pnl AS (SELECT symbol, trade_date, sum(sign(s) * rf) * 1e4 AS p
 by_symbol("rt1_returns", "pnl", needs=PNL, gross_mean_return_bps_daily="avg(p)", return_vol_annualized="stddev_samp(p) * sqrt(365.0)")
 PLANS["rt4_var_es"] = (lambda d: "SELECT symbol, round(max(v), 6) AS var_95_daily, round(avg(CASE WHEN p <= v THEN p END), 6) AS es_95_daily FROM pnl JOIN (SELECT symbol AS s2, " + d.pct("p", 0.05) + " AS v FROM pnl GROUP BY symbol) k ON symbol = s2 GROUP BY symbol", PNL)
 by_symbol("rb2_walk_forward", "ic", needs=DAILY, stability="avg(ic) / stddev_samp(ic)")
-PLANS["rb5_decimated_grid"] = (lambda d: "SELECT symbol, round(abs(avg(sign(ic))), 6) AS agreement FROM (SELECT symbol, i % 5 AS o, corr(s, rf) AS ic FROM sig GROUP BY 1, 2) a GROUP BY symbol", PANEL)
+PLANS["rb5_decimated_grid"] = (lambda d: "SELECT symbol, round(abs(avg(sign(ic))), 6) AS agreement FROM (SELECT symbol, i % @step@ AS o, corr(s, rf) AS ic FROM sig GROUP BY 1, 2) a GROUP BY symbol", PANEL)
 PLANS["bk1_book"] = (lambda d: "SELECT a.symbol, round(corr(a.p, b.p), 6) AS correlation_to_book_pnl, round(regr_slope(a.p, b.p), 6) AS beta_to_book FROM pnl a JOIN (SELECT trade_date, sum(p) AS p FROM pnl GROUP BY 1) b ON a.trade_date = b.trade_date GROUP BY a.symbol", PNL)
 QUOTES = PANEL + ", quotes AS (SELECT *, x - (1 + trade_id % 5) * 0.01 AS bid, CASE WHEN trade_id % 97 = 0 THEN x - 0.1 ELSE x + (1 + trade_id % 3) * 0.01 END AS ask FROM panel)"
 by_symbol("dq4_quotes", "quotes", needs=QUOTES, pct_crossed_markets="avg(CASE WHEN bid > ask THEN 1.0 ELSE 0.0 END)", avg_spread_bps="avg((ask - bid) / x * 1e4)", median_spread_bps=lambda d: d.pct("(ask - bid) / x * 1e4", 0.5))
 by_symbol("ex2_spreads", "quotes", "xf IS NOT NULL", needs=QUOTES, avg_effective_spread_bps="avg(2 * sign * (x - (bid + ask) / 2) / x * 1e4)", avg_realized_spread_bps="avg(2 * sign * (x - xf) / x * 1e4)")
 
 
-def composed(body: str, needs, d) -> str:
-    """``body`` with the relations that it needs before it."""
+def composed(body: str, needs, d, **parameters) -> str:
+    """``body`` with the relations that it needs before it, and PARAMETERS or other values in its open places."""
+    if unknown := set(parameters) - set(PARAMETERS):
+        raise ValueError(f"no such parameter: {', '.join(sorted(unknown))}")
     needs = needs["spark" if d is Spark else "duck"] if isinstance(needs, dict) else needs(d) if callable(needs) else needs
     parts = [p for p in ([TAPE_DUCK] if d is Duck else []) + [needs.strip().strip(",")] if p]
-    return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\de])", r"\1e0", (f"WITH {', '.join(parts)} " if parts else "") + body)  # doubles, not decimals
+    whole = (f"WITH {', '.join(parts)} " if parts else "") + body
+    for name, value in (PARAMETERS | parameters).items():
+        whole = whole.replace(f"@{name}@", str(int(value)))
+    return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\de])", r"\1e0", whole)  # doubles, not decimals
 
 
-def text(name: str, d) -> str:
+def text(name: str, d, **parameters) -> str:
     f, needs = PLANS[name]
-    return composed(f(d), needs, d)
+    return composed(f(d), needs, d, **parameters)
 
 
-def relation(trades: DataFrame, body: str, needs=PANEL) -> DataFrame:
+def relation(trades: DataFrame, body: str, needs=PANEL, **parameters) -> DataFrame:
     """A query on the relations of ``needs`` over any trades table (the columns of a tape)."""
-    body = composed(body, needs, Spark).replace("{", "{{").replace("}", "}}").replace("FROM tape", "FROM {tape}")
+    body = composed(body, needs, Spark, **parameters).replace("{", "{{").replace("}", "}}").replace("FROM tape", "FROM {tape}")
     return trades.sparkSession.sql(body, tape=trades)
 
 
-def over(trades: DataFrame, name: str) -> DataFrame:
-    """The plan ``name`` over any trades table."""
+def over(trades: DataFrame, name: str, **parameters) -> DataFrame:
+    """The plan ``name`` over any trades table, with other values for some of PARAMETERS."""
     f, needs = PLANS[name]
-    return relation(trades, f(Spark), needs)
+    return relation(trades, f(Spark), needs, **parameters)
 
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
