@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
@@ -63,8 +66,17 @@ query("rb4_bootstrap_sharpe", _panel(f"{_PATHS}, c AS (SELECT symbol, rep, sum(w
 query("rt5_probability_of_ruin", _panel(f"{_PATHS}, c AS (SELECT symbol, rep, sum(w * p) OVER (PARTITION BY symbol, rep ORDER BY trade_date) AS path FROM w), e AS (SELECT symbol, rep, min(path) < -2000 AS ruined FROM c GROUP BY 1, 2) SELECT symbol, round(avg(ruined::INTEGER), 6) AS probability_of_ruin FROM e GROUP BY 1"))(lambda d: C.probability_of_ruin(C.daily_pnl(d), 2000.0))
 query("rb6_track_record", _panel("""m AS (SELECT symbol, avg(p) / stddev_samp(p) AS sr, avg(pow(p, 3)) - 3 * avg(p) * avg(p * p) + 2 * pow(avg(p), 3) AS m3, avg(pow(p, 4)) - 4 * avg(p) * avg(pow(p, 3)) + 6 * avg(p) * avg(p) * avg(p * p) - 3 * pow(avg(p), 4) AS m4, var_pop(p) AS v FROM pnl GROUP BY 1)
   SELECT symbol, round(CASE WHEN sr > 0 THEN 1 + (1 - m3 / pow(v, 1.5) * sr + (m4 / (v * v) - 1) / 4 * sr * sr) * pow(1.6448536269514722 / sr, 2) END, 4) AS minimum_track_record_length FROM m"""), digits=4)(lambda d: C.track_record(C.daily_pnl(d)))
-query("rb6_deflated_sharpe", None)(lambda d: C.deflated_sharpe(C.daily_pnl(d), 20, 0.01))
-query("bk4_principal_component", None)(lambda d: C.principal_component(C.daily_pnl(d).withColumnRenamed("symbol", "alpha_id")))
+_BEST = math.sqrt(0.01) * ((1 - 0.5772156649015329) * NormalDist().inv_cdf(1 - 1 / 20) + 0.5772156649015329 * NormalDist().inv_cdf(1 - 1 / (20 * math.e)))
+#: The normal distribution by Simpson's rule over 2,000 steps from 0 to z.
+query("rb6_deflated_sharpe", _panel(f"""m AS (SELECT symbol, count(*) AS n, avg(p) / stddev_samp(p) AS sr, (avg(pow(p, 3)) - 3 * avg(p) * avg(p * p) + 2 * pow(avg(p), 3)) / pow(var_pop(p), 1.5) AS sk, (avg(pow(p, 4)) - 4 * avg(p) * avg(pow(p, 3)) + 6 * avg(p) * avg(p) * avg(p * p) - 3 * pow(avg(p), 4)) / pow(var_pop(p), 2) AS ku FROM pnl GROUP BY 1),
+  z AS (SELECT symbol, (sr - {_BEST!r}::DOUBLE) * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr) AS z FROM m), i AS (SELECT symbol, z, unnest(range(0, 2001)) AS k FROM z)
+  SELECT symbol, round(0.5::DOUBLE + sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z * k / 2000, 2) / 2)) * any_value(z) / 6000 / sqrt(2 * pi()), 6) AS deflated_sharpe FROM i GROUP BY symbol"""))(lambda d: C.deflated_sharpe(C.daily_pnl(d), 20, 0.01))
+#: The first eigenvector by 2,000 rounds of power iteration.
+query("bk4_principal_component", _panel("""cov AS (SELECT a.symbol AS a, b.symbol AS b, covar_samp(a.p, b.p) AS c FROM pnl a JOIN pnl b USING (trade_date) GROUP BY 1, 2), mat AS (SELECT list(r ORDER BY a) AS m, list(a ORDER BY a) AS names FROM (SELECT a, list(c ORDER BY b) AS r FROM cov GROUP BY a)),
+  it AS (SELECT 0 AS k, list_transform(range(1, len(m) + 1), lambda i: 1.0::DOUBLE / i) AS v FROM mat UNION ALL SELECT k + 1, list_transform(u, lambda y: y / sqrt(list_dot_product(u, u))) FROM (SELECT k, list_transform(m, lambda r: list_dot_product(r, v)) AS u FROM it, mat WHERE k < 2000) w),
+  e AS (SELECT names, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS top, (SELECT sum(c) FROM cov WHERE a = b) AS whole FROM it, mat WHERE k = 2000),
+  l AS (SELECT unnest(names) AS alpha_id, unnest(v) AS x, list_sum(list_filter(v, lambda y: abs(y) = list_max(list_transform(v, lambda w: abs(w))))) AS big, top / whole AS share FROM e)
+  SELECT alpha_id, round(x * sign(big), 6) AS pca_loading_on_first_component, round(share, 6) AS pca_explained_variance_share FROM l""").replace("WITH ", "WITH RECURSIVE ", 1))(lambda d: C.principal_component(C.daily_pnl(d).withColumnRenamed("symbol", "alpha_id")))
 query("pp2_kendall_tau", _panel("SELECT a.symbol, a.trade_date, round(sum(sign(a.s - b.s) * sign(a.rf - b.rf)) / count(*), 6) AS ic_kendall_tau FROM sig a JOIN sig b ON a.symbol = b.symbol AND a.trade_date = b.trade_date AND a.i < b.i GROUP BY 1, 2"))(lambda d: C.kendall_tau(d).where("ic_kendall_tau is not null"))
 query("sd6_complexity", None)(C.complexity)
 query("tc4_capacity", f"""WITH {PANEL}, day AS (SELECT symbol, trade_date, sum(q) AS dq FROM f GROUP BY 1, 2), j AS (SELECT sig.*, q / dq AS part FROM sig JOIN day USING (symbol, trade_date)),
