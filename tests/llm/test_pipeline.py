@@ -177,6 +177,23 @@ def test_warc_equals_plain_hashing(spark, tmp_path):
     assert warc.op7(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_records_are_handed_over_in_small_parts():
+    """A batch of many pages is not held as a whole: its records come in parts, in order, each page's digest its own."""
+    import pyarrow as pa
+
+    from tickloom.llm import warc
+
+    html = ["é" * 150_000 + str(i) for i in range(60)] + [""]
+    n = len(html)
+    batch = pa.RecordBatch.from_pydict({"row": [f"r{i}" for i in range(n)], "page_id": [str(i) for i in range(n)], "url": ["http://h/x"] * n, "html": html, "key": ["k"] * n, "bytes": [len(h.encode()) for h in html], "keeper": pa.array([None] * n, pa.string())})
+    parts = list(warc.records_of(iter([batch, batch.slice(0, 0)])))
+    assert len(parts) > 5 and max(p.nbytes for p in parts) < 3 << 20
+    text = warc.END.join(v for p in parts for v in p.column(0).to_pylist()) + warc.END
+    got = [(h["warc-record-id"], h["warc-payload-digest"], len(b)) for h, b in warc.parse(text.encode()) if h["warc-type"] == "response"]
+    head = got[-1][2]
+    assert got == [(f"<urn:capture:r{i}:{i}>", f"sha1:{warc.payload_digest(h.encode())}", head + len(h.encode())) for i, h in enumerate(html)]
+
+
 def test_fingerprints_equal_plain_edits_and_similarity(spark):
     """Edited texts and digests exactly; likeness within what the number of samples allows."""
     from tickloom.llm import fingerprints

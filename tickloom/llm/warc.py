@@ -23,6 +23,8 @@ from . import common
 END = "\r\n\r\n"
 #: Smallest payload for which equal ones become revisits; bytes of payload in one archive file: usual and most.
 LEAST_BYTES, FILE_BYTES, MOST_BYTES = 0, 16 << 20, 1 << 29
+#: Bytes of records that a task gathers before it hands them to the writer.
+HELD_BYTES = 1 << 21
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -59,29 +61,39 @@ def captures(pages: DataFrame) -> DataFrame:
     return rows.drop("rid", "copy").join(kept, "key", "left")
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            out = []
-            for p in batch.to_pylist():
-                n, uri, html = f"{p['row']}:{p['page_id']}", p["url"], p["html"]
-                revisit = p["keeper"] is not None and p["keeper"] != n
-                digest = payload_digest(html.encode())
-                host = uri.split("/")[2] if uri.count("/") >= 2 else ""
-                head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-                here = f"capture:{n}"
-                out.append(record("request", f"request:{n}", uri, f"GET {uri} HTTP/1.1\r\nHost: {host}\r\n\r\n", WARC_Concurrent_To=f"<urn:{here}>", Content_Type="application/http;msgtype=request"))
-                if revisit:
-                    out.append(record("revisit", here, uri, head, WARC_Payload_Digest=f"sha1:{digest}", WARC_Refers_To=f"<urn:capture:{p['keeper']}>", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", Content_Type="application/http;msgtype=response"))
-                else:
-                    out.append(record("response", here, uri, head + html, WARC_Payload_Digest=f"sha1:{digest}", Content_Type="application/http;msgtype=response"))
-                out.append(record("metadata", f"metadata:{n}", uri, f"payloadBytes: {len(html.encode())}\r\npageId: {n}\r\n", WARC_Concurrent_To=f"<urn:{here}>", Content_Type="application/warc-fields"))
+def records_of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The three records of each capture. However many and large the pages of a batch are, one of them and HELD_BYTES of records
+    are held as Python objects."""
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+    for batch in frames:
+        out, held = [], 0
+        for at in range(batch.num_rows):
+            p = {name: batch.column(name)[at].as_py() for name in ("row", "page_id", "url", "html", "keeper")}
+            n, uri, html = f"{p['row']}:{p['page_id']}", p["url"], p["html"]
+            revisit = p["keeper"] is not None and p["keeper"] != n
+            payload = html.encode()
+            size, digest = len(payload), payload_digest(payload)
+            host = uri.split("/")[2] if uri.count("/") >= 2 else ""
+            here = f"capture:{n}"
+            out.append(record("request", f"request:{n}", uri, f"GET {uri} HTTP/1.1\r\nHost: {host}\r\n\r\n", WARC_Concurrent_To=f"<urn:{here}>", Content_Type="application/http;msgtype=request"))
+            if revisit:
+                out.append(record("revisit", here, uri, head, WARC_Payload_Digest=f"sha1:{digest}", WARC_Refers_To=f"<urn:capture:{p['keeper']}>", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", Content_Type="application/http;msgtype=response"))
+            else:
+                out.append(record("response", here, uri, head + html, WARC_Payload_Digest=f"sha1:{digest}", Content_Type="application/http;msgtype=response"))
+            out.append(record("metadata", f"metadata:{n}", uri, f"payloadBytes: {size}\r\npageId: {n}\r\n", WARC_Concurrent_To=f"<urn:{here}>", Content_Type="application/warc-fields"))
+            held += size + 1000
+            if held >= HELD_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                out, held = [], 0
+        if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
+
+def write_archives(pages: DataFrame, path: str) -> None:
     size = pages.select(F.octet_length("html").alias("n")).agg(F.avg("n"), F.max("n")).first()
     # three records a page; by the mean page a file has FILE_BYTES, and however large its pages are no more than MOST_BYTES
     pages_each = max(1, min(10_000, int(FILE_BYTES / max(size[0] or 1, 1)), int(MOST_BYTES / max(size[1] or 1, 1))))
-    captures(pages).mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * pages_each).text(path)
+    captures(pages).mapInArrow(records_of, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * pages_each).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict, bytes]]:
