@@ -242,6 +242,48 @@ def test_leaks_recall_on_edited_items(spark):
     assert got <= want
 
 
+def _basis_of(monkeypatch, docs, bench):
+    """What ``leaks`` searches with."""
+    from tickloom.llm import leaks
+
+    got = []
+    monkeypatch.setattr(leaks, "search", lambda docs, items, weight, basis: got.append((weight, basis)) or docs.limit(0))
+    leaks.leaks(docs, bench)
+    return got[-1]
+
+
+def test_leak_basis_is_of_all_passages_and_items(spark, monkeypatch):
+    """More passages than were drawn once, each text with a word of its own, and more items than one block: no word is missing."""
+    from tickloom.llm import leaks
+
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", 2)
+    rows = [(i, f"{prose(i % 50, 60)} own{i}") for i in range(15_000)]
+    items = [(i, f"{prose(i, 20)} item{i}") for i in range(5)]
+    assert sum(-(-len(t) // 96) for _, t in rows) > 50_000
+    _, basis = _basis_of(monkeypatch, spark.createDataFrame(rows, "doc_id long, text string").repartition(6), spark.createDataFrame(items, "item_id long, text string"))
+    term = np.unique(np.concatenate([g.term for g in leaks.groups([f"own{i}" for i in range(15_000)] + [f"item{i}" for i in range(5)])]))
+    assert len(term) > 10_000 and (np.abs(basis[term]).sum(axis=1) > 0).all()
+
+
+def test_leak_basis_equals_a_plain_decomposition(spark, monkeypatch):
+    """Passages' products are (A A^T)^(1/2) where the rank is full; words in most passages, passages of one word, empty texts."""
+    from tickloom.llm import leaks
+
+    texts = [f"{prose(i, 5 + i)} the the {prose(i + 1, i % 7)}" for i in range(45)] + ["the", "", None, "...", "one"]
+    item = prose(500, 30)
+    weight, basis = _basis_of(monkeypatch, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    count = []
+    for g in leaks.groups(texts + [item]):
+        for a, b in zip(g.at[:-1], g.at[1:]):
+            count.append(np.bincount(g.term[a:b], minlength=leaks.FEATURES))
+    a = np.array(count) * weight.astype(float)
+    assert (a > 0).sum(axis=0).max() > leaks.OFTEN and 20 < len(a) <= leaks.RANK
+    value, vector = np.linalg.eigh(a @ a.T)
+    root = (vector * np.sqrt(np.maximum(value, 0))) @ vector.T
+    mine = np.array(count) @ basis.astype(float)
+    assert np.abs(mine @ mine.T - root).max() < 0.02 * np.abs(root).max()
+
+
 def test_leak_stage_judges_rows_by_their_text(spark, tmp_path):
     from tickloom.llm.leaks import leak_stage
 

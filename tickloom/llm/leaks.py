@@ -3,9 +3,8 @@
 Texts are cut into passages of WINDOW words; words hash to FEATURES terms. Weights are tf * idf; document
 frequencies count every passage of the corpus. A distributed randomised SVD gives the latent basis: each task
 adds A^T(A G) of its passages for a fixed Gaussian G, the driver takes the eigenvectors of the Nystroem
-approximation of A^T A. (The basis is the index's rotation and is fitted on a bounded sample, BASIS_PASSAGES;
-every passage of every text is indexed and searched.) Items, or overlapping parts of long ones, are the queries; each text
-passage whose cosine with one reaches CANDIDATE and which has enough of the item's weight in terms is a candidate, which is
+approximation of A^T A. (Every passage of every text and item is in that sum, as every one is counted, indexed and searched.)
+Items, or overlapping parts of long ones, are the queries; each text passage whose cosine with one reaches CANDIDATE and which has enough of the item's weight in terms is a candidate, which is
 confirmed on the words: the longest common subsequence of the item and the surrounding words, and a check of the item's
 answer (its closing words).
 """
@@ -27,8 +26,10 @@ WINDOW = 16
 #: passage at least, which has a cosine of about 0.5 with a query of so many words.
 QUERY, STEP = 40, 20
 FEATURES, RANK = 1 << 15, 128
-BASIS_PASSAGES = 40_000
-BASIS_TASKS = 8
+#: Passages whose products are added up at once; tasks that add up (as many as cores, if that is more), each with a sum of its own.
+GRAM_PASSAGES, BASIS_TASKS = 4096, 12
+#: Passages with a term beyond which a term's are added up by themselves.
+OFTEN = 40
 CANDIDATE = 0.4
 #: A candidate passage shares words of the item that weigh as much as this many of the item's mean word, or half the item.
 SHARED = 6
@@ -91,45 +92,56 @@ def idf(docs: DataFrame) -> np.ndarray:
     return np.log1p((total + 1) / (df[:FEATURES] + 1)).astype(np.float32)
 
 
+def added_up(rows: np.ndarray, at: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of each group, ``length`` entries of ``at`` from ``first`` on (one or more), the sum of the ``rows`` they name."""
+    order = np.argsort(-length, kind="stable")
+    start, left = first[order], -length[order]
+    out = rows[at[start]]
+    for k in range(1, int(length.max(initial=0))):  # the k-th entries of all groups that have as many
+        n = int(np.searchsorted(left, -k))
+        out[:n] += rows[at[start[:n] + k]]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def project(term: np.ndarray, first: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Unit vectors of passages, whose words ``term`` stand one after the other, each passage from ``first`` on."""
-    out, length = np.zeros((len(first), basis.shape[1]), np.float32), np.diff(np.r_[first, len(term)])
-    for k in range(int(length.max(initial=0))):  # the k-th words of all passages at once
-        i = np.flatnonzero(length > k)
-        if len(i) == len(first):
-            out += basis[term[first + k]]
-        else:
-            out[i] += basis[term[first[i] + k]]
+    out = added_up(basis, term, first, np.diff(np.r_[first, len(term)]))
     return out / np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out))[:, None], 1e-9)
 
 
 def _gram(texts_of, g: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """A^T(A G) of the passages of some lists of texts."""
-    z = np.zeros(g.shape, np.float32)
+    z, weighted = np.zeros(g.shape), g * weight[:, None]
     for texts in texts_of:
         for group in groups(texts):
-            for lo in range(0, int(group.base[-1]), 4 * PASSAGES):
-                a, b = group.at[lo], group.at[min(lo + 4 * PASSAGES, int(group.base[-1]))]
-                t, w = group.term[a:b], weight[group.term[a:b]][:, None]
-                p = group.passage[a:b] - lo
-                y = np.add.reduceat(g[t] * w, np.flatnonzero(np.r_[True, p[1:] != p[:-1]]), axis=0)
-                back, order = y[p] * w, np.argsort(t, kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(t[order]) > 0])
-                z[t[order][first]] += np.add.reduceat(back[order], first, axis=0)
-    return z
-
-
-def fit_basis(docs: DataFrame, items: list[str], weight: np.ndarray) -> np.ndarray:
-    """FEATURES x RANK: maps term weights to a passage's row of U S^(1/2). (In U S a few directions such as the language would
-    make all passages alike; in U an item that very many texts hold would weigh next to nothing in its own direction.)"""
+            for lo in range(0, int(group.base[-1]), GRAM_PASSAGES):
+                hi = min(lo + GRAM_PASSAGES, int(group.base[-1]))
+                a, b = group.at[lo], group.at[hi]
+                t, first = group.term[a:b], group.at[lo:hi] - a
+                y = added_up(weighted, t, first, np.diff(np.r_[first, b - a]))
+                order = np.argsort(t, kind="stable")
+                passage, t = group.passage[a:b][order] - lo, t[order]
+                first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+                n = np.diff(np.r_[first, len(t)])
+                few = n <= OFTEN
+                z[t[first[few]]] += added_up(y, passage, first[few], n[few])
+                for i in np.flatnonzero(~few):
+                    z[t[first[i]]] += y[passage[first[i] : first[i] + n[i]]].sum(axis=0)
+    return z * weight[:, None]
+
+
+def fit_basis(texts: DataFrame, weight: np.ndarray) -> np.ndarray:
+    """FEATURES x RANK, of all passages of ``texts`` (text): maps term weights to a passage's row of U S^(1/2). (In U S a few
+    directions such as the language would make all passages alike; in U an item that very many texts hold would weigh next to
+    nothing in its own direction.)"""
     g = np.random.default_rng(5).standard_normal((FEATURES, RANK + 16)).astype(np.float32)
-    shipped = docs.sparkSession.sparkContext.broadcast((g, weight))
-    n = docs.agg(F.sum(F.ceil(F.coalesce(F.length("text"), F.lit(0)) / (6 * WINDOW)))).first()[0] or 1
-    draw = F.when(F.col("key").isNull(), F.rand(3)).otherwise(F.pmod(F.xxhash64(F.lit(3), "key", "text"), F.lit(1_000_000)) / 1e6)
-    some = docs.where(draw < min(1.0, BASIS_PASSAGES / n)).select("text")
+    sc = texts.sparkSession.sparkContext
+    shipped, tasks = sc.broadcast((g, weight)), max(BASIS_TASKS, sc.defaultParallelism)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = _gram((b.column(0).to_pylist() for b in common.slices(frames)), *shipped.value)
+        z = _gram((b.column(0).to_pylist() for b in common.slices(frames)), *shipped.value).astype(np.float32)
         used = np.flatnonzero(np.abs(z).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([z[i].tobytes() for i in used], pa.binary())], ["term", "row"])
 
@@ -152,10 +164,10 @@ def fit_basis(docs: DataFrame, items: list[str], weight: np.ndarray) -> np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["term", "row"])
 
     schema = "term long, row binary"
-    parts = some.coalesce(BASIS_TASKS).mapInArrow(run, schema).repartition(BASIS_TASKS, "term").sortWithinPartitions("term").mapInArrow(added, schema)
-    z = _gram([items], g, weight)
+    parts = texts.select("text").coalesce(tasks).mapInArrow(run, schema).repartition(BASIS_TASKS, "term").sortWithinPartitions("term").mapInArrow(added, schema)
+    z = np.zeros(g.shape, np.float32)
     for r in parts.toLocalIterator():
-        z[r["term"]] += np.frombuffer(r["row"], np.float32)
+        z[r["term"]] = np.frombuffer(r["row"], np.float32)
     shipped.destroy()
     core = (g.T @ z).astype(float)
     value, vector = np.linalg.eigh((core + core.T) / 2)
@@ -252,17 +264,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key=None) -> DataFrame:
     repeated documents give a row each; texts of any length are read whole; empty tables give no rows.
     """
     slim = docs.select((key if key is not None else F.col("doc_id")).cast("long").alias("key"), "text")
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
-    weight, basis, out, block = idf(slim), None, None, []
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
+    weight, out, block = idf(slim), None, []
+    basis = fit_basis(slim.select("text").unionByName(items.select("text")), weight)
 
     def one(block):
-        nonlocal basis, out
-        if basis is None:
-            basis = fit_basis(slim, [t for _, t in block], weight)
+        nonlocal out
         found = search(slim, block, weight, basis)
         out = found if out is None else out.unionByName(found)
 
-    for r in items.toLocalIterator():
+    for r in items.orderBy("item_id", "text").toLocalIterator():
         block.append((r[0], r[1]))
         if len(block) == ITEM_BLOCK:
             one(block)
