@@ -284,6 +284,26 @@ def test_leak_basis_equals_a_plain_decomposition(spark, monkeypatch):
     assert np.abs(mine @ mine.T - root).max() < 0.02 * np.abs(root).max()
 
 
+def test_leak_search_finds_what_all_pairs_find(spark, monkeypatch):
+    """Against the search of every passage with every item (no cosine asked for), items with a fifth of their words replaced; also a
+    text without words and one whose words are in no item."""
+    from tickloom.llm import leaks
+
+    r, rows = random.Random(3), [(0, ""), (1, "..."), (2, "none of this")]
+    items = [(k, prose(7000 + k, 16 + k)) for k in range(30)] + [(99, "")]
+    for i in range(3, 400):
+        w = items[i % 30][1].split()
+        for at in r.sample(range(len(w)), len(w) // 5):
+            w[at] = f"other{r.randrange(300)}"
+        rows.append((i, f"{prose(i, r.randint(0, 40))} {' '.join(w)} {prose(2 * i, r.randint(0, 40))}"))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: {(x["doc_id"], x["item_id"]) for x in leaks.leaks(docs, bench).collect()}
+    got = found()
+    monkeypatch.setattr(leaks, "CANDIDATE", -2.0)
+    every = found()
+    assert len(every) > 350 and got <= every and len(got) >= 0.99 * len(every)
+
+
 def test_leak_stage_judges_rows_by_their_text(spark, tmp_path):
     from tickloom.llm.leaks import leak_stage
 

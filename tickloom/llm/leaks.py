@@ -30,7 +30,7 @@ FEATURES, RANK = 1 << 15, 128
 GRAM_PASSAGES, BASIS_TASKS = 4096, 12
 #: Passages with a term beyond which a term's are added up by themselves.
 OFTEN = 40
-CANDIDATE = 0.4
+CANDIDATE = 0.35
 #: A candidate passage shares words of the item that weigh as much as this many of the item's mean word, or half the item.
 SHARED = 6
 #: An item is found if this share of its words is a common subsequence, or the lower one with the answer found.
@@ -105,10 +105,13 @@ def added_up(rows: np.ndarray, at: np.ndarray, first: np.ndarray, length: np.nda
     return back
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v))[:, None], 1e-9)
+
+
 def project(term: np.ndarray, first: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Unit vectors of passages, whose words ``term`` stand one after the other, each passage from ``first`` on."""
-    out = added_up(basis, term, first, np.diff(np.r_[first, len(term)]))
-    return out / np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out))[:, None], 1e-9)
+    return unit(added_up(basis, term, first, np.diff(np.r_[first, len(term)])))
 
 
 def _gram(texts_of, g: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -218,21 +221,28 @@ def search(docs: DataFrame, items: list[tuple[int, str]], weight: np.ndarray, ba
         weight, basis, q, owner, words, ids, packed, need = shipped.value
         has = np.unpackbits(packed, axis=1).view(bool)
 
+        hold = weight * has.any(axis=0)
+        least = 0.999 * min(need[owner], default=0)
+
         def candidates(g: Group) -> Iterator[tuple[int, int]]:
             """(passage, item) pairs."""
-            n = int(g.base[-1])
-            for lo in range(0, n if len(q) else 0, PASSAGES):
-                hi = min(lo + PASSAGES, n)
-                a, b = g.at[lo], g.at[hi]
-                term, first = g.term[a:b], g.at[lo:hi] - a
-                c, p = np.nonzero(q @ project(term, first, basis).T >= CANDIDATE)
+            if not len(q) or not len(g.term):
+                return
+            # a passage whose words of any item weigh less than what each item asks for is no candidate of one
+            held = np.add.reduceat(hold[g.term], g.at[:-1])
+            able = np.flatnonzero(held >= least)
+            for lo in range(0, len(able), PASSAGES):
+                some = able[lo : lo + PASSAGES]
+                first, length = g.at[some], g.at[some + 1] - g.at[some]
+                c, p = np.nonzero(q @ unit(added_up(basis, g.term, first, length)).T >= CANDIDATE)
                 pair = np.unique(p * len(words) + owner[c])
                 p, k = pair // len(words), pair % len(words)
-                spot = first[p][:, None] + np.arange(WINDOW)
-                inside = spot < np.r_[first, b - a][p + 1][:, None]
-                t = term[np.minimum(spot, len(term) - 1)]
+                fits = held[some[p]] >= 0.999 * need[k]
+                p, k = p[fits], k[fits]
+                inside = np.arange(WINDOW) < length[p][:, None]
+                t = g.term[np.minimum(first[p][:, None] + np.arange(WINDOW), len(g.term) - 1)]
                 good = (weight[t] * (has[k[:, None], t] & inside)).sum(axis=1) >= need[k]
-                yield from zip((p[good] + lo).tolist(), k[good].tolist())
+                yield from zip(some[p[good]].tolist(), k[good].tolist())
 
         for batch in common.slices(frames):
             keys, out = batch.column(0).to_pylist(), {}
