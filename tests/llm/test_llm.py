@@ -314,6 +314,46 @@ def test_leak_stage_judges_rows_by_their_text(spark, tmp_path):
     assert sorted(x["_key"] for x in leak_stage(spark, docs, str(tmp_path)).collect()) == [1, 2, 5, 6]
 
 
+def test_leak_stage_learns_from_all_rows(spark, tmp_path, monkeypatch):
+    """As the pipeline calls it, with null and repeated ids: no row's own word is missing in the basis."""
+    from tickloom.llm import leaks
+
+    spark.createDataFrame([(1, f"{prose(1, 20)} item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None if i % 3 == 0 else i // 4, f"{prose(i % 50, 60)} own{i}") for i in range(15_000)]
+    got = []
+    monkeypatch.setattr(leaks, "search", lambda docs, items, weight, basis: got.append(basis) or docs.limit(0))
+    assert leaks.leak_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(6), str(tmp_path)).count() == 15_000
+    term = np.unique(np.concatenate([g.term for g in leaks.groups([f"own{i}" for i in range(15_000)] + ["item"])]))
+    assert len(term) > 10_000 and (np.abs(got[0][term]).sum(axis=1) > 0).all()
+
+
+def test_leak_stage_finds_items_among_words_of_one_topic(spark, tmp_path):
+    """Short items of words that other texts hold too, a fifth replaced, over passages' ends: what stands around them decides most of a
+    passage's direction."""
+    from tickloom.llm import leaks
+
+    r, items, rows = random.Random(3), [], []
+    topics = [[f"t{a}x{k}" for k in range(25)] for a in range(8)]
+    say = lambda words, n: [r.choice(words) for _ in range(n)]
+    own = [f"own{k}" for k in range(60)]
+    items = [say(own, 16 + k % 3) for k in range(40)]
+    for i in range(400):
+        words, item = topics[r.randrange(8)], list(items[i % 40])
+        for at in r.sample(range(len(item)), len(item) // 5):
+            item[at] = r.choice(words)
+        rows.append((i, " ".join(say(words, r.randint(0, 40)) + item + say(words, r.randint(16, 40)))))
+    rows += [(1000 + i, " ".join(say(own, 90))) for i in range(150)] + [(2000 + i, " ".join(say(topics[i % 8], 90))) for i in range(80)]
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {x["doc_id"] for x in leaks.leak_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()}
+
+    def holds(text):
+        w = text.split()
+        return any(leaks.lcs(t, w[max(0, at - len(t)) : at + leaks.WINDOW + len(t)]) >= leaks.FOUND * len(t) for t in items for at in range(0, len(w), leaks.WINDOW))
+
+    assert sum(holds(t) for i, t in rows if i < 400) == 400 and not [i for i, t in rows if i in kept and holds(t)]
+    assert kept >= set(range(2000, 2080))
+
+
 def test_secret_spans():
     from tickloom.llm.secrets import base_spans, written_spans
 

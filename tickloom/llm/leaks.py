@@ -30,13 +30,14 @@ FEATURES, RANK = 1 << 15, 128
 GRAM_PASSAGES, BASIS_TASKS = 4096, 12
 #: Passages with a term beyond which a term's are added up by themselves.
 OFTEN = 40
-CANDIDATE = 0.35
+#: Of a passage and a query. A guard with room, which costs little: the README has what is lost at higher ones.
+CANDIDATE = 0.1
 #: A candidate passage shares words of the item that weigh as much as this many of the item's mean word, or half the item.
 SHARED = 6
 #: An item is found if this share of its words is a common subsequence, or the lower one with the answer found.
 FOUND, FOUND_WITH_ANSWER, ANSWER = 0.75, 0.55, 0.6
-#: Items searched in one pass over the corpus; passages that are multiplied with all their queries at once.
-ITEM_BLOCK, PASSAGES = 4000, 512
+#: Items searched in one pass over the corpus; passages that are multiplied with all their queries at once, and products of those.
+ITEM_BLOCK, PASSAGES, PRODUCTS = 4000, 512, 1 << 19
 
 
 #: ASCII characters other than letters and digits part words, so that marks added to words change nothing.
@@ -203,26 +204,28 @@ def confirmed(item: list[bytes], around: list[bytes]) -> tuple[bool, float, floa
 
 def search(docs: DataFrame, items: list[tuple[int, str]], weight: np.ndarray, basis: np.ndarray) -> DataFrame:
     """(key, item_id, lcs_share, answer_share, word_at): confirmed items of each row of ``docs`` (key, text); a written table."""
-    words, query, owner, has = [], [], [], np.zeros((len(items), FEATURES), bool)
+    words, listed, query, owner, has = [], [], [], [], np.zeros((FEATURES, len(items)), bool)
     for g in groups([t for _, t in items]):
         for i in range(len(g.cut) - 1):
             a, b = int(g.cut[i]), int(g.cut[i + 1])
             t = g.term[a:b]
-            has[len(words), t] = True
+            has[t, len(words)] = True
             for at in sorted({*range(0, max(1, len(t) - QUERY + 1), STEP), max(0, len(t) - QUERY)}) if len(t) else ():
                 query.append(project(t[at : at + QUERY], np.zeros(1, np.int64), basis)[0])
                 owner.append(len(words))
             words.append(g.words(a, b))
-    mean = (has @ weight) / np.maximum(has.sum(axis=1), 1)
+            listed.append(t)
+    mean = (weight @ has) / np.maximum(has.sum(axis=0), 1)
     need = 0.999 * np.minimum(SHARED * mean, np.array([len(w) for w in words], float) * mean / 2)
-    shipped = docs.sparkSession.sparkContext.broadcast((weight, basis, np.array(query, np.float32).reshape(-1, basis.shape[1]), np.array(owner, np.int64), words, [i for i, _ in items], np.packbits(has, axis=1), need))
+    shipped = docs.sparkSession.sparkContext.broadcast((weight, basis, np.array(query, np.float32).reshape(-1, basis.shape[1]), np.array(owner, np.int64), words, listed, [i for i, _ in items], np.packbits(has, axis=1), need))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, basis, q, owner, words, ids, packed, need = shipped.value
-        has = np.unpackbits(packed, axis=1).view(bool)
+        weight, basis, q, owner, words, listed, ids, packed, need = shipped.value
+        has = np.unpackbits(packed, axis=1, count=len(words)).view(bool)
 
-        hold = weight * has.any(axis=0)
-        least = 0.999 * min(need[owner], default=0)
+        hold = weight * has.any(axis=1)
+        here = np.zeros(FEATURES, bool)
+        least, at_once = 0.999 * min(need[owner], default=0), max(1, min(PASSAGES, PRODUCTS // max(1, len(q))))
 
         def candidates(g: Group) -> Iterator[tuple[int, int]]:
             """(passage, item) pairs."""
@@ -231,18 +234,23 @@ def search(docs: DataFrame, items: list[tuple[int, str]], weight: np.ndarray, ba
             # a passage whose words of any item weigh less than what each item asks for is no candidate of one
             held = np.add.reduceat(hold[g.term], g.at[:-1])
             able = np.flatnonzero(held >= least)
-            for lo in range(0, len(able), PASSAGES):
-                some = able[lo : lo + PASSAGES]
+            for lo in range(0, len(able), at_once):
+                some = able[lo : lo + at_once]
                 first, length = g.at[some], g.at[some + 1] - g.at[some]
-                c, p = np.nonzero(q @ unit(added_up(basis, g.term, first, length)).T >= CANDIDATE)
+                near = unit(added_up(basis, g.term, first, length)) @ q.T >= CANDIDATE
+                t = g.term[np.minimum(first[:, None] + np.arange(WINDOW), len(g.term) - 1)]
+                w = weight[t] * (np.arange(WINDOW) < length[:, None])
+                shares = (w[:, None, :] @ has[t].astype(np.float32))[:, 0] >= need  # of each passage and item
+                p, c = np.nonzero(near & shares[:, owner])
                 pair = np.unique(p * len(words) + owner[c])
-                p, k = pair // len(words), pair % len(words)
-                fits = held[some[p]] >= 0.999 * need[k]
-                p, k = p[fits], k[fits]
-                inside = np.arange(WINDOW) < length[p][:, None]
-                t = g.term[np.minimum(first[p][:, None] + np.arange(WINDOW), len(g.term) - 1)]
-                good = (weight[t] * (has[k[:, None], t] & inside)).sum(axis=1) >= need[k]
-                yield from zip(some[p[good]].tolist(), k[good].tolist())
+                yield from zip(some[pair // len(words)].tolist(), (pair % len(words)).tolist())
+
+        def too_few(around: np.ndarray, k: int) -> bool:
+            """Whether fewer of the item's words are among those around (by their terms) than a common subsequence has to have."""
+            here[around] = True
+            n = np.count_nonzero(here[listed[k]])
+            here[around] = False
+            return n / len(words[k]) < FOUND_WITH_ANSWER
 
         for batch in common.slices(frames):
             keys, out = batch.column(0).to_pylist(), {}
@@ -250,8 +258,10 @@ def search(docs: DataFrame, items: list[tuple[int, str]], weight: np.ndarray, ba
                 for p, k in candidates(g):
                     i = int(np.searchsorted(g.base, p, "right")) - 1
                     w0, n = int(g.at[p]), len(words[k])
-                    around = g.words(max(int(g.cut[i]), w0 - n), min(int(g.cut[i + 1]), w0 + WINDOW + n))
-                    ok, share, got = confirmed(words[k], around)
+                    lo, hi = max(int(g.cut[i]), w0 - n), min(int(g.cut[i + 1]), w0 + WINDOW + n)
+                    if too_few(g.term[lo:hi], k):
+                        continue
+                    ok, share, got = confirmed(words[k], g.words(lo, hi))
                     found = (share, got, int(g.cut[i]) - w0)
                     if ok and found > out.get((g.first + i, k), (0,)):
                         out[g.first + i, k] = found
