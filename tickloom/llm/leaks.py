@@ -237,12 +237,13 @@ def search(docs: DataFrame, items: list[tuple[int, str]], weight: np.ndarray, ba
             for lo in range(0, len(able), at_once):
                 some = able[lo : lo + at_once]
                 first, length = g.at[some], g.at[some + 1] - g.at[some]
-                near = unit(added_up(basis, g.term, first, length)) @ q.T >= CANDIDATE
                 t = g.term[np.minimum(first[:, None] + np.arange(WINDOW), len(g.term) - 1)]
                 w = weight[t] * (np.arange(WINDOW) < length[:, None])
-                shares = (w[:, None, :] @ has[t].astype(np.float32))[:, 0] >= need  # of each passage and item
-                p, c = np.nonzero(near & shares[:, owner])
-                pair = np.unique(p * len(words) + owner[c])
+                shares = ((w[:, None, :] @ has[t].astype(np.float32))[:, 0] >= need)[:, owner]  # of each passage and query
+                rows = np.flatnonzero(shares.any(axis=1))
+                near = unit(added_up(basis, g.term, first[rows], length[rows])) @ q.T >= CANDIDATE
+                p, c = np.nonzero(near & shares[rows])
+                pair = np.unique(rows[p] * len(words) + owner[c])
                 yield from zip(some[pair // len(words)].tolist(), (pair % len(words)).tolist())
 
         def too_few(around: np.ndarray, k: int) -> bool:
