@@ -284,6 +284,55 @@ def test_leak_basis_equals_a_plain_decomposition(spark, monkeypatch):
     assert np.abs(mine @ mine.T - root).max() < 0.02 * np.abs(root).max()
 
 
+def test_leak_basis_adds_a_term_once_for_many_texts(monkeypatch):
+    """Texts of some megabytes: a term's row is added to the basis' sum once for each block of passages, not for each group of texts that
+    holds it; the result is a plain sum's, also of a term in most passages."""
+    from tickloom.llm import leaks
+
+    r = random.Random(4)
+    texts = [" ".join("the" if j % 20 == 0 else f"v{r.randrange(3000)}" for j in range(600)) for _ in range(600)] + [None, "", "the", "..."]
+    many = list(leaks.groups(texts))
+    assert len(many) > 6
+    r = np.random.default_rng(0)
+    g, weight = r.standard_normal((leaks.FEATURES, 8)).astype(np.float32), r.random(leaks.FEATURES, np.float32)
+    sums, inside, add = [], [], leaks.added_up
+
+    def counted(rows, at, first, length):
+        if not inside:
+            sums.append(len(first))
+        inside.append(1)
+        out = add(rows, at, first, length)
+        inside.pop()
+        return out
+
+    monkeypatch.setattr(leaks, "added_up", counted)
+    got = leaks._gram([texts[:250], [], texts[250:]], g, weight)
+    plain = np.zeros(g.shape)
+    for x in many:
+        y = np.zeros((int(x.base[-1]), 8))
+        np.add.at(y, x.passage, (g * weight[:, None]).astype(float)[x.term])
+        np.add.at(plain, x.term, y[x.passage])
+    plain *= weight[:, None]
+    assert np.abs(got - plain).max() < 2e-6 * np.abs(plain).max()
+    passages, terms = sum(int(x.base[-1]) for x in many), len(np.unique(np.concatenate([x.term for x in many])))
+    assert sum(sums) <= passages + -(-passages // leaks.GRAM_PASSAGES) * terms
+
+
+def test_leak_search_weighs_words_that_many_items_hold(spark, monkeypatch):
+    """Words that more than a sixteenth of the items hold, rare ones and repeated ones weigh the same whether they are multiplied or listed."""
+    from tickloom.llm import leaks
+
+    items = [(k, f"{' '.join(f'most{j}' for j in range(k % 5 + 4))} {prose(9000 + k, 14)} own{k} own{k}") for k in range(40)] + [(99, "..."), (98, "one")]
+    rows = [(i, f"{prose(i, i % 30)} {items[i % 40][1].upper()} {prose(2 * i, i % 23)}") for i in range(200)] + [(900, "most0 most1 most2 most3"), (901, "one")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted(map(tuple, leaks.leaks(docs, bench).collect()))
+    got = found()
+    assert {(i, i % 40) for i in range(200)} | {(901, 98)} <= {x[:2] for x in got} and not [x for x in got if x[0] == 900 or x[1] == 99]
+    for usual in (0, 3, leaks.FEATURES):
+        monkeypatch.setattr(leaks, "USUAL", usual)
+        assert found() == got
+
+
 def test_leak_search_finds_what_all_pairs_find(spark, monkeypatch):
     """Against the search of every passage with every item (no cosine asked for), items with a fifth of their words replaced; also a
     text without words and one whose words are in no item."""

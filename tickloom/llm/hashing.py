@@ -44,10 +44,10 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of ``data`` with their byte spans."""
+def word_hashes(data: bytes, spans: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``data``, or of the ``spans`` that are given, with their byte spans."""
     a = np.frombuffer(data, np.uint8)
-    start, end = word_spans(a)
+    start, end = word_spans(a) if spans is None else spans
     if not len(start):
         return np.empty(0, np.uint64), start, end
     run = np.zeros(len(a) + 1, np.uint64)

@@ -26,16 +26,19 @@ WINDOW = 16
 #: passage at least, which has a cosine of about 0.5 with a query of so many words.
 QUERY, STEP = 40, 20
 FEATURES, RANK = 1 << 15, 128
-#: Passages whose products are added up at once; tasks that add up (as many as cores, if that is more), each with a sum of its own.
-GRAM_PASSAGES, BASIS_TASKS = 4096, 12
-#: Passages with a term beyond which a term's are added up by themselves.
-OFTEN = 40
+#: Passages whose products are added up at once, of as many texts as it takes; tasks that add up (as many as cores, if that is more),
+#: each with a sum of its own.
+GRAM_PASSAGES, BASIS_TASKS = 1 << 14, 12
+#: Entries of a sum beyond which it is added up in parts of so many (under 128); sums that are kept in the cache while they are added up.
+OFTEN, SUMS = 40, 256
 #: Of a passage and a query. A guard with room, which costs little: the README has what is lost at higher ones.
 CANDIDATE = 0.1
 #: A candidate passage shares words of the item that weigh as much as this many of the item's mean word, or half the item.
 SHARED = 6
 #: An item is found if this share of its words is a common subsequence, or the lower one with the answer found.
 FOUND, FOUND_WITH_ANSWER, ANSWER = 0.75, 0.55, 0.6
+#: Terms that more than a sixteenth of the items hold, at most so many: these are a dense product, the others a list of items each.
+USUAL = 256
 #: Items searched in one pass over the corpus; passages that are multiplied with all their queries at once, and products of those.
 ITEM_BLOCK, PASSAGES, PRODUCTS = 4000, 512, 1 << 19
 
@@ -63,11 +66,18 @@ class Group:
         return [self.joined[s:e] for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist())]
 
 
+def _spans(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words, between which _PLAIN leaves nothing but spaces."""
+    word = np.frombuffer(b" %b " % plain, np.uint8) != 32
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    return edge[0::2], edge[1::2]
+
+
 def groups(texts) -> Iterator[Group]:
     """Texts by about a megabyte; nulls count as empty."""
     for first, group in batches(t.lower() if t else "" for t in texts):
         joined = b" ".join(group).translate(_PLAIN)
-        h, start, end = word_hashes(joined)
+        h, start, end = word_hashes(joined, _spans(joined))
         yield Group(first, joined, start, end, h, np.searchsorted(start, np.cumsum([0, *(len(b) + 1 for b in group)])))
 
 
@@ -95,15 +105,27 @@ def idf(docs: DataFrame) -> np.ndarray:
 
 def added_up(rows: np.ndarray, at: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Of each group, ``length`` entries of ``at`` from ``first`` on (one or more), the sum of the ``rows`` they name."""
-    order = np.argsort(-length, kind="stable")
-    start, left = first[order], -length[order]
-    out = rows[at[start]]
-    for k in range(1, int(length.max(initial=0))):  # the k-th entries of all groups that have as many
-        n = int(np.searchsorted(left, -k))
-        out[:n] += rows[at[start[:n] + k]]
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+    out = np.empty((len(first), rows.shape[1]), rows.dtype)
+    long = length > OFTEN
+    if long.any():  # parts of OFTEN entries, then these parts
+        n = -(-length[long] // OFTEN)
+        base = np.cumsum(n) - n
+        before = OFTEN * (np.arange(n.sum()) - np.repeat(base, n))
+        parts = added_up(rows, at, np.repeat(first[long], n) + before, np.minimum(OFTEN, np.repeat(length[long], n) - before))
+        out[long] = added_up(parts, np.arange(len(parts)), base, n)
+    short = np.flatnonzero(~long)
+    short = short[np.argsort(-length[short].astype(np.int8), kind="stable")]
+    sums, more = np.empty((2, SUMS, rows.shape[1]), rows.dtype)
+    for lo in range(0, len(short), SUMS):
+        some = short[lo : lo + SUMS]
+        start, left, s = first[some], -length[some], sums[: len(some)]
+        np.take(rows, at[start], axis=0, out=s, mode="clip")
+        for k in range(1, -int(left[0])):  # the k-th entries of all these groups that have as many
+            n = int(np.searchsorted(left, -k))
+            np.take(rows, at[start[:n] + k], axis=0, out=more[:n], mode="clip")
+            s[:n] += more[:n]
+        out[some] = s
+    return out
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -115,24 +137,33 @@ def project(term: np.ndarray, first: np.ndarray, basis: np.ndarray) -> np.ndarra
     return unit(added_up(basis, term, first, np.diff(np.r_[first, len(term)])))
 
 
-def _gram(texts_of, g: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """A^T(A G) of the passages of some lists of texts."""
-    z, weighted = np.zeros(g.shape), g * weight[:, None]
+def _passages(texts_of) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The terms and the lengths of the passages of some lists of texts, GRAM_PASSAGES or more (the last time fewer) at once."""
+    held, n = [], 0
     for texts in texts_of:
         for group in groups(texts):
             for lo in range(0, int(group.base[-1]), GRAM_PASSAGES):
-                hi = min(lo + GRAM_PASSAGES, int(group.base[-1]))
-                a, b = group.at[lo], group.at[hi]
-                t, first = group.term[a:b], group.at[lo:hi] - a
-                y = added_up(weighted, t, first, np.diff(np.r_[first, b - a]))
-                order = np.argsort(t, kind="stable")
-                passage, t = group.passage[a:b][order] - lo, t[order]
-                first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-                n = np.diff(np.r_[first, len(t)])
-                few = n <= OFTEN
-                z[t[first[few]]] += added_up(y, passage, first[few], n[few])
-                for i in np.flatnonzero(~few):
-                    z[t[first[i]]] += y[passage[first[i] : first[i] + n[i]]].sum(axis=0)
+                at = group.at[lo : lo + GRAM_PASSAGES + 1]
+                held.append((group.term[at[0] : at[-1]], np.diff(at)))
+                n += len(at) - 1
+                if n >= GRAM_PASSAGES:
+                    yield tuple(np.concatenate(x) for x in zip(*held))
+                    held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _gram(texts_of, g: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A^T(A G) of the passages of some lists of texts."""
+    z, weighted = np.zeros(g.shape), g * weight[:, None]
+    for t, length in _passages(texts_of):
+        y = added_up(weighted, t, np.cumsum(length) - length, length)
+        order = np.argsort(t.astype(np.uint16), kind="stable")
+        passage, t = np.repeat(np.arange(len(length)), length)[order], t[order]
+        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        s = added_up(y, passage, first, np.diff(np.r_[first, len(t)]))
+        for lo in range(0, len(first), SUMS):
+            z[t[first[lo : lo + SUMS]]] += s[lo : lo + SUMS]
     return z * weight[:, None]
 
 
@@ -204,47 +235,66 @@ def confirmed(item: list[bytes], around: list[bytes]) -> tuple[bool, float, floa
 
 def search(docs: DataFrame, items: list[tuple[int, str]], weight: np.ndarray, basis: np.ndarray) -> DataFrame:
     """(key, item_id, lcs_share, answer_share, word_at): confirmed items of each row of ``docs`` (key, text); a written table."""
-    words, listed, query, owner, has = [], [], [], [], np.zeros((FEATURES, len(items)), bool)
+    words, listed, query, owner, own = [], [], [], [], []
     for g in groups([t for _, t in items]):
         for i in range(len(g.cut) - 1):
             a, b = int(g.cut[i]), int(g.cut[i + 1])
             t = g.term[a:b]
-            has[t, len(words)] = True
             for at in sorted({*range(0, max(1, len(t) - QUERY + 1), STEP), max(0, len(t) - QUERY)}) if len(t) else ():
                 query.append(project(t[at : at + QUERY], np.zeros(1, np.int64), basis)[0])
                 owner.append(len(words))
             words.append(g.words(a, b))
             listed.append(t)
-    mean = (weight @ has) / np.maximum(has.sum(axis=0), 1)
-    need = 0.999 * np.minimum(SHARED * mean, np.array([len(w) for w in words], float) * mean / 2)
-    shipped = docs.sparkSession.sparkContext.broadcast((weight, basis, np.array(query, np.float32).reshape(-1, basis.shape[1]), np.array(owner, np.int64), words, listed, [i for i, _ in items], np.packbits(has, axis=1), need))
+            own.append(np.unique(t))
+    mean = np.array([weight[t].mean() if len(t) else np.inf for t in own])  # an item without words has no candidates
+    need = 0.999 * np.minimum(SHARED * mean, np.array([max(1, len(w)) for w in words]) * mean / 2)
+    held, item = np.concatenate([*own, np.empty(0, np.int64)]), np.repeat(np.arange(len(own)), np.array([len(t) for t in own], int))
+    many = np.bincount(held, minlength=FEATURES)
+    usual = np.argsort(-many, kind="stable")[:USUAL]
+    usual = usual[many[usual] * 16 > len(own)]
+    place = np.full(FEATURES, -1)  # among the usual terms
+    place[usual] = np.arange(len(usual))
+    dense, rare = np.zeros((len(usual), len(own)), np.float32), place[held] < 0
+    dense[place[held[~rare]], item[~rare]] = 1
+    item = item[rare][np.argsort(held[rare], kind="stable")]  # of each term, from start[term] to start[term + 1]
+    start = np.r_[0, np.cumsum(np.bincount(held[rare], minlength=FEATURES))]
+    shipped = docs.sparkSession.sparkContext.broadcast(
+        (weight, basis, np.array(query, np.float32).reshape(-1, basis.shape[1]), np.array(owner, np.int64), words, listed, [i for i, _ in items], need, many > 0, place, dense, item, start)
+    )
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, basis, q, owner, words, listed, ids, packed, need = shipped.value
-        has = np.unpackbits(packed, axis=1, count=len(words)).view(bool)
-
-        hold = weight * has.any(axis=1)
+        weight, basis, q, owner, words, listed, ids, need, of_items, place, dense, item, start = shipped.value
+        hold = weight * of_items
         here = np.zeros(FEATURES, bool)
-        least, at_once = 0.999 * min(need[owner], default=0), max(1, min(PASSAGES, PRODUCTS // max(1, len(q))))
-
-        def candidates(g: Group) -> Iterator[tuple[int, int]]:
-            """(passage, item) pairs."""
+        least, at_once = 0.999 * need.min(initial=np.inf), max(1, min(PASSAGES, PRODUCTS // max(1, len(q))))
+
+        def shared(t: np.ndarray, length: np.ndarray) -> np.ndarray:
+            """Weight of the words of each passage that are in each item; the passages' words stand one after the other."""
+            p, n = np.repeat(np.arange(len(length)), length), start[t + 1] - start[t]
+            at = np.repeat(start[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            rest = np.bincount(np.repeat(p * len(words), n) + item[at], np.repeat(weight[t], n), minlength=len(length) * len(words))
+            c = place[t]
+            p, c, w = p[c >= 0], c[c >= 0], weight[t[c >= 0]]
+            often = np.bincount(p * len(dense) + c, w, minlength=len(length) * len(dense)).astype(np.float32)
+            return rest.reshape(-1, len(words)) + often.reshape(len(length), len(dense)) @ dense
+
+        def candidates(g: Group) -> Iterator[tuple[int, int, int]]:
+            """(text, the passage's first word, item)."""
             if not len(q) or not len(g.term):
                 return
             # a passage whose words of any item weigh less than what each item asks for is no candidate of one
-            held = np.add.reduceat(hold[g.term], g.at[:-1])
-            able = np.flatnonzero(held >= least)
+            able = np.add.reduceat(hold[g.term], g.at[:-1]) >= least
+            t, length = g.term[np.repeat(able, np.diff(g.at))], np.diff(g.at)[able]
+            able, at = np.flatnonzero(able), np.r_[0, np.cumsum(length)]
             for lo in range(0, len(able), at_once):
                 some = able[lo : lo + at_once]
-                first, length = g.at[some], g.at[some + 1] - g.at[some]
-                t = g.term[np.minimum(first[:, None] + np.arange(WINDOW), len(g.term) - 1)]
-                w = weight[t] * (np.arange(WINDOW) < length[:, None])
-                shares = ((w[:, None, :] @ has[t].astype(np.float32))[:, 0] >= need)[:, owner]  # of each passage and query
-                rows = np.flatnonzero(shares.any(axis=1))
-                near = unit(added_up(basis, g.term, first[rows], length[rows])) @ q.T >= CANDIDATE
-                p, c = np.nonzero(near & shares[rows])
+                enough = shared(t[at[lo] : at[lo + len(some)]], length[lo : lo + at_once]) >= need
+                rows = np.flatnonzero(enough.any(axis=1))
+                near = unit(added_up(basis, t, at[lo + rows], length[lo + rows])) @ q.T >= CANDIDATE
+                p, c = np.nonzero(near & enough[rows][:, owner])
                 pair = np.unique(rows[p] * len(words) + owner[c])
-                yield from zip(some[pair // len(words)].tolist(), (pair % len(words)).tolist())
+                p = some[pair // len(words)]
+                yield from zip((np.searchsorted(g.base, p, "right") - 1).tolist(), g.at[p].tolist(), (pair % len(words)).tolist())
 
         def too_few(around: np.ndarray, k: int) -> bool:
             """Whether fewer of the item's words are among those around (by their terms) than a common subsequence has to have."""
@@ -256,9 +306,8 @@ def search(docs: DataFrame, items: list[tuple[int, str]], weight: np.ndarray, ba
         for batch in common.slices(frames):
             keys, out = batch.column(0).to_pylist(), {}
             for g in groups(batch.column(1).to_pylist()):
-                for p, k in candidates(g):
-                    i = int(np.searchsorted(g.base, p, "right")) - 1
-                    w0, n = int(g.at[p]), len(words[k])
+                for i, w0, k in candidates(g):
+                    n = len(words[k])
                     lo, hi = max(int(g.cut[i]), w0 - n), min(int(g.cut[i + 1]), w0 + WINDOW + n)
                     if too_few(g.term[lo:hi], k):
                         continue
