@@ -306,7 +306,7 @@ def test_leak_basis_adds_a_term_once_for_many_texts(monkeypatch):
         return out
 
     monkeypatch.setattr(leaks, "added_up", counted)
-    got = leaks._gram([texts[:250], [], texts[250:]], g, weight)
+    got = leaks._gram([texts[:250], [], texts[250:]], g * weight[:, None]) * weight[:, None]
     plain = np.zeros(g.shape)
     for x in many:
         y = np.zeros((int(x.base[-1]), 8))

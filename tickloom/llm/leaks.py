@@ -28,7 +28,9 @@ QUERY, STEP = 40, 20
 FEATURES, RANK = 1 << 15, 128
 #: Passages whose products are added up at once, of as many texts as it takes; tasks that add up (as many as cores, if that is more),
 #: each with a sum of its own.
-GRAM_PASSAGES, BASIS_TASKS = 1 << 14, 12
+GRAM_PASSAGES, BASIS_TASKS = 1 << 13, 12
+#: Terms whose rows a task adds, or passes on, at once: what it holds is the sum and the terms' own numbers, little else.
+TERMS = 4096
 #: Entries of a sum beyond which it is added up in parts of so many (under 128); sums that are kept in the cache while they are added up.
 OFTEN, SUMS = 40, 256
 #: Of a passage and a query. A guard with room, which costs little: the README has what is lost at higher ones.
@@ -153,18 +155,19 @@ def _passages(texts_of) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
-def _gram(texts_of, g: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """A^T(A G) of the passages of some lists of texts."""
-    z, weighted = np.zeros(g.shape), g * weight[:, None]
+def _gram(texts_of, weighted: np.ndarray) -> np.ndarray:
+    """C^T(C W) of the passages of some lists of texts, for their counts C of terms."""
+    z = np.zeros(weighted.shape)
     for t, length in _passages(texts_of):
         y = added_up(weighted, t, np.cumsum(length) - length, length)
         order = np.argsort(t.astype(np.uint16), kind="stable")
         passage, t = np.repeat(np.arange(len(length)), length)[order], t[order]
         first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        s = added_up(y, passage, first, np.diff(np.r_[first, len(t)]))
-        for lo in range(0, len(first), SUMS):
-            z[t[first[lo : lo + SUMS]]] += s[lo : lo + SUMS]
-    return z * weight[:, None]
+        n = np.diff(np.r_[first, len(t)])
+        for lo in range(0, len(first), TERMS):
+            some = slice(lo, lo + TERMS)
+            z[t[first[some]]] += added_up(y, passage, first[some], n[some])
+    return z
 
 
 def fit_basis(texts: DataFrame, weight: np.ndarray) -> np.ndarray:
@@ -173,12 +176,16 @@ def fit_basis(texts: DataFrame, weight: np.ndarray) -> np.ndarray:
     nothing in its own direction.)"""
     g = np.random.default_rng(5).standard_normal((FEATURES, RANK + 16)).astype(np.float32)
     sc = texts.sparkSession.sparkContext
-    shipped, tasks = sc.broadcast((g, weight)), max(BASIS_TASKS, sc.defaultParallelism)
+    shipped, tasks = sc.broadcast((g * weight[:, None], weight)), max(BASIS_TASKS, sc.defaultParallelism)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = _gram((b.column(0).to_pylist() for b in common.slices(frames)), *shipped.value).astype(np.float32)
-        used = np.flatnonzero(np.abs(z).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([z[i].tobytes() for i in used], pa.binary())], ["term", "row"])
+        weighted, weight = shipped.value
+        z = _gram((b.column(0).to_pylist() for b in common.slices(frames)), weighted)
+        used = np.flatnonzero(z.any(axis=1))
+        for lo in range(0, len(used), TERMS):
+            some = used[lo : lo + TERMS]
+            rows = (z[some] * weight[some, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([row.tobytes() for row in rows], pa.binary())], ["term", "row"])
 
     def added(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each term, from rows sorted by term."""
