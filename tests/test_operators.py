@@ -203,3 +203,27 @@ def one_off(t):
     from pyspark.sql import functions as F
 
     return F.col("px") + F.when(F.col("trade_id") == 3, 1).otherwise(0)
+
+
+def test_shuffled_ic_equals_a_plain_permutation_and_repeats_no_rows(spark, tmp_path):
+    """Also from a small file, which Spark would send to the driver and to all tasks with every replicate's rows."""
+    import datetime
+    import hashlib
+
+    from tickloom.operators.catalogue import shuffle_ic_pvalue
+
+    r = random.Random(4)
+    day = lambda k: datetime.date(2024, 1, 1) + datetime.timedelta(days=k)
+    rows = [("a", day(k % 3), 7 * k, x := r.gauss(0, 1), 0.2 * x + r.gauss(0, 1)) for k in range(90)] + [("one a day", day(k), k, r.gauss(0, 1), r.gauss(0, 1)) for k in range(25)] + [("flat", day(k % 2), k, 0.1, r.gauss(0, 1)) for k in range(30)]
+    r.shuffle(rows)
+    spark.createDataFrame(rows, "symbol string, trade_date date, trade_id long, s double, rf double").repartition(3).write.parquet(str(tmp_path / "panel"))
+    out = shuffle_ic_pvalue(spark.read.parquet(str(tmp_path / "panel")), 20)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {x["symbol"]: (x["ic"], x["mc_shuffle_ic_pvalue"]) for x in out.collect()}
+    own = sorted((x for x in rows if x[0] == "a"), key=lambda x: x[1:3])
+    ic = np.corrcoef([x[3] for x in own], [x[4] for x in own])[0, 1]
+    drawn = [[x[4] for k in range(3) for x in sorted((x for x in own if x[1] == day(k)), key=lambda x: hashlib.md5(f"{rep}:{x[2]}".encode()).hexdigest())] for rep in range(1, 21)]
+    larger = sum(abs(np.corrcoef([x[3] for x in own], y)[0, 1]) >= abs(ic) for y in drawn)
+    assert got["a"] == pytest.approx((ic, (larger + 1) / 21)) and 0 < larger < 20
+    assert got["one a day"][1] == 1  # each permutation is the one that is
+    assert math.isnan(got["flat"][0]) and got["flat"][1] == 1

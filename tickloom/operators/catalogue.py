@@ -6,11 +6,15 @@ Resampling draws from md5 of the replicate and the row's number, so that it is t
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from .ticks import add_rolling, in_chunks
 
 #: Cumulative probabilities of a Poisson variable of mean 1; beyond the last one the count is their number.
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)]).tolist()
+#: Digests that are Python objects at a time.
+DIGESTS = 65_536
 
 
 def signal_panel(ticks: DataFrame, width: int = 8, ahead: int = 4) -> DataFrame:
@@ -124,16 +130,46 @@ def replicates(df: DataFrame, n: int) -> DataFrame:
 
 
 def shuffle_ic_pvalue(panel: DataFrame, n: int = 20) -> DataFrame:
-    """(symbol, ic, mc_shuffle_ic_pvalue): the share of permutations (within each day) whose IC is as large."""
-    keys = ["symbol", "trade_date", "rep"]
-    d = replicates(panel.select("symbol", "trade_date", "trade_id", "s", "rf"), n)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("trade_id"))
-    drawn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("trade_id").cast("string")))))
-    d = d.withColumns({"a": place, "b": drawn})
-    met = d.select(*keys, "a", "s").join(d.select(*keys, F.col("b").alias("a"), "rf"), [*keys, "a"])
-    ics = met.groupBy("symbol", "rep").agg(F.corr("s", "rf").alias("shuffled"))
-    own = panel.groupBy("symbol").agg(F.corr("s", "rf").alias("ic"))
-    return ics.join(own, "symbol").groupBy("symbol").agg(F.first("ic").alias("ic"), ((F.count_if(F.abs("shuffled") >= F.abs("ic")) + 1) / (F.count("*") + 1)).alias("mc_shuffle_ic_pvalue"))
+    """(symbol, ic, mc_shuffle_ic_pvalue): the share of permutations (within each day) whose IC is as large; NaN and 1 where s or rf does not vary.
+
+    A permutation puts a day's rf in the order of md5 of replicate and trade id. A task takes a symbol-day for all replicates, with one
+    of them at a time in memory, and gives one row of sums; so rows are not repeated, and those of a symbol are added up in the order of days.
+    """
+
+    def orders(ids: pa.ChunkedArray) -> Iterator[np.ndarray]:
+        """The rows as they are, then by the digests of each replicate."""
+        yield np.arange(len(ids))
+        for rep in range(1, n + 1):
+            start, words = f"{rep}:".encode(), np.empty((len(ids), 2), np.uint64)
+            for k in range(0, len(ids), DIGESTS):
+                some = ids.slice(k, DIGESTS).to_pylist()
+                words[k : k + len(some)] = np.frombuffer(b"".join([hashlib.md5(start + x, usedforsecurity=False).digest() for x in some]), ">u8").reshape(-1, 2)
+            yield np.lexsort((words[:, 1], words[:, 0]))
+
+    def day(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [("trade_id", "ascending")], null_placement="at_start"))
+        x, y = (t[c].to_numpy() for c in ("s", "rf"))
+        first = {"m_s": x[0], "m_rf": y[0]}
+        x, y = x - x[0], y - y[0]
+        means = {"m_s": x.mean(), "m_rf": y.mean()}
+        x, y = x - means["m_s"], y - means["m_rf"]
+        cross = [float((x * y[o]).sum()) for o in orders(t["_id"].cast(pa.binary()))]
+        row = {"symbol": t["symbol"][0], "trade_date": t["trade_date"][0], "n": len(t), **{k: float(first[k] + m) for k, m in means.items()}, "ss": float((x * x).sum()), "rr": float((y * y).sum()), "cross": cross}
+        return pa.table({k: pa.array([v.as_py() if isinstance(v, pa.Scalar) else v]) for k, v in row.items()})
+
+    def whole(t: pa.Table) -> pa.Table:
+        t = t.sort_by("trade_date")
+        k, a, b, ss, rr = (t[c].to_numpy() for c in ("n", "m_s", "m_rf", "ss", "rr"))
+        a, b = ((m - m[0]) - (k * (m - m[0])).sum() / k.sum() for m in (a, b))
+        c = np.array(t["cross"].to_pylist()).sum(0) + (k * a * b).sum()
+        scale = math.sqrt((ss.sum() + (k * a * a).sum()) * (rr.sum() + (k * b * b).sum()))
+        ic, p = (c[0] / scale, (int((np.abs(c[1:]) >= abs(c[0])).sum()) + 1) / (n + 1)) if scale > 0 else (math.nan, 1.0)
+        return pa.table({"symbol": pa.array([t["symbol"][0].as_py()]), "ic": pa.array([ic]), "mc_shuffle_ic_pvalue": pa.array([p])})
+
+    rows = panel.where("symbol is not null and trade_date is not null and s is not null and rf is not null")
+    rows = rows.select("symbol", "trade_date", "trade_id", F.coalesce(F.col("trade_id").cast("string"), F.lit("")).alias("_id"), F.col("s").cast("double"), F.col("rf").cast("double"))
+    days = rows.groupBy("symbol", "trade_date").applyInArrow(day, "symbol string, trade_date date, n long, m_s double, m_rf double, ss double, rr double, cross array<double>")
+    return days.groupBy("symbol").applyInArrow(whole, "symbol string, ic double, mc_shuffle_ic_pvalue double")
 
 
 def bootstrap_ic(panel: DataFrame, n: int = 50) -> DataFrame:
