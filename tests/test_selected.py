@@ -278,3 +278,18 @@ def test_plans_take_other_parameters(spark):
     assert bars["vol"].max() == pytest.approx(10.0)
     with pytest.raises(ValueError):
         signals.over(t, "pp1_ic_pearson", width=3)
+
+
+def test_rolling_g_of_equal_volumes_is_not_a_number(spark):
+    """As in the SQL: a day may begin with trades of one size and side, whose variance is 0."""
+    from tickloom.plans import signals
+
+    day = datetime.date(2024, 1, 1)
+    volumes = [5, 2, 2, 2, 3, 1]
+    rows = [("a", day, k, (100 + k * k) * 10**8, q * 10**8, k, 1, 0, 1000 * k) for k, q in enumerate(volumes)]
+    got = [x["g"] for x in signals.over(spark.createDataFrame(rows, TAPE), "ms19_rolling_g_inf").orderBy("trade_id").collect()]
+    dx = np.diff([100.0 + k * k for k in range(6)])
+    assert got[0] is None and math.isnan(got[1]) and math.isnan(got[2])
+    for k in (4, 5):
+        c = np.cov(dx[:k], volumes[1 : k + 1])
+        assert got[k - 1] == pytest.approx(c[0, 1] / c[1, 1], abs=1e-6)
