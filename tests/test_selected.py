@@ -293,3 +293,29 @@ def test_rolling_g_of_equal_volumes_is_not_a_number(spark):
     for k in (4, 5):
         c = np.cov(dx[:k], volumes[1 : k + 1])
         assert got[k - 1] == pytest.approx(c[0, 1] / c[1, 1], abs=1e-6)
+
+
+def test_interval_sums_do_not_hang_on_how_rows_are_dealt(spark):
+    """Spark computes the intervals twice, once with a long column: in another number of partitions then."""
+    from tickloom.operators.orders import interval_sums
+
+    conf = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        points = spark.range(2000).select(F.lit("s").alias("symbol"), (F.col("id") * 60_000).alias("ts_ms"), F.col("id").alias("q"))
+        long = F.concat(*[F.sha2(F.concat_ws(":", F.lit(k), "id"), 256) for k in range(8)])
+        intervals = spark.range(2000).select(F.lit("s").alias("symbol"), "id", (F.col("id") * 60_000).alias("start"), (F.col("id") * 60_000 + 60_000).alias("stop"), long.alias("note")).repartition("start")
+        got = interval_sums(intervals, points, {"q": F.col("q")}).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert len(got) == 2000 and {x["id"]: x["q"] for x in got} == {k: 2 * k + 1 if k < 1999 else k for k in range(2000)}
+
+
+def test_equal_shares_are_one_bin_of_the_slippage_curve(spark):
+    """0.1 + 0.2 of 0.9 and 0.3 of 0.9 are one share."""
+    from tickloom.operators.orders import slippage_curve
+
+    orders = spark.createDataFrame([("s", 1, 100.0, 100.0, 0.1 + 0.2 if k % 2 else 0.3, 0.9) for k in range(20)], "symbol string, side int, decision double, fill_px double, filled double, volume double")
+    assert [(x["participation_bin"], x["n"]) for x in slippage_curve(orders).collect()] == [(0, 20)]

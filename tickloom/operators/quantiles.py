@@ -72,14 +72,17 @@ def exact_quantiles(df: DataFrame, keys: list[str], x: Column | str, **ps: float
     return (wide.join(names_of, own) if own else wide).select(*keys, "n", *names)
 
 
-def exact_bins(df: DataFrame, keys: list[str], x: str, bins: int, out: str) -> DataFrame:
-    """The rows with ``out``, 0 to bins - 1: how many of the group's quantiles 1/bins, 2/bins, ... lie below the row's ``x``; null for null."""
+def exact_bins(df: DataFrame, keys: list[str], x: str, bins: int, out: str, digits: int | None = None) -> DataFrame:
+    """The rows with ``out``, 0 to bins - 1: how many of the group's quantiles 1/bins, 2/bins, ... lie below the row's ``x``; null for null.
+
+    With ``digits``, both are compared as rounded: values that are equal but for their rounding errors stay together."""
     if bins < 2:
         raise ValueError("two bins at least")
     inner = {f"_q{k}": k / bins for k in range(1, bins)}
     cuts = exact_quantiles(df, keys, x, **inner).drop("n")
     met = df.join(cuts, keys, "left") if keys else df.crossJoin(F.broadcast(cuts))
-    return met.withColumn(out, sum((F.col(x) > F.col(q)).cast("int") for q in inner)).drop(*inner)
+    near = lambda c: F.col(c) if digits is None else F.round(c, digits)
+    return met.withColumn(out, sum((near(x) > near(q)).cast("int") for q in inner)).drop(*inner)
 
 
 def median_deviation(df: DataFrame, keys: list[str], x: str, out: str = "mad") -> DataFrame:
