@@ -227,3 +227,37 @@ def test_shuffled_ic_equals_a_plain_permutation_and_repeats_no_rows(spark, tmp_p
     assert got["a"] == pytest.approx((ic, (larger + 1) / 21)) and 0 < larger < 20
     assert got["one a day"][1] == 1  # each permutation is the one that is
     assert math.isnan(got["flat"][0]) and got["flat"][1] == 1
+
+
+def test_complexity_of_a_long_day(spark):
+    """60,000 rows in seconds (a median for each row took minutes), with the phrases of a plain dictionary."""
+    import time
+
+    from tickloom.operators.catalogue import complexity
+
+    def phrases(bits):
+        seen, now = set(), ""
+        for c in bits:
+            now += c
+            if now not in seen:
+                seen.add(now)
+                now = ""
+        return len(seen) + bool(now)
+
+    n, g = 60_000, np.random.default_rng(3)
+    days = {"noise": g.normal(size=n), "wave": np.sin(np.arange(n) / 7), "steps": (np.arange(n) % 1000 > 900).astype(float), "flat": np.zeros(n), "short": np.arange(16.0), "odd": g.normal(size=17)}
+    rows = [(k, i, float(v)) for k, x in days.items() for i, v in enumerate(x)]
+    import pandas as pd
+
+    panel = spark.createDataFrame(pd.DataFrame(rows, columns=["symbol", "i", "s"])).selectExpr("symbol", "date'2024-01-01' trade_date", "i", "s").cache()
+    panel.count()
+    began = time.time()
+    got = {x["symbol"]: x for x in complexity(panel).collect()}
+    assert time.time() - began < 30
+    for k, x in days.items():
+        if k == "short":
+            assert got[k]["lempel_ziv_complexity_signal"] is None
+        else:
+            want = phrases(np.where(x > np.median(x), "1", "0")) / (len(x) / math.log2(len(x)))
+            assert got[k]["lempel_ziv_complexity_signal"] == pytest.approx(want, rel=1e-12), k
+    assert got["wave"]["spectral_density_peak_freq"] == pytest.approx(1 / (14 * math.pi), abs=1e-4)

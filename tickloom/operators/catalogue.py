@@ -295,20 +295,20 @@ def complexity(panel: DataFrame, bins: int = 2) -> DataFrame:
         good = np.array(lengths) > 0
         return float(-np.polyfit(np.log(np.arange(1, most + 1)[good]), np.log(np.array(lengths)[good]), 1)[0]) if good.sum() > 1 else float("nan")
 
-    def phrases(bits: str) -> int:
-        """Lempel-Ziv 1978 phrases: each one is new, one symbol longer than an old one."""
-        seen, now, n = set(), "", 0
-        for c in bits:
-            now += c
-            if now not in seen:
-                seen.add(now)
-                n, now = n + 1, ""
-        return n + bool(now)
+    def phrases(bits: np.ndarray) -> int:
+        """Lempel-Ziv 1978 phrases: each one is new, one symbol longer than an old one. They are nodes of a tree, 0 the empty one."""
+        tree, node = {}, 0
+        for bit in bits.tolist():
+            step = 2 * node + bit
+            node = tree.get(step, 0)
+            if not node:
+                tree[step] = len(tree) + 1
+        return len(tree) + bool(node)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         x = f.sort_values("i", kind="stable")["s"].to_numpy()
         n = len(x)
-        bits = "".join("1" if v > np.median(x) else "0" for v in x)
+        bits = x > np.median(x)
         power = np.abs(np.fft.rfft(x - x.mean())) ** 2
         out = (higuchi(x), phrases(bits) / (n / math.log2(n)), (1 + int(power[1:].argmax())) / n) if n > 16 else (None, None, None)
         names = ["higuchi_fractal_dimension_signal", "lempel_ziv_complexity_signal", "spectral_density_peak_freq"]
